@@ -87,26 +87,49 @@ def plan_tiles(counts: dict[int, int], tile: int, radius: int):
     return cells, pairs
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of a tile pair that link, as a spanning forest: (node, root). Exact, and at most one row a node."""
-    both = a if same else np.concatenate((a, b))
-    root, shift = np.arange(len(both)), 0 if same else len(a)
+def inner_roots(a: np.ndarray, radius: int) -> np.ndarray:
+    """Index of each fingerprint's root under the links within one tile."""
+    root = np.arange(len(a))
     for at in range(0, len(a), 256):
-        near = np.bitwise_count(a[at : at + 256, None] ^ b[None, :]) <= radius
-        i, j = np.nonzero(near)
+        i, j = np.nonzero(np.bitwise_count(a[at : at + 256, None] ^ a[None, :]) <= radius)
+        root = local_roots(len(a), i + at, j, root)
+    return root
+
+
+def cross_links(a: np.ndarray, b: np.ndarray, roots_a: np.ndarray, roots_b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between two tiles as a spanning forest over the tiles' own roots: (fingerprint, root fingerprint). Exact."""
+    both, shift = np.concatenate((a, b)), len(a)
+    root = np.arange(len(both))
+    for at in range(0, len(a), 256):
+        i, j = np.nonzero(np.bitwise_count(a[at : at + 256, None] ^ b[None, :]) <= radius)
         if len(i):
-            root = local_roots(len(both), i + at, j + shift, root)
+            root = local_roots(len(both), roots_a[i + at], roots_b[j] + shift, root)
     moved = np.flatnonzero(root != np.arange(len(both)))
     return both[moved], both[root[moved]]
 
 
+def _within(radius: int):
+    """(tile, fingerprints) -> the same with the root of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                fps = np.sort(batch.column(1)[k].values.to_numpy(zero_copy_only=False))
+                root = inner_roots(fps.view(np.uint64), radius).astype(np.int32)
+                one = [pa.array([0, len(fps)], pa.int32())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(k, 1), pa.ListArray.from_arrays(*one, pa.array(fps)), pa.ListArray.from_arrays(*one, pa.array(root))], ["tile", "fps", "roots"]
+                )
+
+    return run
+
+
 def _compare(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, left, right = (batch.column(k) for k in range(3))
             for k in range(batch.num_rows):
-                a, b = (x[k].values.to_numpy(zero_copy_only=False).view(np.uint64) for x in (left, right))
-                src, dst = tile_links(a, b, same[k].as_py(), radius)
+                x, rx, y, ry = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in range(4))
+                src, dst = cross_links(x.view(np.uint64), y.view(np.uint64), rx, ry, radius)
                 if len(src):
                     yield pa.RecordBatch.from_arrays([pa.array(src.view(np.int64)), pa.array(dst.view(np.int64))], ["src", "dst"])
 
@@ -137,17 +160,23 @@ def near_duplicates(
     size = max(tile, -(-sum(counts.values()) // 4096))
     cells, pairs = plan_tiles(counts, size, radius)
     cell_map = spark.createDataFrame(cells, "cell int, first int, n int")
-    pair_map = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "pair int, a int, b int")
-    tiles = (
+    pair_map = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs) if a < b], "pair int, a int, b int")
+    dealt = (
         reps.join(F.broadcast(cell_map), "cell")
         .select((F.col("first") + F.pmod(F.xxhash64("fp"), F.col("n"))).cast("int").alias("tile"), "fp")
         .groupBy("tile")
         .agg(F.collect_list("fp").alias("fps"))
     )
-    left = tiles.join(F.broadcast(pair_map), F.col("tile") == F.col("a")).select("pair", (F.col("a") == F.col("b")).alias("same"), F.col("fps").alias("x"))
-    right = tiles.join(F.broadcast(pair_map), F.col("tile") == F.col("b")).select("pair", F.col("fps").alias("y"))
-    links = left.join(right, "pair").select("same", "x", "y").mapInArrow(_compare(radius), "src long, dst long")
-    roots = distributed_roots(links, scratch)
+    # a group of near copies is one root in each tile that it reaches, so few links leave the tiles
+    tiles = scratch.keep(dealt.mapInArrow(_within(radius), "tile int, fps array<long>, roots array<int>"), "tiles")
+    left = tiles.join(F.broadcast(pair_map), F.col("tile") == F.col("a")).select("pair", F.col("fps").alias("x"), F.col("roots").alias("rx"))
+    right = tiles.join(F.broadcast(pair_map), F.col("tile") == F.col("b")).select("pair", F.col("fps").alias("y"), F.col("roots").alias("ry"))
+    links = left.join(right, "pair").select("x", "rx", "y", "ry").mapInArrow(_compare(radius), "src long, dst long")
+    across = distributed_roots(links, scratch)
+    inner = tiles.select(F.explode(F.arrays_zip("fps", F.transform("roots", lambda r: F.element_at("fps", r + 1)).alias("top"))).alias("e"))
+    moved = inner.select(F.col("e")["fps"].alias("fp0"), F.col("e")["top"].alias("top")).where("fp0 <> top")
+    inner_root = moved.join(across, F.col("top") == F.col("node"), "left").select(F.col("fp0").alias("node"), F.coalesce("root", "top").alias("root"))
+    roots = inner_root.unionByName(across)  # a root of a tile is never moved within it
     grouped = reps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_fp = scratch.keep(grouped.join(least, "root").select("fp", "component_id"), "components")
