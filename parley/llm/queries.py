@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, quality, simhash
+from . import embeddings, html_text, licenses, line_dedup, mixing, packing, quality, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,16 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(warc.captures(_table(spark, sf_dir, "pages")))
+    listed = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return found.select("record_id", "uri", "refers_to", "verdict", F.when(F.col("headers").isNotNull(), F.array_join(listed, ";")).alias("headers"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     judged = quality.judge(docs, with_text=False)
@@ -30,10 +40,22 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(k).alias(v) for k, v in names.items()))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -45,8 +67,92 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_line_dedup, op5_quality_rules, op8_mixing, op10_packing, pipeline)}
+    found = (
+        op1_simhash, op2_line_dedup, op3_embedding_dedup, op4_warc_revisits, op5_quality_rules, op6_toxicity, op7_html_text, op8_mixing,
+        op9_license_scan, op10_packing, pipeline,
+    )
+    return {f.__name__: f for f in found}
+
+
+LINES_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents),
+keyed AS (
+  SELECT doc_id, pos, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+shared AS (
+  SELECT key, max(doc_id) AS holder FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+judged AS (
+  SELECT k.doc_id, pos, line, s.key IS NOT NULL AND k.doc_id <> s.holder AS dropped FROM keyed k LEFT JOIN shared s USING (key))
+SELECT doc_id, count(*) AS n_lines, sum(dropped::INT)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+WARC_SQL = r"""
+WITH pages2 AS (
+  SELECT page_id, url, html, '"' || md5(coalesce(html, '')) || '"' AS tag,
+    lower(regexp_extract(trim(url), '^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)', 1)) AS head,
+    regexp_replace(substr(trim(url), length(regexp_extract(trim(url), '^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)', 1)) + 1), '#.*$', '') AS rest
+  FROM pages),
+named AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(head, '^https://', 'http://'), '^http://www[.]', 'http://'), ':(80|443)$', '')
+    || regexp_replace(regexp_replace(rest, '[?]$', ''), '/$', '') AS uri FROM pages2),
+records AS (
+  SELECT page_id * 2 AS record_id, uri, page_id * 10 AS ts, true AS full_one, tag AS etag, 'day ' || (page_id % 7) AS modified,
+    page_id, length(html) AS n FROM named
+  UNION ALL
+  SELECT page_id * 2 + 1, uri, page_id * 10 + 25, false, CASE WHEN page_id % 3 = 0 THEN tag WHEN page_id % 3 = 1 THEN '"other"' END,
+    CASE WHEN page_id % 2 = 0 THEN 'day ' || (page_id % 7) END, page_id, NULL FROM named),
+asof_ AS (
+  SELECT *, max(CASE WHEN full_one THEN struct_pack(ts := ts, id := record_id) END)
+    OVER (PARTITION BY uri ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS near FROM records),
+both_ AS (
+  SELECT a.record_id, a.uri, near.id AS refers_to, a.etag, a.modified, f.etag AS f_etag, f.modified AS f_modified, a.ts, f.ts AS f_ts, f.n
+  FROM asof_ a LEFT JOIN records f ON f.record_id = near.id WHERE NOT a.full_one),
+judged AS (
+  SELECT *, CASE WHEN refers_to IS NULL THEN 'orphan'
+    WHEN etag IS NOT NULL AND etag <> f_etag OR etag IS NULL AND modified IS NOT NULL AND modified <> f_modified THEN 'mismatch'
+    WHEN etag IS NULL AND modified IS NULL THEN 'unverified' ELSE 'resolved' END AS verdict FROM both_)
+SELECT record_id, uri, refers_to, verdict,
+  CASE WHEN verdict = 'resolved' THEN 'content-length=' || n || ';date=' || ts || ';server=s' END AS headers
+FROM judged
+"""
+
+QUALITY_SQL = r"""
+WITH words AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda k: [w[k], w[k + 1], w[k + 2]])) AS g,
+    unnest(range(1, len(w) - 1)) AS p0 FROM words WHERE len(w) >= 3),
+often AS (SELECT doc_id, p0, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([p0, p0 + 1, p0 + 2]) AS p FROM often WHERE n > 1) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words),
+dups AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+counts AS (
+  SELECT w.doc_id, w.source, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM words w LEFT JOIN covered USING (doc_id) LEFT JOIN dups USING (doc_id)),
+ruled AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
+fails AS (
+  SELECT source, r, count(*)::DOUBLE AS n, sum(f::INT)::DOUBLE AS k FROM (
+    SELECT source, unnest(['short', 'repeats', 'symbols']) AS r,
+      unnest([n_words < 50, 100 * n_repeat_words > 50 * n_words, 2 * n_symbols > word_chars]) AS f FROM ruled) GROUP BY source, r),
+moments AS (SELECT r, avg(k / n) AS mean, var_samp(k / n) AS var, avg(1 / n) AS inverse FROM fails GROUP BY r),
+spreads AS (SELECT *, coalesce(var, 0) - mean * (1 - mean) * inverse AS spread FROM moments),
+priors AS (
+  SELECT r, CASE WHEN mean <= 0 OR mean >= 1 THEN mean + 0.01 ELSE mean * weight END AS a,
+    CASE WHEN mean <= 0 OR mean >= 1 THEN 1 - mean + 0.01 ELSE (1 - mean) * weight END AS b
+  FROM (SELECT *, CASE WHEN spread > 0 THEN least(1e6, greatest(1, mean * (1 - mean) / spread - 1)) ELSE 1e6 END AS weight FROM spreads)),
+hosts AS (SELECT source, bool_and((k + a) / (n + a + b) <= 0.9) AS host_ok FROM fails JOIN priors USING (r) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_ok AS kept
+FROM ruled JOIN hosts ON ruled.source IS NOT DISTINCT FROM hosts.source
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": LINES_SQL, "op4_warc_revisits": WARC_SQL, "op5_quality_rules": QUALITY_SQL}
