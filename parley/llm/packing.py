@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,23 +21,63 @@ CAPACITY = 2048
 END = 0
 VOCABULARY = "byte_bpe_50k.json"
 CACHE = 400_000
+#: The pre-tokeniser's pattern; white space other than space and newline.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+OTHER_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 CHUNK_ROWS = 200_000
 
 
+def _byte_of_letter() -> dict[str, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others are numbered from 256."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+class _Words(dict):
+    """Word -> bytes of its ids, worked out when first asked for; emptied at CACHE entries."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        found = self[word] = self.encode(word)
+        return found
+
+
 class Encoder:
-    """Ids of whole texts, with the ids of words seen before kept (a bounded cache of exact results).
+    """Exact ids of whole texts, with those of words seen before kept.
 
-    The pre-tokeniser never joins a non-space, a single space and what follows
-    it, so a text may be cut before each such space without changing its ids.
-    Texts where a cut would fall elsewhere are encoded whole.
+    The pre-tokeniser always parts a text before a single space or newline that
+    stands between other characters, so words between them can be encoded one by
+    one, by merge ranks read from the tokenizer's own file. A text with other
+    white space, or with white space beside white space, is encoded whole.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        spec = json.loads(self.tokenizer.to_str())
+        pre = spec.get("pre_tokenizer") or {}
+        self.by_word = spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        if self.by_word:
+            letter = _byte_of_letter()
+            special = {t["content"] for t in spec["added_tokens"]}
+            ranks = {bytes(letter[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in special}
+            ranked = tiktoken.Encoding("words", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+            one = ranked._encode_single_piece
+
+            def encode(word: str) -> bytes:
+                ids = one(word) if word.lstrip(" ").isalpha() else ranked.encode_ordinary(word)
+                return np.array(ids, "<u4").tobytes()
+
+            self.first, self.later = _Words(encode), _Words(lambda w: encode(f" {w}"))
+            self.newline = encode("\n")
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -44,18 +86,16 @@ class Encoder:
         """Ids of the text as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
-        words = text.split(" ")
-        if text[0].isspace() or text[-1].isspace() or not all(words) or any(w[0].isspace() or w[-1].isspace() for w in words):
+        if not self.by_word or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", " \n", "\n ", "\n\n")) or OTHER_SPACE.search(text):
             return self._encode([text])[0]
-        first = words[0]
-        known = self.known
-        missing = list({w for w in words[1:] if w not in known})
-        if len(known) + len(missing) > CACHE:
-            known.clear()
-            missing = list(set(words[1:]))
-        if missing:
-            known.update(zip(missing, self._encode([f" {w}" for w in missing])))
-        return self._encode([first])[0] + b"".join([known[w] for w in words[1:]])
+        first, later, out = self.first, self.later, []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            out.append(first[words[0]])
+            out += [later[w] for w in words[1:]]
+            out.append(self.newline)
+        out.pop()
+        return b"".join(out)
 
 
 @lru_cache(1)
