@@ -73,7 +73,7 @@ def _marks(tag: str, attributes: str) -> tuple[str, bool, bool]:
         main |= key == "role" and value == "main"
         if key == "class":
             name = "." + ".".join(sorted(words))
-    return tag + name, marked, main
+    return tag + name, marked and tag not in ("html", "body", "main"), main  # a page's own classes name what it has, not what it is
 
 
 def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:

@@ -23,6 +23,7 @@ def test_unmarked_and_broken():
     assert text("<p>a<p>b <i>c") == "a\nb c"
     assert text("<body><div>x<nav>m</nav>y</div>") == "x\ny"
     assert text("<p>cut &am") == "cut &am"
+    assert text('<body class="has-sidebar"><p>a</p><div class="sidebar">b</div>') == "a"
     assert text("<p>cut <b") == "cut"
     assert text("<article><p>a</b></i></p>b</article>c") == "a\nb"
     assert text("<div " + "a='" * 2000 + ">x") is not None
