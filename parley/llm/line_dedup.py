@@ -100,11 +100,13 @@ def dedup_lines(
     scratch = Scratch(spark, "lines")
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("h1", "h2", "doc")] + [T.StructField("pos", T.IntegerType())])
     lines = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(_explode(min_chars), schema)
-    often = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2")
+    # the one-row-a-key sides are written, so that a key with very many lines can be split in the joins
+    often = scratch.keep(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2"), "often")
     hits = scratch.keep(lines.join(often, ["h1", "h2"]), "hits")  # far fewer rows: lines met once are gone
     shared = hits.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("holder"))
+    shared = scratch.keep(shared.where(F.col("n_docs") >= min_docs).select("h1", "h2", "holder"), "shared")
     drops = (
-        hits.join(shared.where(F.col("n_docs") >= min_docs).select("h1", "h2", "holder"), ["h1", "h2"])
+        hits.join(shared, ["h1", "h2"])
         .where("doc <> holder")
         .groupBy("doc")
         .agg(F.collect_set(F.struct("pos", "h1", "h2")).alias("__drops"))
