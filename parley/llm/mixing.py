@@ -12,7 +12,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BLOCK = 128
-SHARD_ROWS = 50_000
+SHARD_ROWS = 4_000
 SEED = 17
 
 
