@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import analytics, corpus, cues, film, genstore, ladder, quality, retrieval
+from ..operators import analytics, corpus, cues, film, genstore, ladder, quality, retrieval, titles
 from ..sources import pages
 from .bindings import CUES, LINES, LOG, MOVIES, QUALITY, QUERY, WINDOWS, Corpus, normal_sql, sql
 
@@ -626,3 +626,114 @@ def ttl_retention(c: Corpus) -> DataFrame:
 @query(sql([LOG], "SELECT query_norm, n, round(greatest(n::DOUBLE / max(n) OVER () * 100, 3), 6) AS height FROM (SELECT query_norm, count(*) AS n FROM log GROUP BY 1)"))
 def bar_heights(c: Corpus) -> DataFrame:
     return analytics.bar_heights(c.log.groupBy("query_norm").agg(F.count("*").alias("n"))).withColumn("height", r("height"))
+
+
+# --- titles, layers and reports -----------------------------------------------
+
+KEY = """replace(regexp_replace(trim(regexp_replace(lower({t}), '[^a-z0-9]+', ' ', 'g')), '^(the|a|an) ', ''), ' ', '')"""
+
+
+@query(sql([MOVIES], f"""SELECT w.id, min('s' || i.id) AS slug FROM movies w JOIN movies i ON {KEY.format(t="'The ' || w.title")} = {KEY.format(t='i.title')}
+  AND (CASE WHEN i.id % 3 = 0 THEN NULL ELSE i.year + i.id % 4 END IS NULL OR abs(i.year + i.id % 4 - w.year) <= 1) GROUP BY w.id"""))
+def title_year_join(c: Corpus) -> DataFrame:
+    wanted = c.movies.select("id", F.concat(F.lit("The "), "title").alias("title"), "year")
+    index = c.movies.select(F.concat(F.lit("s"), "id").alias("slug"), "title", F.when(F.col("id") % 3 != 0, F.col("year") + F.col("id") % 4).cast("int").alias("year"))
+    return titles.year_tolerant(wanted, index)
+
+
+@query(sql([MOVIES, f"""own AS (SELECT id, {KEY.format(t="title || ' the long name' || CASE WHEN id % 2 = 0 THEN ' part two' ELSE '' END")} AS key FROM movies)""",
+    f"""ix AS (SELECT 's' || id AS slug, {KEY.format(t="title || ' the long name'")} AS other FROM movies)"""],
+  """SELECT id, min(CASE WHEN key = other THEN 0 ELSE 2 END)::INT AS way, arg_min(slug, (CASE WHEN key = other THEN 0 ELSE 2 END, slug)) AS slug
+  FROM own JOIN ix ON length(key) >= 10 AND length(other) >= 10 AND (starts_with(key, other) OR starts_with(other, key) OR ends_with(key, other) OR ends_with(other, key)) GROUP BY id"""))
+def title_resolve(c: Corpus) -> DataFrame:
+    named = F.concat("title", F.lit(" the long name"))
+    wanted = c.movies.select("id", F.when(F.col("id") % 2 == 0, F.concat(named, F.lit(" part two"))).otherwise(named).alias("title"))
+    index = c.movies.select(F.concat(F.lit("s"), "id").alias("slug"), named.alias("title"))
+    aliases = c.spark.createDataFrame([("no such title", "none either")], "alias string, title string")
+    return titles.resolve(wanted, index, aliases)
+
+
+@query(sql([MOVIES], """SELECT coalesce(a.id, b.id) AS movie_id, array_to_string(coalesce(CASE WHEN b.id % 4 <> 0 THEN [b.id * 2] END, a.seqs), ',') AS seqs
+  FROM (SELECT id, [id, id + 1] AS seqs FROM movies WHERE id % 3 <> 0) a FULL JOIN (SELECT id FROM movies WHERE id % 2 = 0 AND id % 4 <> 0) b ON a.id = b.id"""))
+def map_override(c: Corpus) -> DataFrame:
+    i = F.col("id")
+    base = c.movies.where(i % 3 != 0).select(i.alias("movie_id"), F.array(i, i + 1).alias("seqs"))
+    curated = c.movies.where(i % 2 == 0).select(i.alias("movie_id"), F.when(i % 4 != 0, F.array(i * 2)).otherwise(F.array().cast("array<bigint>")).alias("seqs"))
+    return titles.overridden(base, curated, "movie_id", "seqs").select("movie_id", F.array_join(F.col("seqs").cast("array<string>"), ",").alias("seqs"))
+
+
+@query(sql([MOVIES], "SELECT id, votes FROM movies WHERE id NOT IN (SELECT doc_id FROM labels) ORDER BY votes DESC, id LIMIT 100"))
+def missing_films(c: Corpus) -> DataFrame:
+    return titles.missing(c.movies, c.table("labels").select(F.col("doc_id").alias("movie_id")), 100).select("id", "votes")
+
+
+@query(sql([MOVIES], "SELECT DISTINCT l.doc_id AS movie_id FROM (SELECT doc_id FROM labels WHERE toxic = 1 UNION SELECT doc_id FROM labels WHERE quality = 0) l JOIN movies m ON m.id = l.doc_id"))
+def layer_targets(c: Corpus) -> DataFrame:
+    labels = c.table("labels").withColumnRenamed("doc_id", "movie_id")
+    return titles.targets([labels.where("toxic = 1"), labels.where("quality = 0")], c.movies)
+
+
+@query(sql([MOVIES], """SELECT id AS movie_id, CASE WHEN doc_id IS NULL THEN 'pending' ELSE 'done' END AS status, CASE WHEN doc_id IS NULL THEN 0 ELSE 1 END AS attempts FROM movies LEFT JOIN labels ON doc_id = id"""))
+def queue_merge(c: Corpus) -> DataFrame:
+    saved = c.table("labels").select(F.col("doc_id").alias("movie_id"), F.lit("t").alias("title"), F.lit("done").alias("status"), F.lit(1).alias("attempts"))
+    merged = genstore.queue_merge(saved, c.movies.select(F.col("id").alias("movie_id"), "title"))
+    return merged.select("movie_id", "status", "attempts")
+
+
+@query("""SELECT doc_id AS movie_id, 'toxic;low' AS feedback FROM labels WHERE toxic = 1 AND quality = 0 UNION ALL SELECT doc_id, 'low' FROM labels WHERE toxic = 0 AND quality = 0""")
+def repair_set(c: Corpus) -> DataFrame:
+    issue = lambda name: F.struct(F.lit("label").alias("kind"), F.lit(name).alias("detail"))
+    labels = c.table("labels")
+    stored = labels.select(
+        F.col("doc_id").alias("movie_id"), (F.col("quality") == 1).alias("valid"), F.lit(False).alias("refused"),
+        F.when(F.col("toxic") == 1, F.array(issue("toxic"), issue("low"))).otherwise(F.array(issue("low"))).alias("issues"),
+    )
+    return genstore.repair_set(stored).select("movie_id", F.array_join("feedback", ";").alias("feedback"))
+
+
+@query(sql([WINDOWS, LINES], """SELECT movie_id, start_seq, end_seq, left(sha256(string_agg(text, chr(10) ORDER BY seq) || chr(10)), 16) AS input_hash, count(*)::INT AS n
+  FROM windows JOIN lines USING (movie_id) WHERE seq BETWEEN start_seq AND end_seq GROUP BY ALL"""))
+def window_inputs(c: Corpus) -> DataFrame:
+    made = genstore.window_inputs(c.lines, c.windows.select("movie_id", "start_seq", "end_seq"))
+    return made.select("movie_id", "start_seq", "end_seq", "input_hash", F.size("texts").alias("n"))
+
+
+@query(sql([WINDOWS, LINES], """SELECT movie_id, start_seq, end_seq, string_agg(text, chr(10) ORDER BY seq) AS shown, end_seq - start_seq + 1 AS total_lines
+  FROM windows JOIN lines USING (movie_id) WHERE seq BETWEEN start_seq AND least(end_seq, start_seq + 24) GROUP BY ALL"""))
+def source_lines(c: Corpus) -> DataFrame:
+    return film.source_lines(c.lines, c.windows).select("movie_id", "start_seq", "end_seq", F.array_join("lines", "\n").alias("shown"), "total_lines")
+
+
+@query(sql([LINES], r"""SELECT movie_id, sum(len(regexp_extract_all(text, '[a-z]I[a-z]')) + len(regexp_extract_all(text, '[a-z]"[a-z]')))::BIGINT AS marks,
+  count(*) FILTER (WHERE regexp_matches(text, '[.?!…]["\'\'”’]?\s*$')) AS terminal FROM lines GROUP BY 1""".replace("\\'", "'")))
+def damage_counters(c: Corpus) -> DataFrame:
+    marks = F.regexp_count("text", F.lit("[a-z]I[a-z]")) + F.regexp_count("text", F.lit('[a-z]"[a-z]'))
+    return c.lines.groupBy("movie_id").agg(F.sum(marks).alias("marks"), F.count_if(T.has_terminal(F.col("text"))).alias("terminal"))
+
+
+@query(sql([MOVIES, LINES, f"asked AS (SELECT item_id, {normal_sql('text')} AS q FROM benchmark)"],
+  """SELECT item_id, coalesce(min(movie_id), -1) AS first_film, count(movie_id) AS n FROM asked LEFT JOIN lines ON contains(text_norm, q) AND q <> '' GROUP BY 1"""))
+def benchmark_lookup(c: Corpus) -> DataFrame:
+    """The stated query set in one pass over the lines: a bounded set of phrases against all rows, in blocks of lines."""
+    asked = c.table("benchmark").select("item_id", T.normalize(F.col("text")).alias("q"))
+    hits = c.lines.join(F.broadcast(asked), F.col("text_norm").contains(F.col("q")) & (F.col("q") != "")).groupBy("item_id").agg(F.min("movie_id").alias("f"), F.count("*").alias("k"))
+    return asked.join(hits, "item_id", "left").select("item_id", F.coalesce("f", F.lit(-1)).alias("first_film"), F.coalesce("k", F.lit(0)).alias("n"))
+
+
+@query(sql([LOG], "SELECT date_trunc('day', ts) AS day, query_norm, count(*) AS n, count(DISTINCT visitor) AS visitors FROM log GROUP BY 1, 2"))
+def daily_log(c: Corpus) -> DataFrame:
+    log = analytics.search_log(c.log)
+    return log.groupBy(F.date_trunc("day", "ts").alias("day"), "query_norm").agg(F.count("*").alias("n"), F.count_distinct("visitor").alias("visitors"))
+
+
+@query()
+def visitor_hashes(c: Corpus) -> DataFrame:
+    from ..functions.hashing import visitor_hash
+
+    return c.table("events").select("event_id", visitor_hash(F.col("user_id").cast("string"), F.col("event_type"), F.col("ts")).alias("visitor_hash"))
+
+
+@query(sql(CROSS, """SELECT a, b, ia, ib, round(contrast, 3) AS contrast FROM (SELECT *, score - (avg(score) OVER (PARTITION BY a, b, ia) + avg(score) OVER (PARTITION BY a, b, ib)) / 2 AS contrast FROM crossed)
+  WHERE contrast >= 0.16"""))
+def beat_bridge(c: Corpus) -> DataFrame:
+    return titles.beat_bridge(film.cross_scores(*_bridge_sides(c), ["a", "b"])).select("a", "b", "ia", "ib", r("contrast", 3).alias("contrast"))

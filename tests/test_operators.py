@@ -340,3 +340,17 @@ def test_best_matches_in_blocks(spark):
     for block in (7, 2048):
         got = {(r.movie_id, r.idx, r.other): r.best for r in corpus.best_matches(s, block).collect()}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_titles_resolve_in_order(spark):
+    from parley.operators import titles
+
+    index = spark.createDataFrame([("a", "Alien"), ("b", "Blade Runner: The Final Cut"), ("c", "The Thing")], "slug string, title string")
+    aliases = spark.createDataFrame([("Das Ding", "Thing")], "alias string, title string")
+    wanted = spark.createDataFrame([(1, "ALIEN"), (2, "Blade Runner"), (3, "Das Ding"), (4, "Nothing")], "id long, title string")
+    assert {(r.id, r.way, r.slug) for r in titles.resolve(wanted, index, aliases).collect()} == {(1, 0, "a"), (2, 2, "b"), (3, 1, "c")}
+    old = spark.createDataFrame([(1, 50.0), (2, 50.0)], "movie_id long, score double")
+    new = spark.createDataFrame([(1, "x", 40.0), (2, "draft", 40.0), (3, "x", 1.0)], "movie_id long, kind string, score double")
+    assert {(r.movie_id, r.replace) for r in titles.better_layer(old, new, ["draft"]).collect()} == {(1, False), (2, True), (3, True)}
+    queue = spark.createDataFrame([(1, "pending", 3), (2, "pending", 1), (3, "done", 0), (4, "pending", 0)], "movie_id long, status string, attempts int")
+    assert [r.movie_id for r in titles.due(queue, 5).collect()] == [4, 2]
