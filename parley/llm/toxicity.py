@@ -121,6 +121,14 @@ def held_out(doc_id: str) -> F.Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
+def drawn_by_hash(ids: DataFrame, n: int, most: int) -> DataFrame:
+    """At most `most` of n ids, by their hash. A hash bound first leaves about that many, so no task sends a full sample of its own."""
+    turn = F.xxhash64(F.lit(11), "id")
+    parts = 1 << 30
+    near = ids if n <= 2 * most else ids.where(F.pmod(turn, F.lit(parts)) < int(parts * 1.2 * most / n))
+    return near.orderBy(F.pmod(turn, F.lit(parts)), "id").limit(most)
+
+
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit on rows that are not held out.
 
@@ -131,12 +139,12 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     """
     spark = docs.sparkSession
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held_out(doc_id)).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("y"))
-    share = known.agg(F.avg((F.col("y") == 1).cast("double")).alias("p")).first()["p"]
-    turn = F.xxhash64(F.lit(11), "id")
-    yes = known.where("y = 1").select("id", F.lit(True).alias("positive")).orderBy(turn).limit(MAX_POSITIVE)
+    row = known.agg(F.avg((F.col("y") == 1).cast("double")).alias("p"), F.count_if(F.col("y") == 1).alias("n")).first()
+    share = row["p"]
+    yes = drawn_by_hash(known.where("y = 1").select("id"), row["n"], MAX_POSITIVE).select("id", F.lit(True).alias("positive"))
     # a row may be drawn as unlabelled and be positive too: unlabelled text holds positives at the prior rate
     ids = docs.where(F.col(doc_id).isNotNull() & ~held_out(doc_id)).select(F.col(doc_id).alias("id"))
-    some = ids.select("id", F.lit(False).alias("positive")).orderBy(turn).limit(MAX_UNLABELLED)
+    some = drawn_by_hash(ids, ids.count(), MAX_UNLABELLED).select("id", F.lit(False).alias("positive"))
     drawn = spark.createDataFrame(yes.collect() + some.collect(), "id long, positive boolean")
     drawn_texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(drawn), "id")
     sample = Scratch(spark, "toxicity").keep(drawn_texts.select("positive", "text").dropDuplicates(["positive", "text"]), "sample")
