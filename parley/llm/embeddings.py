@@ -19,6 +19,7 @@ RECALL = 0.995
 #: Bounds of what the index is fitted on; every vector is indexed.
 SAMPLE = 16_384
 TRIALS = 4_096
+OWN_LINKS = 8_192
 CELL_ROWS = 32
 MAX_CODES = 1_024
 BLOCK = 2_048
@@ -113,20 +114,20 @@ def fit(sample: np.ndarray, n: int, *, threshold: float = THRESHOLD, recall: flo
     w = np.where(norm > 1e-9, w / np.maximum(norm, 1e-9), 0)
     v = threshold * u + np.sqrt(1 - threshold**2) * w
     needed = [_needed(index, u, v)]
-    links_u, links_v = [], []
+    own = []
     for at in range(0, len(u), 512):
         i, j = np.nonzero(u[at : at + 512] @ x.T >= threshold)
-        links_u.append(u[at + i]), links_v.append(x[j])
-    links_u, links_v = np.concatenate(links_u)[:200_000], np.concatenate(links_v)[:200_000]
-    if len(links_u):
-        needed.append(_needed(index, links_u, links_v))
+        some = rng.choice(len(i), min(len(i), OWN_LINKS), replace=False)  # of each slice, so a large group can't fill memory
+        own.append(_needed(index, u[at + i[some]], x[j[some]]) if len(some) else np.empty(0))
+    if len(own := np.concatenate(own)):
+        needed.append(own)
     index.reach = max(float(np.quantile(d, recall)) for d in needed) + 1e-9
     return index
 
 
 def _needed(index: MultiIndex, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """How far u must look to visit v's cell."""
-    out = []
+    out = [np.empty(0)]
     width = len(index.second)
     for at in range(0, len(u), 2048):
         a, b = index.margins(u[at : at + 2048, : index.split], index.first)[1], index.margins(u[at : at + 2048, index.split :], index.second)[1]
@@ -229,11 +230,13 @@ def near_duplicates(table: DataFrame, *, vec_id: str = "vec_id", embedding: str
         found = scratch.keep(_blocks(routed).groupBy("cell", "same", "a", "b").applyInArrow(_compare(threshold), "uid long, links long, root long"), "links")
     else:
         found = scratch.keep(spark.createDataFrame([], "uid long, links long, root long"), "links")
-    roots = distributed_roots(found.where("uid <> root").select(F.col("uid").alias("src"), F.col("root").alias("dst")), scratch)
-    linked = found.groupBy("uid").agg(F.sum("links").alias("links"))
-    nodes = distinct.join(roots, F.col("uid") == F.col("node"), "left").select("uid", "least", "mult", "vector", F.coalesce("root", "uid").alias("root"))
-    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    full = nodes.join(least, "root").join(linked, "uid", "left").select(
+    # a vector has a root in every comparison it links in; those few roots stand for all that they gather
+    per = scratch.keep(found.groupBy("uid").agg(F.sum("links").alias("links"), F.collect_set("root").alias("roots")).withColumn("hub", F.array_min("roots")), "roots")
+    across = distributed_roots(per.select(F.explode("roots").alias("src"), F.col("hub").alias("dst")), scratch)
+    linked = per.join(across, F.col("hub") == F.col("node"), "left").select("uid", "links", F.coalesce("root", "hub").alias("root"))
+    nodes = distinct.join(linked, "uid", "left").select("uid", "least", "mult", "vector", "links", F.coalesce("root", "uid").alias("root"))
+    least = scratch.keep(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    full = nodes.join(least, "root").select(
         F.col("vector").alias("v"), (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"
     )
     named = rows.withColumn("key", F.when(good, F.col("vector"))).drop("vector")
