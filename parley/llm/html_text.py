@@ -33,11 +33,14 @@ MARKS = frozenset(
 )
 #: Start tags that close an open element of the same kind, up to the nearest container.
 SIBLING = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table", "tbody", "thead"), "option": ("select",)}
+#: What follows a tag's name; a quoted value may hold any character, one whose quote never ends holds none.
+ATTRIBUTES = r"""(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+"""
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>]){ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+MARKING = frozenset("class id role hidden aria-hidden".split())
 MIN_PAGES = 5
 LOW = 0.3
 GAMMA = 0.9
@@ -65,6 +68,8 @@ def _marks(tag: str, attributes: str) -> tuple[str, bool, bool]:
     name, marked, main = "", False, tag == "main"
     for key, a, b, c in ATTRIBUTE.findall(attributes) if attributes else ():
         key, value = key.lower(), (a or b or c).lower()
+        if key not in MARKING:
+            continue
         if key in ("hidden", "aria-hidden"):
             marked |= key == "hidden" or value == "true"
             continue

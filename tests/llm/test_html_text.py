@@ -29,6 +29,14 @@ def test_unmarked_and_broken():
     assert text("<div " + "a='" * 2000 + ">x") is not None
 
 
+def test_attributes_are_read_as_such():
+    assert text('<article><p title="a > b" class=x>one</p><img alt="<p>no</p>">two</article>') == "one\ntwo"
+    assert text('<div style="overflow:hidden"><p data-id="menu" data-note="class=ad">kept</p></div><p hidden>gone</p>') == "kept"
+    assert text("<p title='5 > 4'>a</p><p title=\"open>b</p><p class='ad'>c</p>") == "a\nb"
+    assert text("<script data-x='>'>var a</script><p>t</p>") == "t"
+    assert text("<a " + '="' * 200_000) == "" and text("<p " + "= " * 200_000 + ">x") == "x"
+
+
 def test_whole_table(spark, sf):
     rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
     got = {r.page_id: r for r in html_text.extract(spark.read.parquet(f"{sf}/pages.parquet")).collect()}
