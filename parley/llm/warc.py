@@ -10,8 +10,6 @@ from .scratch import Scratch
 
 #: Headers that a not-modified answer must not change in the stored response.
 FORBIDDEN = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "te", "trailer", "transfer-encoding", "upgrade")
-#: Captures of one URL are cut into slices of about this many before the as-of step.
-SLICES = 64
 
 
 def canonical_url(url) -> F.Column:
@@ -23,6 +21,14 @@ def canonical_url(url) -> F.Column:
     return F.concat(head, F.regexp_replace(F.regexp_replace(rest, "[?]$", ""), "/$", ""))
 
 
+def _lower_names(headers: str) -> F.Column:
+    """A map's entries by lower-case name, of alike names the smallest by code point; a null map is empty."""
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    entries = F.transform(F.array_sort(F.coalesce(F.map_entries(headers), none)), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    names = F.transform(entries, lambda e: e["key"])
+    return F.map_from_entries(F.filter(entries, lambda e, k: F.array_position(names, e["key"]) == k + 1))
+
+
 def resolve(records: DataFrame) -> DataFrame:
     """Not-modified revisits joined as-of to the latest earlier full response of their canonical URL.
 
@@ -36,9 +42,11 @@ def resolve(records: DataFrame) -> DataFrame:
     but for the forbidden ones; only resolved revisits get merged headers.
     Null urls or times are orphans; repeated rows come back each.
 
-    A URL with a third of all captures is no hot group: its captures are dealt
-    into slices by time, each slice is searched alone, and a slice's last
-    response is carried into later ones over one row per slice.
+    Header names that differ by case only count as one, the smallest by code point.
+
+    A URL with a third of all captures is no hot group: all captures are dealt
+    into even ranges of (URL, time, id), each range is searched alone, and a
+    range's last response to a URL is carried into later ones over one row each.
     """
     scratch = Scratch(records.sparkSession, "warc")
     keyed = records.select(
@@ -46,9 +54,8 @@ def resolve(records: DataFrame) -> DataFrame:
     )
     usable = F.col("uri").isNotNull() & F.col("ts").isNotNull() & F.col("record_id").isNotNull()
     times = keyed.where(usable).select("uri", "ts", "record_id", "kind")
-    span = times.groupBy("uri").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / F.lit(SLICES))).cast("long")
-    cut = scratch.keep(times.join(span, "uri").select("uri", F.floor((F.col("ts") - F.col("lo")) / width).cast("int").alias("slice"), "ts", "record_id", "kind"), "cut")
+    # ranges of the whole order are of even size however the captures of a URL or a moment pile up
+    cut = scratch.keep(times.repartitionByRange("uri", "ts", "record_id").withColumn("slice", F.spark_partition_id()), "cut")
     response = F.when(F.col("kind") == "response", F.struct("ts", "record_id"))
     carried = (
         cut.groupBy("uri", "slice").agg(F.max(response).alias("last"))
@@ -69,9 +76,8 @@ def resolve(records: DataFrame) -> DataFrame:
     verdict = (
         F.when(F.col("refers_to").isNull(), "orphan").when(differs, "mismatch").when(agrees[0].isNull() & agrees[1].isNull(), "unverified").otherwise("resolved")
     )
-    lower = lambda c: F.map_from_entries(F.array_distinct(F.transform(F.map_entries(F.coalesce(F.col(c), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
-    fresh = F.map_filter(lower("headers"), lambda k, v: ~k.isin(*FORBIDDEN))
-    old = F.map_filter(lower("f_headers"), lambda k, v: ~F.map_contains_key(fresh, k))
+    fresh = F.map_filter(_lower_names("headers"), lambda k, v: ~k.isin(*FORBIDDEN))
+    old = F.map_filter(_lower_names("f_headers"), lambda k, v: ~F.map_contains_key(fresh, k))
     return both.select(
         "record_id", "uri", "refers_to", verdict.alias("verdict"), F.when(verdict == "resolved", F.map_concat(old, fresh)).alias("headers")
     )

@@ -35,8 +35,25 @@ def test_cases(spark):
     assert got[5].headers == {} and got[4].headers is None
 
 
+def test_header_names_that_differ_by_case(spark):
+    rows = [
+        (1, "http://a/", 1, "response", "x", None, {"Server": "s", "SERVER": "t", "Age": None}, 0),
+        (2, "http://a/", 2, "revisit", "x", None, {"Date": "1", "date": "2"}, 0),
+        (2, "http://a/", 2, "revisit", "x", None, {"Date": "1", "date": "2"}, 0),
+    ]
+    got = warc.resolve(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [(r.verdict, r.headers) for r in got] == [("resolved", {"server": "t", "age": None, "date": "1"})] * 2
+
+
+@pytest.fixture
+def many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize("urls", [1, 7])
-def test_against_brute_force(spark, urls):
+def test_against_brute_force(spark, urls, many_ranges):
     rng = random.Random(urls)
     rows = [(k, f"http://h/{rng.randrange(urls)}", rng.randrange(200), rng.choice(["response", "revisit"]), None, None, None, 1) for k in range(400)]
     got = {r.record_id: r.refers_to for r in warc.resolve(spark.createDataFrame(rows, SCHEMA)).collect()}
