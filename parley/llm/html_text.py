@@ -31,6 +31,13 @@ MARKS = frozenset(
     "sidebar aside complementary footer contentinfo header masthead cookie cookies consent notice notices alert popup modal overlay comment comments "
     "reply replies disqus respond share sharing social related recommended newsletter subscribe signup login search widget toolbar skip hidden".split()
 )
+#: Words that may stand beside marks in a token ("site-footer", "share-buttons"); with any other word ("has-sidebar", "tag-search") it tells what a page has or is about.
+PLAIN = frozenset(
+    "area bar block bottom box btn button buttons container content form global group inner item items left links list main outer page panel posts "
+    "primary right row secondary section site top wrap wrapper".split()
+)
+#: Marks that hold over whole articles too, as readers' comments are articles of their own.
+COMMENTS = frozenset("comment comments reply replies disqus respond".split())
 #: Start tags that close an open element of the same kind, up to the nearest container.
 SIBLING = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table", "tbody", "thead"), "option": ("select",)}
 #: What follows a tag's name; a quoted value may hold any character, one whose quote never ends holds none.
@@ -46,12 +53,21 @@ LOW = 0.3
 GAMMA = 0.9
 
 
+@dataclass
+class Mark:
+    """A mark on an element: it holds unless the element turns out to be or to contain an article or main element."""
+
+    comments: bool
+    holds: bool = True
+
+
 @dataclass
 class Element:
     tag: str
     path: str
-    outside: bool
+    outside: bool  # by tags alone
     main: int  # 0: not in main text, 1: in main, 2: in an article
+    marks: tuple[Mark, ...] = ()
     styles: list[str] = field(default_factory=list)
 
 
@@ -61,24 +77,34 @@ class Block:
     path: str
     outside: bool
     main: int
+    marks: tuple[Mark, ...] = ()
+
+    @property
+    def marked(self) -> bool:
+        return any(m.holds for m in self.marks)
 
 
-def _marks(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """The path step of an element, whether a mark puts it outside the main text, and whether it says it is the main text."""
-    name, marked, main = "", False, tag == "main"
+def _marks(tag: str, attributes: str) -> tuple[str, Mark | None, bool]:
+    """The path step of an element, its mark if it has one, and whether it says it is the main text."""
+    name, found, main = "", set(), tag == "main"
     for key, a, b, c in ATTRIBUTE.findall(attributes) if attributes else ():
         key, value = key.lower(), (a or b or c).lower()
         if key not in MARKING:
             continue
         if key in ("hidden", "aria-hidden"):
-            marked |= key == "hidden" or value == "true"
+            if key == "hidden" or value == "true":
+                found.add("hidden")
             continue
-        words = re.split(r"[^a-z0-9]+", value)
-        marked |= not MARKS.isdisjoint(words)
+        for token in value.split():
+            words = {w for w in re.split(r"[^a-z0-9]+", token) if w}
+            if words <= MARKS | PLAIN:
+                found |= words & MARKS
         main |= key == "role" and value == "main"
         if key == "class":
-            name = "." + ".".join(sorted(words))
-    return tag + name, marked and tag not in ("html", "body", "main"), main  # a page's own classes name what it has, not what it is
+            name = "." + ".".join(sorted(re.split(r"[^a-z0-9]+", value)))
+    if not found or tag in ("html", "body", "main"):  # a page's own classes name what it has, not what it is
+        return tag + name, None, main
+    return tag + name, Mark(not COMMENTS.isdisjoint(found)), main
 
 
 def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
@@ -93,7 +119,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
             if text:
                 e = next(x for x in reversed(stack) if x.tag in BLOCK or x is root)
                 top = stack[-1]
-                blocks.append(Block(text, e.path, top.outside, top.main))
+                blocks.append(Block(text, e.path, top.outside, top.main, top.marks))
 
     def close(depth: int) -> None:
         flush()
@@ -138,9 +164,13 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
         if tag in VOID:
             continue
         parent = stack[-1]
-        step, marked, main = _marks(tag, m[4])
-        outside = parent.outside or marked or tag in OUTSIDE
-        if tag == "header" and parent.main and not parent.outside and not marked:
+        step, mark, main = _marks(tag, m[4])
+        marks = (*parent.marks, mark) if mark else parent.marks
+        outside = parent.outside or tag in OUTSIDE
+        if (tag == "article" or main) and not outside and parent.main < 2:
+            for own in marks:
+                own.holds &= own.comments and not main
+        if tag == "header" and parent.main and not parent.outside:
             outside = False  # an article's own header; only its headings are text
         inside = parent.main
         if not outside:
@@ -149,7 +179,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
         if own_header and block and tag not in HEADINGS and parent.tag == "header":
             outside = True
         parent.styles.append(step)
-        stack.append(Element(tag, f"{parent.path}/{step}" if block else parent.path, outside, inside))
+        stack.append(Element(tag, f"{parent.path}/{step}" if block else parent.path, outside, inside, marks))
     if at < len(page):
         parts.append(page[at:])
     close(1)
@@ -161,9 +191,18 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
+def _unmarked(blocks: list[Block]) -> list[Block]:
+    """Blocks outside neither by tags nor by marks; marks that leave nothing, or nothing of the article or main element, don't count there."""
+    inner = [b for b in blocks if not b.outside]
+    kept = [b for b in inner if not b.marked]
+    if any(b.main for b in inner) and not any(b.main for b in kept):
+        return [b for b in inner if b.main or not b.marked]
+    return kept or inner
+
+
 def main_text(page: str, low: set[int]) -> str:
     """Article blocks if there are any, else those in main, else the body's without its low-importance branches."""
-    blocks = [b for b in parse(page)[0] if not b.outside]
+    blocks = _unmarked(parse(page)[0])
     level = max((b.main for b in blocks), default=0)
     if level:
         return "\n".join(b.text for b in blocks if b.main == level)

@@ -37,6 +37,23 @@ def test_attributes_are_read_as_such():
     assert text("<a " + '="' * 200_000) == "" and text("<p " + "= " * 200_000 + ">x") == "x"
 
 
+def test_marks_drop_no_article():
+    for name in ("post category-social", "post tag-search", "entry comments-open", "ad", "post notice"):
+        assert text(f'<article class="{name}"><p>story</p></article>') == "story", name
+        assert text(f'<article><p>one</p></article><article class="{name}"><p>two</p></article>') == "one\ntwo", name
+    for name in ("container has-sidebar", "site-content no-sidebar", "sidebar", "widget comments", "overlay"):
+        assert text(f'<div class="{name}"><div><article><p>story</p></article></div></div>') == "story", name
+        assert text(f'<div class="{name}"><main><p>story</p><p class="ad">buy</p></main></div>') == "story", name
+    assert text('<article><p>story</p><p class="site-footer">f</p><ul class="x share-buttons"><li>s</ul><p id="ad-box">b</p></article>') == "story"
+    assert text('<article><p>story</p></article><section id="comments"><article class="comment"><p>reader</p></article></section>') == "story"
+
+
+def test_marks_leave_something():
+    assert text('<div class="widget"><p>all there is</p></div>') == "all there is"
+    assert text('<p>site</p><article><div class="social"><p>story</p></div></article>') == "story"
+    assert text('<nav>menu</nav><div class="banner">headline</div>') == "headline" and text("<nav>menu</nav>") == ""
+
+
 def test_whole_table(spark, sf):
     rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
     got = {r.page_id: r for r in html_text.extract(spark.read.parquet(f"{sf}/pages.parquet")).collect()}
