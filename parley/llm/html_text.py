@@ -1,4 +1,4 @@
-"""Main text of web pages, with a site style tree for pages that don't mark it."""
+"""Main text of web pages, by their marks and a site style tree."""
 
 from __future__ import annotations
 
@@ -200,40 +200,67 @@ def _unmarked(blocks: list[Block]) -> list[Block]:
     return kept or inner
 
 
-def main_text(page: str, low: set[int]) -> str:
-    """Article blocks if there are any, else those in main, else the body's without its low-importance branches."""
+def _feature(b: Block) -> int:
+    return _hash(f"{b.path}\n{b.text}")
+
+
+def main_text(page: str, low: set[int], repeated: set[int] = frozenset()) -> str:
+    """Article blocks if there are any, else those in main, else the body's; without low-importance branches.
+
+    `low` are paths, and go outside article and main; inside a block goes only
+    if it is in `repeated`, blocks of such paths that other articles of the
+    site hold too, and never if those are the most of the text: then the page
+    is a near copy.
+    """
     blocks = _unmarked(parse(page)[0])
     level = max((b.main for b in blocks), default=0)
     if level:
-        return "\n".join(b.text for b in blocks if b.main == level)
-    kept = [b for b in blocks if _hash(b.path) not in low]
+        blocks = [b for b in blocks if b.main == level]
+        kept = [b for b in blocks if _feature(b) not in repeated]
+        if 2 * sum(len(b.text) for b in kept) < sum(len(b.text) for b in blocks):
+            kept = blocks
+    else:
+        kept = [b for b in blocks if _hash(b.path) not in low]
     return "\n".join(b.text for b in kept or blocks)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, html) -> the page's contribution to its site's style tree; kind 0 content, 1 style, 2 page."""
+    """(host, html) -> the page's contribution to its site's style tree; kind 0 content, 1 style, 2 page, 3 block of an article or main element.
+
+    `copy` is the same for pages whose main text is the same.
+    """
     for batch in batches:
-        rows: list[tuple[int, int, int, int]] = []
+        rows: list[tuple[int, int, int, int, int]] = []
         for host, page in zip(batch.column(0), batch.column(1)):
             host = host.as_py()
             blocks, styles = parse(page.as_py() or "")
-            own = {(host, _hash(b.path), 0, _hash(b.text)) for b in blocks} | {(host, _hash(p), 1, _hash(s)) for p, s in styles}
-            own |= {(host, p, 2, 0) for _, p, _, _ in own}
+            inner = _unmarked(blocks)
+            level = max((b.main for b in inner), default=0)
+            copy = _hash("\n".join(b.text for b in inner if b.main == level))
+            own = {(host, _hash(b.path), 0, _hash(b.text), copy) for b in blocks} | {(host, _hash(p), 1, _hash(s), copy) for p, s in styles}
+            own |= {(host, p, 2, 0, copy) for _, p, *_ in own}
+            own |= {(host, _hash(b.path), 3, _feature(b), copy) for b in inner if b.main}
             rows.extend(own)
-        found = np.array(rows, np.int64).reshape(-1, 4)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(4)], ["host", "path", "kind", "feature"])
+        found = np.array(rows, np.int64).reshape(-1, 5)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(5)], ["host", "path", "kind", "feature", "copy"])
+
+
+def site_counts(pages: DataFrame) -> DataFrame:
+    """(host, html) -> (host, path, kind, feature, n, copies): in how many pages, and in how many different main texts."""
+    rows = pages.mapInArrow(_merge, "host long, path long, kind long, feature long, copy long")
+    once = rows.groupBy("host", "path", "kind", "feature", "copy").agg(F.count("*").alias("n"))
+    return once.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"), F.count("*").alias("copies"))
 
 
-def site_tree(pages: DataFrame) -> DataFrame:
-    """(host, html) -> (host, path, pages, importance): a node's entropy of presentation and of content over the site's pages.
+def site_tree(counts: DataFrame, of: str = "n") -> DataFrame:
+    """Counts -> (host, path, pages, importance): a node's entropy of presentation and of content over the site's pages, or over its main texts (`of` copies).
 
     Merged by counts with partial aggregation, so a host with a third of all
     pages is no hot group.
     """
-    rows = pages.mapInArrow(_merge, "host long, path long, kind long, feature long")
-    n = F.col("n").cast("double")
-    merged = rows.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n")).groupBy("host", "path").agg(
-        F.max(F.when(F.col("kind") == 2, F.col("n"))).alias("pages"),
+    n = F.col(of).cast("double")
+    merged = counts.where("kind < 3").groupBy("host", "path").agg(
+        F.max(F.when(F.col("kind") == 2, n)).alias("pages"),
         F.sum(F.when(F.col("kind") == 1, n)).alias("styles"),
         F.sum(F.when(F.col("kind") == 1, n * F.log(n))).alias("style_sum"),
         F.sum(F.when(F.col("kind") == 0, n)).alias("contents"),
@@ -245,11 +272,12 @@ def site_tree(pages: DataFrame) -> DataFrame:
     return merged.where(f"pages >= {MIN_PAGES} AND contents > 0").select("host", "path", "pages", ((1 - GAMMA) * style + GAMMA * content).alias("importance"))
 
 
-def _extract(names: list[str], html_at: int, low_at: int):
+def _extract(names: list[str], html_at: int, low_at: int, repeated_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page.as_py() or "", set(low.as_py() or ())) for page, low in zip(batch.column(html_at), batch.column(low_at))]
-            carried = [c for k, c in enumerate(batch.columns) if k not in (html_at, low_at)]
+            found = zip(batch.column(html_at), batch.column(low_at), batch.column(repeated_at))
+            texts = [main_text(page.as_py() or "", set(low.as_py() or ()), set(repeated.as_py() or ())) for page, low, repeated in found]
+            carried = [c for k, c in enumerate(batch.columns) if k not in (html_at, low_at, repeated_at)]
             yield pa.RecordBatch.from_arrays([*carried, pa.array(texts, pa.string())], names)
 
     return run
@@ -259,16 +287,22 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", pag
     """Per row: page_id, url, text (empty if none), n_chars.
 
     Null html is empty; a null or odd url belongs to the host "". Repeated rows
-    come back each. Where a page marks its article or main element, its text is
-    exactly that without marked boilerplate inside; elsewhere branches that the
-    site style tree finds of low importance go, unless nothing would stay.
+    come back each. Branches that the site style tree finds of low importance
+    go, unless nothing would stay. Where a page marks its article or main
+    element, its text is that without marked boilerplate, and a branch's block
+    goes only if other articles of the site hold it too.
     """
     scratch = Scratch(pages.sparkSession, "html")
     host = F.xxhash64(F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1)), F.lit("")))
     plain = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.col(page).cast("string").alias("html"))
-    low = scratch.keep(site_tree(plain.select("host", "html")).where(F.col("importance") < LOW).groupBy("host").agg(F.collect_set("path").alias("low")), "low")
-    size = low.agg(F.sum(F.size("low"))).first()[0] or 0
-    joined = plain.join(F.broadcast(low) if size <= 200_000 else low, "host", "left").select("page_id", "url", "html", "low")  # checked; more is shuffled
+    counts = scratch.keep(site_counts(plain.select("host", "html")), "counts")
+    branches = site_tree(counts).where(F.col("importance") < LOW).select("host", F.col("path").alias("low"), F.lit(None).cast("long").alias("repeated"))
+    inner = scratch.keep(site_tree(counts, "copies").where(F.col("importance") < LOW).select("host", "path"), "inner")
+    few = inner.count() <= 200_000  # checked; more are shuffled
+    blocks = counts.where("kind = 3 AND copies > 1").join(F.broadcast(inner) if few else inner, ["host", "path"]).select("host", F.lit(None).cast("long").alias("low"), F.col("feature").alias("repeated"))
+    low = scratch.keep(branches.unionByName(blocks).groupBy("host").agg(F.collect_set("low").alias("low"), F.collect_set("repeated").alias("repeated")), "low")
+    size = low.agg(F.sum(F.size("low") + F.size("repeated"))).first()[0] or 0
+    joined = plain.join(F.broadcast(low) if size <= 200_000 else low, "host", "left").select("page_id", "url", "html", "low", "repeated")  # checked; more is shuffled
     schema = T.StructType([joined.schema["page_id"], joined.schema["url"], T.StructField("text", T.StringType())])
-    done = joined.mapInArrow(_extract(["page_id", "url", "text"], 2, 3), schema)
+    done = joined.mapInArrow(_extract(["page_id", "url", "text"], 2, 3, 4), schema)
     return done.withColumn("n_chars", F.length("text").cast("long"))

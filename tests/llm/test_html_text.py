@@ -80,5 +80,22 @@ def test_style_tree_drops_what_repeats(spark):
     assert by[50] == "alone" and by[51] == "" and by[52] == "Same words everywhere"
 
 
+def test_style_tree_judges_articles(spark):
+    def page(story, box):
+        return f"<body><article><p>{story} told at some length</p><div>{box}</div><p>and it goes on: {story}</p></article></body>"
+
+    pages = [(k, "http://a.com/x", page(f"Story {k}", "By A. Writer")) for k in range(12)]
+    pages += [(k, "http://a.com/x", page(f"Story {k}", "its own box")) for k in (12,)]
+    pages += [(k, "http://copies.com/x", page("One story", "By A. Writer")) for k in range(20, 32)]
+    pages += [(k, "http://near.com/x", f"<article><h1>Title {k}</h1><p>A long text that all the near copies of it share</p></article>") for k in range(40, 52)]
+    pages += [(60, "http://lone.com/x", page("Story 60", "By A. Writer"))]
+    by = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(by[k] == f"Story {k} told at some length\nand it goes on: Story {k}" for k in range(12))
+    assert "its own box" in by[12]
+    assert all("By A. Writer" in by[k] and by[k].startswith("One story told") for k in range(20, 32))  # copies of one article
+    assert all(by[k] == f"Title {k}\nA long text that all the near copies of it share" for k in range(40, 52))
+    assert "By A. Writer" in by[60]
+
+
 def test_empty(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
