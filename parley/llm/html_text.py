@@ -205,7 +205,7 @@ def _feature(b: Block) -> int:
 
 
 def main_text(page: str, low: set[int], repeated: set[int] = frozenset()) -> str:
-    """Article blocks if there are any, else those in main, else the body's; without low-importance branches.
+    """Blocks in article and main elements, without low-importance branches, and the body's other ones where they hold more text.
 
     `low` are paths, and go outside article and main; inside a block goes only
     if it is in `repeated`, blocks of such paths that other articles of the
@@ -213,17 +213,22 @@ def main_text(page: str, low: set[int], repeated: set[int] = frozenset()) -> str
     is a near copy.
     """
     blocks = _unmarked(parse(page)[0])
-    level = max((b.main for b in blocks), default=0)
-    if level:
-        blocks = [b for b in blocks if b.main == level]
-        kept = [b for b in blocks if _feature(b) not in repeated]
-        if 2 * sum(len(b.text) for b in kept) < sum(len(b.text) for b in blocks):
-            kept = blocks
-    else:
-        kept = [b for b in blocks if _hash(b.path) not in low]
+    inside = [b for b in blocks if b.main]
+    own = [b for b in inside if _feature(b) not in repeated]
+    if 2 * _mass(own) < _mass(inside):
+        own = inside
+    others = [b for b in blocks if not b.main and _hash(b.path) not in low]
+    if inside and _mass(inside) >= _mass(others):
+        others = []
+    stay = {id(b) for b in own + others}
+    kept = [b for b in blocks if id(b) in stay]
     return "\n".join(b.text for b in kept or blocks)
 
 
+def _mass(blocks: list[Block]) -> int:
+    return sum(len(b.text) for b in blocks)
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, html) -> the page's contribution to its site's style tree; kind 0 content, 1 style, 2 page, 3 block of an article or main element.
 
@@ -235,8 +240,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             host = host.as_py()
             blocks, styles = parse(page.as_py() or "")
             inner = _unmarked(blocks)
-            level = max((b.main for b in inner), default=0)
-            copy = _hash("\n".join(b.text for b in inner if b.main == level))
+            copy = _hash("\n".join(b.text for b in [b for b in inner if b.main] or inner))
             own = {(host, _hash(b.path), 0, _hash(b.text), copy) for b in blocks} | {(host, _hash(p), 1, _hash(s), copy) for p, s in styles}
             own |= {(host, p, 2, 0, copy) for _, p, *_ in own}
             own |= {(host, _hash(b.path), 3, _feature(b), copy) for b in inner if b.main}
@@ -288,9 +292,10 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", pag
 
     Null html is empty; a null or odd url belongs to the host "". Repeated rows
     come back each. Branches that the site style tree finds of low importance
-    go, unless nothing would stay. Where a page marks its article or main
-    element, its text is that without marked boilerplate, and a branch's block
-    goes only if other articles of the site hold it too.
+    go, unless nothing would stay. Where a page has article or main elements,
+    its text is theirs without marked boilerplate, with the rest of the body
+    only where that is longer, and a branch's block inside goes only if other
+    articles of the site hold it too.
     """
     scratch = Scratch(pages.sparkSession, "html")
     host = F.xxhash64(F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1)), F.lit("")))

@@ -54,6 +54,13 @@ def test_marks_leave_something():
     assert text('<nav>menu</nav><div class="banner">headline</div>') == "headline" and text("<nav>menu</nav>") == ""
 
 
+def test_articles_beside_the_main_text():
+    assert text('<main><h1>Title</h1><p>long body</p><article class="card">teaser</article></main>') == "Title\nlong body\nteaser"
+    assert text('<main><p>body</p></main><div><article class="card">teaser</article></div>') == "body\nteaser"
+    assert text("<h1>Title</h1><p>a body much longer than the teaser</p><article>teaser</article>") == "Title\na body much longer than the teaser\nteaser"
+    assert text("<p>site</p><article>a story longer than the rest</article>") == "a story longer than the rest"
+
+
 def test_whole_table(spark, sf):
     rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
     got = {r.page_id: r for r in html_text.extract(spark.read.parquet(f"{sf}/pages.parquet")).collect()}
