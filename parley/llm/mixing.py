@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -94,8 +94,8 @@ def mix(
 
     Blocks of `block` words go to sources, then to the shards of each source.
     A shard's quota is filled in a seeded order: full rounds of all its
-    documents first, then documents up to the quota, then the one document left
-    that comes nearest to what is missing. Null texts have size 0 and are never
+    documents first, then each document that fits what is still missing, then
+    the one document left that comes nearest to the rest. Null texts have size 0 and are never
     taken; a null source is a source of its own, last; rows with equal doc_id
     and size are alike, so reruns agree. An empty table gives an empty result.
     """
@@ -118,24 +118,45 @@ def mix(
     ), "shards")
     few = quota.count() <= 100_000  # checked; more shards are shuffled
     both = sharded.join(F.broadcast(quota) if few else quota, sharded["source"].eqNullSafe(quota["__s"]) & (sharded["shard"] == quota["__h"]))
-    within = W.partitionBy("source", "shard").orderBy("turn", "doc_id", "size")
     rounds = F.when(F.col("__shard_size") > 0, F.least(F.lit(MAX_REPEATS), F.floor(F.col("__words") / F.col("__shard_size")))).otherwise(F.lit(0)).cast("long")
+    missing = F.when(rounds < MAX_REPEATS, F.col("__words") - rounds * F.col("__shard_size")).otherwise(F.lit(0)).cast("long")
     filled = (
-        both.withColumn("rounds", rounds)
-        .withColumn("missing", F.when(F.col("rounds") < MAX_REPEATS, F.col("__words") - F.col("rounds") * F.col("__shard_size")).otherwise(F.lit(0)))
-        .withColumn("upto", F.sum("size").over(within.rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("fits", (F.col("upto") <= F.col("missing")).cast("int"))
-        .withColumn("gap", F.col("missing") - F.coalesce(F.sum(F.col("fits") * F.col("size")).over(W.partitionBy("source", "shard")), F.lit(0)))
-    )
-    gain = F.when((F.col("fits") == 0) & (F.col("size") > 0) & (F.abs(F.col("gap") - F.col("size")) < F.col("gap")), F.abs(F.col("gap") - F.col("size")))
-    nearest = F.row_number().over(W.partitionBy("source", "shard").orderBy(gain.asc_nulls_last(), "turn", "doc_id", "size"))
-    extra = (F.col("fits") == 1) | ((F.col("nearest") == 1) & gain.isNotNull())
-    copies = F.when(F.col("size") > 0, F.col("rounds") + extra.cast("long")).otherwise(F.lit(0)).cast("long")
-    return filled.withColumn("nearest", nearest).select(
+        both.groupBy("source", "shard")
+        .agg(
+            F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first(rounds).alias("rounds"), F.first(missing).alias("missing"),
+            F.array_sort(F.collect_list(F.struct("turn", "doc_id", "size"))).alias("rows"),
+        )  # about shard_rows of them
+        .withColumn("done", _greedy(F.col("rows"), F.col("missing")))
+        .withColumn("nearest", _nearest(F.col("rows"), F.col("done.fits"), F.col("done.gap")))
+        .select("source", "source_size", "target", "rounds", "nearest", "done", F.posexplode("rows").alias("at", "row"))
+        .select("source", "source_size", "target", "rounds", "row.doc_id", "row.size", (F.get("done.fits", F.col("at")) | F.coalesce(F.col("at") == F.col("nearest"), F.lit(False))).alias("extra"))
+    )
+    copies = F.when(F.col("size") > 0, F.col("rounds") + F.col("extra").cast("long")).otherwise(F.lit(0)).cast("long")
+    return filled.select(
         "doc_id", "size", "source", "source_size", F.col("target").cast("double").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
 
 
+def _greedy(rows: Column, missing: Column) -> Column:
+    """Rows in order, each taken if it fits what is still missing: struct of gap left and fits per row."""
+
+    def step(acc: Column, row: Column) -> Column:
+        fit = (row["size"] > 0) & (row["size"] <= acc["gap"])
+        return F.struct((acc["gap"] - F.when(fit, row["size"]).otherwise(F.lit(0))).alias("gap"), F.array_append(acc["fits"], fit).alias("fits"))
+
+    return F.aggregate(rows, F.struct(missing.alias("gap"), F.array().cast("array<boolean>").alias("fits")), step)
+
+
+def _nearest(rows: Column, fits: Column, gap: Column) -> Column:
+    """Place of the row left over whose size comes nearest to the gap, if taking it leaves less than the gap; else null."""
+
+    def gain(row: Column, at: Column) -> Column:
+        off = F.abs(gap - row["size"])
+        return F.when(~F.get(fits, at) & (row["size"] > 0) & (off < gap), F.struct(off.alias("off"), at.alias("at")))
+
+    return F.array_min(F.transform(rows, gain))["at"]
+
+
 def mixed(docs: DataFrame, **names) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with the columns of docs."""
     doc_id = names.get("doc_id", "doc_id")

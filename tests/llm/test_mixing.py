@@ -58,6 +58,15 @@ def test_small(spark, small_docs):
     assert got == +wanted
 
 
+def test_goes_on_past_what_does_not_fit(spark):
+    rows = [(k, "a", "w " * 100) for k in range(100)] + [(100, "a", "w " * 20_000)] + [(k, "b", "w " * 100) for k in range(200, 446)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for seed in range(4):
+        got = mixing.mix(docs, seed=seed).groupBy("source").agg({"taken": "sum", "target": "first"}).collect()
+        for source, taken, target in ((r["source"], r["sum(taken)"], r["first(target)"]) for r in got):
+            assert abs(taken - target) <= 128 + 50, (seed, source, taken, target)
+
+
 def test_empty(no_docs):
     assert mixing.mix(no_docs).collect() == []
 
