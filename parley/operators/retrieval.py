@@ -148,16 +148,38 @@ def with_moments(hits: DataFrame, found: DataFrame) -> DataFrame:
     return both.orderBy(F.desc(F.round("score", 12)), "movie_id", "seq").limit(SHOWN)
 
 
-def search(lines: DataFrame, movies: DataFrame, query: str, vec: Column | None = None) -> DataFrame:
-    """The fused list for a query already normalised."""
+def search(
+    lines: DataFrame, movies: DataFrame, query: str, vec: Column | None = None, *, vectors: DataFrame | None = None,
+    beats: DataFrame | None = None, summaries: DataFrame | None = None, quality: DataFrame | None = None,
+) -> DataFrame:
+    """The whole search of one query: kind (title, line or moment), movie_id, title, year, seq, arc, text, score, position.
+
+    The film of that title comes first (position 0, no line). Lines are the
+    fused exact, keyword and, with `vec`, semantic hits (over `vectors`: lines
+    with a vec; by default `lines`). Where no line is exact, moments of beats
+    and summaries are merged in by score. An empty query finds nothing.
+    """
     from ..functions.diff import normal
 
     norm = normal(query[:200])
+    if not norm:
+        lines, movies, vec = lines.limit(0), movies.limit(0), None
     words = [w for t in norm.split() for w in t.split("'") if len(w) >= 2]
-    arms = [exact_arm(lines, movies, norm), keyword_arm(lines, movies, words)]
+    exact = exact_arm(lines, movies, norm)
+    arms = [exact, keyword_arm(lines, movies, words)]
     if vec is not None:
-        arms.append(semantic_arm(lines, vec))
-    return ranked_hits(fuse(arms), movies)
+        arms.append(semantic_arm(lines if vectors is None else vectors, vec))
+    hits = ranked_hits(fuse(arms), movies)
+    shown, order = hits.withColumn("kind", F.lit("line")), [F.desc("is_exact"), F.desc(F.when(F.col("is_exact"), F.col("votes")).otherwise(0)), F.desc(F.round("score", 12)), "movie_id", "seq"]
+    if vec is not None and beats is not None and exact.isEmpty():
+        found = moments(beats, summaries, quality, movies, vec)
+        shown = with_moments(hits, found).join(hits.select("movie_id", "seq", F.lit(True).alias("is_line")), ["movie_id", "seq"], "left")
+        shown, order = shown.withColumn("kind", F.when(F.col("is_line"), "line").otherwise("moment")), [F.desc(F.round("score", 12)), "movie_id", "seq"]
+    columns = ["kind", "movie_id", "title", "year", "seq", "arc", "text", "score", "position"]
+    placed = shown.withColumn("position", F.row_number().over(W.orderBy(*order))).select(*columns)  # SHOWN rows
+    none = {c: F.lit(None).cast(placed.schema[c].dataType) for c in ("seq", "arc", "text", "score")}
+    film = title_arm(movies, F.lit(norm)).withColumnRenamed("id", "movie_id").withColumns({**none, "kind": F.lit("title"), "position": F.lit(0)})
+    return film.select(*columns).unionByName(placed)
 
 
 def hit_rates(ranked: DataFrame, expected: DataFrame) -> DataFrame:

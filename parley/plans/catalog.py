@@ -239,6 +239,24 @@ def moment_hits(c: Corpus) -> DataFrame:
     return retrieval.moments(beats, c.windows, c.quality, c.movies, V.literal(c.query_vector)).select("movie_id", "title", "seq", "text", r("score").alias("score"))
 
 
+def _search(c: Corpus, asked: str) -> DataFrame:
+    """All arms and the moments over the bound vectors; a window's vector stands for its first line's."""
+    vectors = c.lines.join(c.windows.select("movie_id", F.col("start_seq").alias("seq"), "vec"), ["movie_id", "seq"])
+    beats = c.windows.join(c.table("documents").select(F.col("doc_id").alias("movie_id"), "text"), "movie_id")
+    found = retrieval.search(c.lines, c.movies, asked, V.literal(c.query_vector), vectors=vectors, beats=beats, summaries=c.windows, quality=c.quality)
+    return found.select("kind", "movie_id", "title", "year", "seq", "text", r("score", 9).alias("score"), "position")
+
+
+@query()
+def search_all_arms(c: Corpus) -> DataFrame:
+    return _search(c, PHRASE)
+
+
+@query()
+def search_no_exact(c: Corpus) -> DataFrame:
+    return _search(c, f"{PHRASE} xyzzy")
+
+
 @query()
 def near_miss_diff(c: Corpus) -> DataFrame:
     from ..functions.diff import diff_stats

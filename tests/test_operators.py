@@ -252,6 +252,25 @@ def test_moments_and_merge(spark):
     assert retrieval.with_moments(hits, found).count() == 3
 
 
+def test_search_has_all_arms(spark):
+    movies = spark.createDataFrame([(m, f"Film {m}", 2000, 10 - m) for m in range(4)], "id long, title string, year int, votes long")
+    said = [(0, "we meet again"), (1, "again we meet"), (2, "so long"), (3, "a fine day")]
+    lines = spark.createDataFrame([(m, 0, 0.0, t, t, [1.0, float(m)]) for m, t in said], "movie_id long, seq long, arc double, text string, text_norm string, vec array<double>")
+    beats = spark.createDataFrame([(m, 1, 6, 17, 0.5, "a\nb", [1.0, 0.1 * m]) for m in range(4)], "movie_id long, idx long, start_seq long, end_seq long, arc double, text string, vec array<double>")
+    flags = spark.createDataFrame([(3, True, False)], "movie_id long, non_english boolean, downrank boolean")
+
+    def found(query):
+        out = retrieval.search(lines, movies, query, F.array(F.lit(1.0), F.lit(3.0)), beats=beats, summaries=beats, quality=flags)
+        return [(x.kind, x.movie_id, x.seq) for x in out.orderBy("position").collect()]
+
+    exact = found("We meet")
+    assert exact[:2] == [("line", 0, 0), ("line", 1, 0)] and {x[0] for x in exact} == {"line"} and len(exact) == 4  # two by meaning
+    titled = found("film 2")
+    assert titled[0] == ("title", 2, None) and {x[0] for x in titled[1:]} == {"line", "moment"}
+    assert ("line", 3, 0) in titled and ("moment", 0, 6) in titled
+    assert found(" ?! ") == []
+
+
 def test_bridge(spark):
     rng = np.random.default_rng(0)
     shared = np.eye(8)
