@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import by_place, place, restored
 from .scratch import Scratch
 
 MIN_CHARS = 20
@@ -85,43 +86,39 @@ def _rebuild(text_at: int, drops_at: int, names: list[str]):
     return run
 
 
+def _deduped(placed: DataFrame, doc_id: str, text: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """placed (columns by place) with the kept text, and n_lines and n_dropped."""
+    scratch = Scratch(placed.sparkSession, "lines")
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("h1", "h2", "doc")] + [T.StructField("pos", T.IntegerType())])
+    lines = placed.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(_explode(min_chars), schema)
+    # the one-row-a-key sides are written, so that a key with very many lines can be split in the joins
+    often = scratch.keep(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2"), "often")
+    hits = scratch.keep(lines.join(often, ["h1", "h2"]), "hits")  # far fewer rows: lines met once are gone
+    shared = hits.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("holder"))
+    shared = scratch.keep(shared.where(F.col("n_docs") >= min_docs).select("h1", "h2", "holder"), "shared")
+    drops = hits.join(shared, ["h1", "h2"]).where("doc <> holder").groupBy("doc").agg(F.collect_set(F.struct("pos", "h1", "h2")).alias("drops"))
+    joined = placed.withColumn(text, F.col(text).cast("string")).join(drops, F.col(doc_id).cast("long") == F.col("doc"), "left").drop("doc")
+    fields = [f for f in placed.schema.fields if f.name != text]
+    fields += [T.StructField(text, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
+    return joined.mapInArrow(_rebuild(placed.columns.index(text), len(placed.columns), [f.name for f in fields]), T.StructType(fields))
+
+
 def dedup_lines(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS
 ) -> DataFrame:
-    """All columns of docs with the kept text, then __n_lines and __n_dropped.
+    """Per row of docs: doc_id, the kept text, n_lines and n_dropped.
 
     A key of min_chars code points or more in min_docs documents or more loses
     its lines everywhere but in the largest doc_id that holds it. A null text
     counts as one empty line and comes back empty. Rows with a null doc_id are
     no document: they count for nothing and lose nothing. Rows that repeat a
     doc_id are one document in the counts; each is rebuilt from its own lines.
+    An empty table gives an empty result; other columns are not read.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lines")
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("h1", "h2", "doc")] + [T.StructField("pos", T.IntegerType())])
-    lines = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(_explode(min_chars), schema)
-    # the one-row-a-key sides are written, so that a key with very many lines can be split in the joins
-    often = scratch.keep(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2"), "often")
-    hits = scratch.keep(lines.join(often, ["h1", "h2"]), "hits")  # far fewer rows: lines met once are gone
-    shared = hits.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("holder"))
-    shared = scratch.keep(shared.where(F.col("n_docs") >= min_docs).select("h1", "h2", "holder"), "shared")
-    drops = (
-        hits.join(shared, ["h1", "h2"])
-        .where("doc <> holder")
-        .groupBy("doc")
-        .agg(F.collect_set(F.struct("pos", "h1", "h2")).alias("__drops"))
-        .withColumnRenamed("doc", "__doc")
-    )
-    joined = docs.join(drops, docs[doc_id].cast("long") == drops["__doc"], "left").drop("__doc")
-    text_at = docs.columns.index(text)
-    others = [f for f in docs.schema.fields if f.name != text]
-    fields = others + [T.StructField("__text", T.StringType()), T.StructField("__n_lines", T.LongType()), T.StructField("__n_dropped", T.LongType())]
-    out = T.StructType(fields)
-    joined = joined.withColumn(text, F.col(text).cast("string"))
-    rebuilt = joined.mapInArrow(_rebuild(text_at, len(docs.columns), [f.name for f in fields]), out)
-    return rebuilt.select(*(F.col("__text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns), "__n_lines", "__n_dropped")
-
-
-def drop_shared_lines(docs: DataFrame, **names) -> DataFrame:
-    """The columns of docs, with the kept texts."""
-    return dedup_lines(docs, **names).select(*(f"`{c}`" for c in docs.columns))
+    plain = docs.select(doc_id, text).toDF("c0", "c1")
+    return _deduped(plain, "c0", "c1", min_chars, min_docs).select(F.col("c0").alias("doc_id"), F.col("c1").alias("text"), "n_lines", "n_dropped")
+
+
+def drop_shared_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns of docs, which may have any names, with the kept texts."""
+    return restored(_deduped(by_place(docs), place(docs, doc_id), place(docs, text)), docs)

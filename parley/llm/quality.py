@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -11,20 +12,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import by_place, place, restored
 from .scratch import Scratch
 
-MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 3
-#: A host is rejected where the shrunken rate of a rule's failures is above this.
-HOST_LIMIT = 0.9
-#: Rules that count against a host: name -> SQL over the counts of a document.
-HOST_RULES = {
-    "short": "__n_words < 50",
-    "repeats": "100 * __n_repeat_words > 50 * __n_words",
-    "symbols": "2 * __n_symbols > __word_chars",
-}
-COUNTS = ("__n_words", "__word_chars", "__n_symbols", "__n_dup_lines", "__n_repeat_words")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+#: A document that fails one of these is rejected itself: name -> SQL over its counts.
+BASE_RULES = {"short": "n_words < 50", "repeats": "100 * n_repeat_words > 50 * n_words"}
+#: Rules whose failures count against a host: those, and what the base lets pass.
+HOST_RULES = BASE_RULES | {"symbols": "10 * n_symbols > word_chars", "dup_lines": "10 * n_dup_lines > 3 * n_lines"}
+#: A host's rate is far above the others' from so many standard deviations of the prior over its mean on, but a limit stays within these bounds:
+#: a host of which most documents are good is never rejected, one of which nearly none is always.
+SPREADS = 2.0
+LIMITS = (0.5, 0.9)
+#: The rate counts by its posterior's lower bound, so many standard deviations below the shrunken rate (5 % of a normal curve).
+DOUBT = 1.645
+#: Verdicts of more hosts than this are shuffled, not broadcast.
+FEW_HOSTS = 100_000
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -40,17 +45,19 @@ def repeat_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def dup_lines(text: bytes) -> int:
-    """Lines with a word that equal an earlier line."""
+def line_counts(text: bytes) -> tuple[int, int]:
+    """Lines with a word, and those of them that equal an earlier line."""
     lines = [x for x in text.split(b"\n") if x.strip()]
-    return len(lines) - len(set(lines))
+    return len(lines), len(lines) - len(set(lines))
 
 
-def text_counts(text: bytes) -> tuple[int, int, int, int, int]:
+def text_counts(text: bytes) -> tuple[int, ...]:
+    """COUNTS of a whole text."""
     words = text.split()
     letters = sum(map(len, words))
     chars = letters if text.isascii() else len(text.decode("utf-8", "replace")) - (len(text) - letters)
-    return len(words), chars, len(text) - len(text.translate(None, SYMBOLS)), dup_lines(text), repeat_words(words)
+    n_lines, n_dup_lines = line_counts(text)
+    return len(words), chars, len(text) - len(text.translate(None, SYMBOLS)), n_dup_lines, repeat_words(words), n_lines
 
 
 def _count(text_at: int, names: list[str]):
@@ -65,8 +72,8 @@ def _count(text_at: int, names: list[str]):
     return run
 
 
-def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the counts of the whole text (null: empty) as COUNTS."""
+def with_counts(docs: DataFrame, text: str) -> DataFrame:
+    """docs with the counts of the whole text (null: empty) as COUNTS, which docs may not have."""
     fields = list(docs.schema.fields) + [T.StructField(n, T.LongType()) for n in COUNTS]
     names = [f.name for f in fields]
     return docs.mapInArrow(_count(docs.columns.index(text), names), T.StructType(fields))
@@ -76,7 +83,6 @@ def beta_prior(hosts: DataFrame, rules: list[str]) -> dict[str, tuple[float, flo
     """Method-of-moments beta prior of each rule's failure rate over hosts, weighted alike; one row reaches the driver."""
     rate = {r: F.col(r) / F.col("n") for r in rules}
     row = hosts.agg(
-        F.count("*").alias("hosts"),
         F.avg(1.0 / F.col("n")).alias("inverse"),
         *(F.avg(rate[r]).alias(f"mean_{r}") for r in rules),
         *(F.var_samp(rate[r]).alias(f"var_{r}") for r in rules),
@@ -93,44 +99,54 @@ def beta_prior(hosts: DataFrame, rules: list[str]) -> dict[str, tuple[float, flo
     return prior
 
 
-def host_verdicts(counted: DataFrame, host: str, limit: float = HOST_LIMIT) -> DataFrame:
-    """One row per host: __host, __host_ok and each rule's shrunken failure rate."""
-    rules = list(HOST_RULES)
-    hosts = counted.groupBy(F.col(host).alias("__host")).agg(
-        F.count("*").alias("n"), *(F.sum(F.expr(sql).cast("long")).alias(r) for r, sql in HOST_RULES.items())
-    )
-    prior = beta_prior(hosts, rules)
-    shrunk = {r: (F.col(r) + F.lit(a)) / (F.col("n") + F.lit(a + b)) for r, (a, b) in prior.items()}
-    ok = F.lit(True)
-    for r in rules:
-        ok = ok & (shrunk[r] <= F.lit(limit))
-    return hosts.select("__host", ok.alias("__host_ok"), *(shrunk[r].alias(f"__rate_{r}") for r in rules))
+def limit_of(a: float, b: float) -> float:
+    """The rate that is far above a Beta(a, b) prior: its mean and SPREADS standard deviations, within LIMITS."""
+    mean = a / (a + b)
+    return min(LIMITS[1], max(LIMITS[0], mean + SPREADS * math.sqrt(mean * (1 - mean) / (a + b + 1))))
 
 
-def judge(docs: DataFrame, *, host: str = "source", text: str = "text", limit: float = HOST_LIMIT, with_text: bool = True) -> DataFrame:
-    """docs (without the text if with_text is false) with COUNTS, __base_failed and __kept.
+def host_verdicts(counted: DataFrame, host: str) -> DataFrame:
+    """(host, COUNTS) -> one row per host: host, host_ok, and the shrunken failure rate of each rule and of all together (`any`)."""
+    rules = HOST_RULES | {"any": " OR ".join(f"{sql}" for sql in HOST_RULES.values())}
+    hosts = counted.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), *(F.count_if(F.expr(sql)).alias(r) for r, sql in rules.items()))
+    hosts = Scratch(counted.sparkSession, "hosts").keep(hosts, "rates")
+    ok, rates = F.lit(True), {}
+    for r, (a, b) in beta_prior(hosts, list(rules)).items():
+        weight = F.col("n") + F.lit(a + b)
+        rates[r] = (F.col(r) + F.lit(a)) / weight
+        least = rates[r] - F.lit(DOUBT) * F.sqrt(rates[r] * (1 - rates[r]) / (weight + 1))
+        ok = ok & (least <= F.lit(limit_of(a, b)))
+    return hosts.select("host", ok.alias("host_ok"), *(rate.alias(f"rate_{r}") for r, rate in rates.items()))
 
-    Null texts count as empty and fail the base rules. A null host is a host of
-    its own. Repeated rows count and come back each. An empty table gives an
-    empty result. The join back is on the host, whose verdict is one row, so a
-    host with a third of all rows is split by adaptive skew joins.
-    """
-    scratch = Scratch(docs.sparkSession, "quality")
-    counts = with_counts(docs, text)
+
+def _judged(placed: DataFrame, host: str, text: str, with_text: bool) -> DataFrame:
+    """placed (columns by place) with COUNTS, base_failed and kept."""
+    scratch = Scratch(placed.sparkSession, "quality")
+    counts = with_counts(placed.withColumn(text, F.col(text).cast("string")), text)
     counted = scratch.keep(counts if with_text else counts.drop(text), "counts")
-    verdicts = scratch.keep(host_verdicts(counted, host, limit), "hosts")
-    bad = verdicts.where(~F.col("__host_ok")).select("__host", F.lit(True).alias("__bad"))
-    failed = F.expr(f"__n_words < {MIN_WORDS} OR 100 * __n_repeat_words > 50 * __n_words")
-    n_bad = bad.count()
-    base = counted.withColumn("__base_failed", failed)
-    if n_bad == 0:
-        return base.withColumn("__kept", ~failed)
-    if n_bad <= 100_000:  # checked; a larger set of hosts is shuffled
-        bad = F.broadcast(bad)
-    joined = base.join(bad, F.col(f"`{host}`").eqNullSafe(F.col("__host")), "left")
-    return joined.withColumn("__kept", ~failed & F.col("__bad").isNull()).drop("__host", "__bad")
+    verdicts = scratch.keep(host_verdicts(counted, host).select("host", "host_ok"), "verdicts")
+    few = verdicts.count() <= FEW_HOSTS
+    joined = counted.join(F.broadcast(verdicts) if few else verdicts, F.col(host).eqNullSafe(F.col("host"))).drop("host")
+    failed = F.expr(" OR ".join(BASE_RULES.values()))
+    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & F.col("host_ok")).drop("host_ok")
+
+
+def judge(docs: DataFrame, *, doc_id: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
+    """Per row of docs: doc_id, COUNTS, base_failed and kept (false if base_failed, else the verdict on the host).
+
+    A host is rejected where, for a rule or for all rules together, the
+    posterior's lower bound of its failure rate is above the limit that follows
+    from the prior over all hosts. Null texts count as empty and fail the base
+    rules. A null host is a host of its own. Rows with a null or repeated doc_id
+    count and come back each. An empty table gives an empty result; other
+    columns, whatever their names, are not read. The join back is on the host,
+    whose verdict is one row, so a host with a third of all rows is split by
+    adaptive skew joins where the verdicts are too many to broadcast.
+    """
+    plain = docs.select(doc_id, host, text).toDF("c0", "c1", "c2")
+    return _judged(plain, "c1", "c2", False).select(F.col("c0").alias("doc_id"), *COUNTS, "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, *, host: str = "source", text: str = "text") -> DataFrame:
-    """The rows of docs that pass, with the columns of docs."""
-    return judge(docs, host=host, text=text).where("__kept").select(*(f"`{c}`" for c in docs.columns))
+    """The rows of docs that `judge` keeps, with the columns of docs, which may have any names."""
+    return restored(_judged(by_place(docs), place(docs, host), place(docs, text), True).where("kept"), docs)

@@ -17,10 +17,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select(
-        "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256")
-    )
+    done = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,10 +32,8 @@ def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    judged = quality.judge(docs, with_text=False)
-    names = {"__n_words": "n_words", "__word_chars": "word_chars", "__n_symbols": "n_symbols", "__n_dup_lines": "n_dup_lines", "__n_repeat_words": "n_repeat_words", "__base_failed": "base_failed", "__kept": "kept"}
-    return judged.select("doc_id", *(F.col(k).alias(v) for k, v in names.items()))
+    judged = quality.judge(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,24 +127,29 @@ covered AS (
   SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([p0, p0 + 1, p0 + 2]) AS p FROM often WHERE n > 1) GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words),
 dups AS (
-  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 counts AS (
   SELECT w.doc_id, w.source, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+    coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM words w LEFT JOIN covered USING (doc_id) LEFT JOIN dups USING (doc_id)),
 ruled AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
+failed AS (
+  SELECT source, n_words < 50 AS f1, 100 * n_repeat_words > 50 * n_words AS f2, 10 * n_symbols > word_chars AS f3, 10 * n_dup_lines > 3 * n_lines AS f4
+  FROM ruled),
 fails AS (
   SELECT source, r, count(*)::DOUBLE AS n, sum(f::INT)::DOUBLE AS k FROM (
-    SELECT source, unnest(['short', 'repeats', 'symbols']) AS r,
-      unnest([n_words < 50, 100 * n_repeat_words > 50 * n_words, 2 * n_symbols > word_chars]) AS f FROM ruled) GROUP BY source, r),
+    SELECT source, unnest([1, 2, 3, 4, 5]) AS r, unnest([f1, f2, f3, f4, f1 OR f2 OR f3 OR f4]) AS f FROM failed) GROUP BY source, r),
 moments AS (SELECT r, avg(k / n) AS mean, var_samp(k / n) AS var, avg(1 / n) AS inverse FROM fails GROUP BY r),
 spreads AS (SELECT *, coalesce(var, 0) - mean * (1 - mean) * inverse AS spread FROM moments),
 priors AS (
   SELECT r, CASE WHEN mean <= 0 OR mean >= 1 THEN mean + 0.01 ELSE mean * weight END AS a,
     CASE WHEN mean <= 0 OR mean >= 1 THEN 1 - mean + 0.01 ELSE (1 - mean) * weight END AS b
   FROM (SELECT *, CASE WHEN spread > 0 THEN least(1e6, greatest(1, mean * (1 - mean) / spread - 1)) ELSE 1e6 END AS weight FROM spreads)),
-hosts AS (SELECT source, bool_and((k + a) / (n + a + b) <= 0.9) AS host_ok FROM fails JOIN priors USING (r) GROUP BY source)
+limits AS (
+  SELECT r, a, b, least(0.9, greatest(0.5, a / (a + b) + 2 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)))) AS most FROM priors),
+shrunk AS (SELECT source, n + a + b AS weight, (k + a) / (n + a + b) AS rate, most FROM fails JOIN limits USING (r)),
+hosts AS (SELECT source, bool_and(rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) <= most) AS host_ok FROM shrunk GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_ok AS kept
 FROM ruled JOIN hosts ON ruled.source IS NOT DISTINCT FROM hosts.source
 """

@@ -7,7 +7,10 @@ survives the loss of any executor.
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,14 +18,37 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local default only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir`` of the session, or the folder that its context was given.
+
+    Where both are unset a temporary folder serves a local master, whose
+    executor is the driver's own process; on a cluster that is an error, as
+    other machines couldn't read what was written.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = "/tmp/parley-checkpoints"
-        spark.sparkContext.setCheckpointDir(folder)
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="parley-")
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete, on leaving, the tables that operators called inside have written.
+
+    For long-lived drivers: write or count an operator's result inside.
+    """
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for made_by, folder in _made[before:]:
+            _delete(made_by, folder)
+        del _made[before:]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -26,10 +26,14 @@ def brute(rows):
 
 def test_against_brute_force(small_docs):
     done = line_dedup.dedup_lines(small_docs)
-    got = [(r.doc_id, r["__n_lines"], r["__n_dropped"], hashlib.sha256(r.text.encode()).hexdigest()) for r in done.collect()]
+    got = [(r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in done.collect()]
     assert sorted(got, key=str) == brute([(r.doc_id, r.text) for r in small_docs.collect()])
     assert sum(x[2] for x in got) > 10
-    assert line_dedup.drop_shared_lines(small_docs).columns == small_docs.columns
+    whole = line_dedup.drop_shared_lines(small_docs)
+    assert whole.columns == small_docs.columns
+    assert sorted((str((r.doc_id, r.text)) for r in whole.collect())) == sorted(str((r.doc_id, r.text)) for r in done.collect())
+    others = [c for c in small_docs.columns if c != "text"]
+    assert sorted(map(str, whole.select(*(f"`{c}`" for c in others)).collect())) == sorted(map(str, small_docs.select(*(f"`{c}`" for c in others)).collect()))
 
 
 def test_whole_table(spark, sf):
