@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .columns import by_place, place, restored
 from .scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -13,6 +14,8 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BLOCK = 128
 SHARD_ROWS = 4_000
+#: Shards are dealt their quotas by bundles of this many, so no task ranks all shards of a source.
+BUNDLE = 1_000
 SEED = 17
 
 
@@ -79,62 +82,82 @@ def apportion(parties: DataFrame, group: list[str], votes: str, seats: str) -> D
     return joined.select(*parties.columns, (F.col("__low") + F.coalesce("__won", F.lit(0))).cast("long").alias("__quota"))
 
 
-def mix(
-    docs: DataFrame,
-    *,
-    doc_id: str = "doc_id",
-    source: str = "source",
-    text: str = "text",
-    weights=WEIGHTS,
-    block: int = BLOCK,
-    shard_rows: int = SHARD_ROWS,
-    seed: int = SEED,
-) -> DataFrame:
-    """Per row: doc_id, size, source, source_size, target, copies (0 to 3) and taken (words, repeats counted).
+def _hash(seed: int, *columns: str) -> Column:
+    """A number below 16**15 from a seed and columns, the same in any SQL engine that has md5."""
+    parts = F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+    return F.conv(F.substring(F.md5(parts.cast("binary")), 1, 15), 16, 10).cast("long")
 
-    Blocks of `block` words go to sources, then to the shards of each source.
-    A shard's quota is filled in a seeded order: full rounds of all its
-    documents first, then each document that fits what is still missing, then
-    the one document left that comes nearest to the rest. Null texts have size 0 and are never
-    taken; a null source is a source of its own, last; rows with equal doc_id
-    and size are alike, so reruns agree. An empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
-    size = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = scratch.keep(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size")), "sizes")
-    targets = source_targets(sizes, weights).withColumn("__blocks", F.round(F.sum("__target").over(W.partitionBy()) / block).cast("long"))
+
+def _planned(sizes: DataFrame, scratch: Scratch, weights, block: int, shard_rows: int, seed: int) -> DataFrame:
+    """(doc_id, source, size and others by place) with source_size, target and copies."""
+    total = F.sum("__source_size").over(W.partitionBy())  # long, so that no order of additions moves a block
+    targets = source_targets(sizes, weights).withColumn("__blocks", F.floor((2 * total + block) / (2 * block)).cast("long"))
     quotas = apportion(targets, [], "__target", "__blocks").withColumnRenamed("__quota", "__source_blocks")
     sources = scratch.keep(quotas.drop("__blocks").withColumn("__shards", F.ceil(F.col("__rows") / shard_rows).cast("long")), "sources")
     small = sources.count() <= 10_000  # checked; more sources are shuffled
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
     sharded = sizes.join(F.broadcast(sources) if small else sources, sizes["source"].eqNullSafe(sources["__source"])).select(
-        "doc_id", "source", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), "__source_blocks",
-        F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("size")), F.col("__shards")).cast("int").alias("shard"), order.alias("turn"),
+        *sizes.columns, F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), "__source_blocks",
+        (_hash(seed + 1, "doc_id", "size") % F.col("__shards")).cast("int").alias("shard"), _hash(seed, "doc_id", "size").alias("turn"),
     )
     shards = sharded.groupBy("source", "shard").agg(F.sum("size").alias("__shard_size"), F.first("__source_blocks").alias("__source_blocks"))
-    quota = scratch.keep(apportion(shards, ["source"], "__shard_size", "__source_blocks").select(
+    shards = scratch.keep(shards.withColumn("bundle", F.floor(F.col("shard") / BUNDLE).cast("int")), "shards")
+    bundles = shards.groupBy("source", "bundle").agg(F.sum("__shard_size").alias("__bundle_size"), F.first("__source_blocks").alias("__source_blocks"))
+    dealt = apportion(bundles, ["source"], "__bundle_size", "__source_blocks").select(
+        F.col("source").alias("__s"), F.col("bundle").alias("__b"), F.col("__quota").alias("__bundle_blocks")
+    )
+    within = shards.join(dealt, shards["source"].eqNullSafe(dealt["__s"]) & (shards["bundle"] == dealt["__b"])).select("source", "bundle", "shard", "__shard_size", "__bundle_blocks")
+    quota = scratch.keep(apportion(within, ["source", "bundle"], "__shard_size", "__bundle_blocks").select(
         F.col("source").alias("__s"), F.col("shard").alias("__h"), "__shard_size", (F.col("__quota") * block).alias("__words")
-    ), "shards")
+    ), "quotas")
     few = quota.count() <= 100_000  # checked; more shards are shuffled
     both = sharded.join(F.broadcast(quota) if few else quota, sharded["source"].eqNullSafe(quota["__s"]) & (sharded["shard"] == quota["__h"]))
     rounds = F.when(F.col("__shard_size") > 0, F.least(F.lit(MAX_REPEATS), F.floor(F.col("__words") / F.col("__shard_size")))).otherwise(F.lit(0)).cast("long")
     missing = F.when(rounds < MAX_REPEATS, F.col("__words") - rounds * F.col("__shard_size")).otherwise(F.lit(0)).cast("long")
+    carried = [c for c in sizes.columns if c != "source"]
     filled = (
         both.groupBy("source", "shard")
         .agg(
             F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first(rounds).alias("rounds"), F.first(missing).alias("missing"),
-            F.array_sort(F.collect_list(F.struct("turn", "doc_id", "size"))).alias("rows"),
+            F.array_sort(F.collect_list(F.struct("turn", *carried))).alias("rows"),
         )  # about shard_rows of them
         .withColumn("done", _greedy(F.col("rows"), F.col("missing")))
         .withColumn("nearest", _nearest(F.col("rows"), F.col("done.fits"), F.col("done.gap")))
         .select("source", "source_size", "target", "rounds", "nearest", "done", F.posexplode("rows").alias("at", "row"))
-        .select("source", "source_size", "target", "rounds", "row.doc_id", "row.size", (F.get("done.fits", F.col("at")) | F.coalesce(F.col("at") == F.col("nearest"), F.lit(False))).alias("extra"))
+        .select("source", "source_size", "target", "rounds", *(f"row.{c}" for c in carried), (F.get("done.fits", F.col("at")) | F.coalesce(F.col("at") == F.col("nearest"), F.lit(False))).alias("extra"))
     )
     copies = F.when(F.col("size") > 0, F.col("rounds") + F.col("extra").cast("long")).otherwise(F.lit(0)).cast("long")
-    return filled.select(
-        "doc_id", "size", "source", "source_size", F.col("target").cast("double").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken")
-    )
+    return filled.select(*sizes.columns, "source_size", F.col("target").cast("double").alias("target"), copies.alias("copies"))
+
+
+def _words(text: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def mix(
+    docs: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    source: str = "source",
+    text: str = "text",
+    weights=WEIGHTS,
+    block: int = BLOCK,
+    shard_rows: int = SHARD_ROWS,
+    seed: int = SEED,
+) -> DataFrame:
+    """Per row: doc_id, size, source, source_size, target, copies (0 to 3) and taken (words, repeats counted).
+
+    Blocks of `block` words go to sources, then to the shards of each source. A
+    document's blocks stay together: a shard's quota is filled in a seeded order
+    with full rounds of all its documents first, then each document that fits
+    what is still missing, then the one document left that comes nearest to the
+    rest. Null texts have size 0 and are never taken; a null source is a source
+    of its own, last; rows with equal doc_id and size are alike, so reruns
+    agree. An empty table gives an empty result; other columns are not read.
+    """
+    scratch = Scratch(docs.sparkSession, "mixing")
+    sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), _words(text).alias("size"))
+    plan = _planned(scratch.keep(sizes, "sizes"), scratch, weights, block, shard_rows, seed)
+    return plan.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def _greedy(rows: Column, missing: Column) -> Column:
@@ -157,16 +180,24 @@ def _nearest(rows: Column, fits: Column, gap: Column) -> Column:
     return F.array_min(F.transform(rows, gain))["at"]
 
 
-def mixed(docs: DataFrame, **names) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with the columns of docs."""
-    doc_id = names.get("doc_id", "doc_id")
-    text = names.get("text", "text")
-    plan = mix(docs, **names).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "copies").groupBy("__id", "__size").agg(F.sum("copies").alias("__n"), F.count("*").alias("__rows"))
-    size = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    joined = docs.join(plan, docs[doc_id].eqNullSafe(F.col("__id")) & (size == F.col("__size")))
-    # rows alike in doc_id and size share the copies of their kind
-    turn = F.row_number().over(W.partitionBy("__id", "__size").orderBy(F.xxhash64(F.col(text)))) - 1
-    alone, alike = joined.where("__rows = 1").withColumn("__turn", F.lit(0)), joined.where("__rows > 1").withColumn("__turn", turn)
-    rest = (F.col("__n") - F.col("__turn") + F.col("__rows") - 1) / F.col("__rows")
-    repeated = alone.unionByName(alike).withColumn("__each", F.floor(rest).cast("int")).where("__each > 0")
-    return repeated.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__each")))).select(*(f"`{c}`" for c in docs.columns))
+def mixed(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, with the columns of docs, which may have any names.
+
+    Rows alike in doc_id, source and text share the copies of their kind, and so
+    are told apart by nothing but other columns.
+    """
+    scratch = Scratch(docs.sparkSession, "mixing")
+    placed = by_place(docs)
+    names = [place(docs, c) for c in (doc_id, source, text)]
+    key = F.xxhash64(F.col(names[2]).cast("string"))
+    sizes = placed.select(F.col(names[0]).alias("doc_id"), F.col(names[1]).cast("string").alias("source"), _words(names[2]).alias("size"), key.alias("key"))
+    plan = _planned(scratch.keep(sizes, "sizes"), scratch, WEIGHTS, BLOCK, SHARD_ROWS, SEED)
+    plan = scratch.keep(plan.groupBy("doc_id", "source", "key").agg(F.sum("copies").alias("n"), F.count("*").alias("alike")).where("n > 0"), "plan")
+    joined = placed.withColumn("row_key", key).join(
+        plan, F.col(names[0]).eqNullSafe(F.col("doc_id")) & (F.col("row_key") == F.col("key")) & F.col(names[1]).cast("string").eqNullSafe(F.col("source"))
+    )
+    alone = joined.where("alike = 1").withColumn("each", F.col("n").cast("int"))
+    order = F.row_number().over(W.partitionBy("doc_id", "source", "key").orderBy(F.xxhash64(*placed.columns)))
+    alike = joined.where("alike > 1").withColumn("each", F.ceil((F.col("n") - order + 1) / F.col("alike")).cast("int"))
+    both = alone.unionByName(alike).where("each > 0")
+    return restored(both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("each")))), docs)

@@ -155,5 +155,66 @@ FROM ruled JOIN hosts ON ruled.source IS NOT DISTINCT FROM hosts.source
 """
 
 
+MIXING_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'w', 'g'), '[^w]', '', 'g'))::BIGINT AS size
+  FROM documents),
+per AS (SELECT source, count(*) AS n, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
+weighed AS (SELECT *, [5.0::DOUBLE, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM per),
+shared AS (
+  SELECT *, 3.0::DOUBLE * source_size AS cap, sum(source_size) OVER ()::BIGINT AS total,
+    (sum(source_size) OVER () - coalesce(sum(3.0::DOUBLE * source_size) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level,
+    row_number() OVER (ORDER BY 3.0::DOUBLE * source_size / w, source NULLS LAST) AS fill
+  FROM weighed WINDOW before AS (ORDER BY 3.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+final AS (SELECT arg_min(level, fill) AS level FROM shared WHERE level * w <= cap),
+targets AS (
+  SELECT s.source, n, source_size, total, coalesce(least(cap, final.level * w), cap) AS target, (2 * total + 128) // 256 AS blocks
+  FROM shared s, final),
+source_seats AS (
+  SELECT source, target / (2 * k + 1) AS q, blocks FROM targets, LATERAL (SELECT unnest(range(0, blocks)) AS k) WHERE target > 0),
+source_won AS (
+  SELECT source, count(*) AS won FROM (SELECT *, row_number() OVER (ORDER BY q DESC, source NULLS LAST) AS r FROM source_seats) WHERE r <= blocks GROUP BY source),
+dealt AS (
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, coalesce(sw.won, 0) AS blocks,
+    ('0x' || substr(md5('18:' || coalesce(d.doc_id::VARCHAR, '') || ':' || d.size), 1, 15))::BIGINT % ceil(t.n / 4000.0)::BIGINT AS shard,
+    ('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, '') || ':' || d.size), 1, 15))::BIGINT AS turn
+  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN source_won sw ON d.source IS NOT DISTINCT FROM sw.source),
+bundles AS (SELECT source, shard // 1000 AS bundle, sum(size)::BIGINT AS size, any_value(blocks) AS blocks FROM dealt GROUP BY ALL),
+bundle_seats AS (SELECT *, size / (2 * k + 1) AS q FROM bundles, LATERAL (SELECT unnest(range(0, blocks)) AS k) WHERE size > 0),
+bundle_won AS (
+  SELECT source, bundle, count(*) AS won FROM (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY q DESC, bundle) AS r FROM bundle_seats) WHERE r <= blocks GROUP BY source, bundle),
+shards AS (SELECT source, shard, shard // 1000 AS bundle, sum(size)::BIGINT AS size FROM dealt GROUP BY ALL),
+shard_seats AS (
+  SELECT s.source, s.shard, s.bundle, b.won, s.size / (2 * k + 1) AS q
+  FROM shards s JOIN bundle_won b ON s.source IS NOT DISTINCT FROM b.source AND s.bundle = b.bundle, LATERAL (SELECT unnest(range(0, b.won)) AS k) WHERE s.size > 0),
+shard_won AS (
+  SELECT source, shard, count(*) AS won FROM (
+    SELECT *, row_number() OVER (PARTITION BY source, bundle ORDER BY q DESC, shard) AS r FROM shard_seats) WHERE r <= won GROUP BY source, shard),
+quotas AS (
+  SELECT s.source, s.shard, s.size, coalesce(won, 0) * 128 AS words,
+    CASE WHEN s.size > 0 THEN least(3, coalesce(won, 0) * 128 // s.size) ELSE 0 END AS rounds
+  FROM shards s LEFT JOIN shard_won w ON s.source IS NOT DISTINCT FROM w.source AND s.shard = w.shard),
+ordered AS (
+  SELECT d.*, q.rounds, CASE WHEN q.rounds < 3 THEN q.words - q.rounds * q.size ELSE 0 END AS missing,
+    row_number() OVER (PARTITION BY d.source, d.shard ORDER BY turn, doc_id NULLS FIRST, d.size) AS pos
+  FROM dealt d JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source AND d.shard = q.shard),
+walk AS (
+  SELECT source, shard, 0::BIGINT AS pos, missing AS gap, false AS fits FROM ordered WHERE pos = 1
+  UNION ALL
+  SELECT o.source, o.shard, o.pos, w.gap - CASE WHEN o.size > 0 AND o.size <= w.gap THEN o.size ELSE 0 END, o.size > 0 AND o.size <= w.gap
+  FROM walk w JOIN ordered o ON w.source IS NOT DISTINCT FROM o.source AND w.shard = o.shard AND o.pos = w.pos + 1),
+left_over AS (SELECT source, shard, arg_max(gap, pos) AS gap FROM walk GROUP BY source, shard),
+tried AS (
+  SELECT o.*, w.fits, row_number() OVER (PARTITION BY o.source, o.shard ORDER BY
+    CASE WHEN NOT w.fits AND o.size > 0 AND abs(l.gap - o.size) < l.gap THEN abs(l.gap - o.size) END NULLS LAST, o.pos) = 1
+    AND NOT w.fits AND o.size > 0 AND abs(l.gap - o.size) < l.gap AS nearest
+  FROM ordered o JOIN walk w ON o.source IS NOT DISTINCT FROM w.source AND o.shard = w.shard AND o.pos = w.pos
+  JOIN left_over l ON o.source IS NOT DISTINCT FROM l.source AND o.shard = l.shard)
+SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN rounds + (fits OR nearest)::BIGINT ELSE 0 END AS copies, source, copies * size AS taken
+FROM tried
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINES_SQL, "op4_warc_revisits": WARC_SQL, "op5_quality_rules": QUALITY_SQL}
+    return {"op2_line_dedup": LINES_SQL, "op4_warc_revisits": WARC_SQL, "op5_quality_rules": QUALITY_SQL, "op8_mixing": MIXING_SQL}
