@@ -53,7 +53,8 @@ class Encoder:
     The pre-tokeniser always parts a text before a single space or newline that
     stands between other characters, so words between them can be encoded one by
     one, by merge ranks read from the tokenizer's own file. A text with other
-    white space, or with white space beside white space, is encoded whole.
+    white space, with white space beside white space, or with the literal of an
+    added token (which stands for that token's id) is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -61,14 +62,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"] for t in spec["added_tokens"]]
         pre = spec.get("pre_tokenizer") or {}
         self.by_word = spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer")
         if self.by_word:
             letter = _byte_of_letter()
-            special = {t["content"] for t in spec["added_tokens"]}
-            ranks = {bytes(letter[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in special}
+            ranks = {bytes(letter[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in self.added}
             ranked = tiktoken.Encoding("words", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
             one = ranked._encode_single_piece
 
@@ -86,7 +86,7 @@ class Encoder:
         """Ids of the text as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
-        if not self.by_word or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", " \n", "\n ", "\n\n")) or OTHER_SPACE.search(text):
+        if not self.by_word or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", " \n", "\n ", "\n\n")) or OTHER_SPACE.search(text) or any(t in text for t in self.added):
             return self._encode([text])[0]
         first, later, out = self.first, self.later, []
         for line in text.split("\n"):
@@ -224,7 +224,9 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A document is its ids and then id 0; a null or empty text is id 0 alone.
+    A document is its ids and then id 0; a null or empty text is id 0 alone. The
+    literal of an added token, such as <|endoftext|>, is that token's id, as the
+    tokenizer has it by default.
     Rows with a null or repeated doc_id are packed each. An empty table gives an
     empty result. Only the number of pieces of each length (at most `capacity`
     rows) reaches the driver, which packs all of them at once; pieces are then

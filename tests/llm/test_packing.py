@@ -11,7 +11,7 @@ from parley.llm import packing
 def plain_ids(texts):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(packing.vocabulary_path())
+    t = Tokenizer.from_file(packing.vocabulary_path())  # a fresh one, as its file has it
     return [e.ids + [0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -80,8 +80,18 @@ def test_counts_equal_one_by_one(lengths):
     assert len(made) == len(bins)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab é'\n\t.,1 <|>s", max_size=40))
+LITERALS = st.sampled_from(["<|endoftext|>", "<|endoftext", "endoftext|>", " <|endoftext|>\n"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(alphabet="ab é'\n\t.,1 <|>s", max_size=20), LITERALS), max_size=4).map("".join))
 def test_ids_of_cut_texts(text):
     enc = packing.encoder(packing.vocabulary_path())
-    assert enc.ids(text) == enc._encode([text])[0] if text else enc.ids(text) == b""
+    assert np.frombuffer(enc.ids(text), "<u4").tolist() + [0] == plain_ids([text])[0]
+
+
+def test_literals_of_added_tokens(spark):
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>b\n", "w " * 3000 + "<|endoftext|>" + " w" * 3000]
+    assert plain_ids(texts[:1])[0][:-1] == [31373, 220, 50256, 995]
+    n, _, lengths = check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert n == greedy(lengths)
