@@ -9,8 +9,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from .columns import by_place, place, restored
 from .components import distributed_roots, local_roots
 from .scratch import Scratch
 
@@ -20,6 +20,8 @@ TILE = 4096
 #: Quarters of a fingerprint have 0 to 16 bits set, so there are 17**4 cells at most, whatever the input.
 SIDE, QUARTERS = 17, 4
 CHUNK = 1 << 16
+MAX_TILES = 4096
+FEW_PAIRS = 200_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -45,7 +47,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     for batch in batches:
         texts = batch.column(1).cast(pa.large_binary() if pa.types.is_large_string(batch.column(1).type) else pa.binary())
         found = np.fromiter((fingerprint(x.as_py() or b"") for x in texts), np.uint64, len(texts))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), batch.column(2)], ["doc_id", "fp", "h"])
 
 
 def _cell(fp) -> F.Column:
@@ -55,12 +57,8 @@ def _cell(fp) -> F.Column:
     return cell.cast("int")
 
 
-def plan_tiles(counts: dict[int, int], tile: int, radius: int):
-    """Cells in order of their population counts -> (cell, first tile, tiles) rows, and the tile pairs to compare.
-
-    A pair is skipped if the population counts of all rows of one tile are
-    further from those of the other than the radius: then so are the fingerprints.
-    """
+def plan_tiles(counts: dict[int, int], tile: int) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray]:
+    """Cells in order of their population counts -> (cell, first tile, tiles) rows, and the least and greatest population counts of each tile."""
     cells, boxes, room = [], [], 0
     for cell in sorted(counts):
         n, rest, p = counts[cell], cell, []
@@ -78,13 +76,30 @@ def plan_tiles(counts: dict[int, int], tile: int, radius: int):
             boxes[-1] = [list(map(min, boxes[-1][0], p)), list(map(max, boxes[-1][1], p))]
             cells.append((cell, len(boxes) - 1, 1))
             room -= n
-    pairs = []
-    if boxes:
-        low, high = np.array([b[0] for b in boxes]), np.array([b[1] for b in boxes])
-        for a in range(len(boxes)):
-            gap = np.maximum(0, np.maximum(low[a] - high[a:], low[a:] - high[a])).sum(axis=1)
-            pairs += [(a, int(b) + a) for b in np.flatnonzero(gap <= radius)]
-    return cells, pairs
+    low, high = (np.array([b[k] for b in boxes], np.int32).reshape(-1, QUARTERS) for k in (0, 1))
+    return cells, low, high
+
+
+def near_tiles(a: int, low: np.ndarray, high: np.ndarray, radius: int) -> np.ndarray:
+    """Later tiles to compare tile a with.
+
+    A tile is skipped if the population counts of all its rows are further from
+    those of a than the radius: then so are the fingerprints.
+    """
+    gap = np.maximum(0, np.maximum(low[a] - high[a + 1 :], low[a + 1 :] - high[a])).sum(axis=1)
+    return np.flatnonzero(gap <= radius) + a + 1
+
+
+def _pairs(low: np.ndarray, high: np.ndarray, radius: int):
+    """Tile numbers -> a row per pair to compare; the boxes are a few numbers for each of some thousand tiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in batch.column(0).to_pylist():
+                b = near_tiles(a, low, high, radius)
+                yield pa.RecordBatch.from_arrays([pa.array(a * len(low) + b, pa.int64()), pa.array(np.full(len(b), a, np.int32)), pa.array(b, pa.int32())], ["pair", "a", "b"])
+
+    return run
 
 
 def inner_roots(a: np.ndarray, radius: int) -> np.ndarray:
@@ -136,31 +151,17 @@ def _compare(radius: int):
     return run
 
 
-def near_duplicates(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE
-) -> DataFrame:
-    """Every row's doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable by links).
-
-    Null and empty texts have the fingerprint zero and link like others. Rows
-    with a null doc_id keep it and never name a component unless all of it has
-    none. Repeated rows each come back. Other columns of docs are not read.
-    Equal fingerprints meet first, so a group of copies is one node; then tiles
-    of at most about `tile` distinct fingerprints (more only where over 4096
-    tiles would be needed) are compared exactly.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
-    if shingle != SHINGLE:
-        raise ValueError("fingerprints are of three-word shingles")
-    fps = scratch.keep(plain.mapInArrow(_fingerprint_batches, schema), "fingerprints")
+def _components(fps: DataFrame, scratch: Scratch, radius: int, tile: int) -> DataFrame:
+    """(doc_id, fp) -> (fp, root, component_id) of every distinct fingerprint."""
+    spark = fps.sparkSession
     reps = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).withColumn("cell", _cell(F.col("fp"))), "distinct")
     counts = {r["cell"]: r["count"] for r in reps.groupBy("cell").count().collect()}  # 17**4 rows at most
-    size = max(tile, -(-sum(counts.values()) // 4096))
-    cells, pairs = plan_tiles(counts, size, radius)
-    cell_map = spark.createDataFrame(cells, "cell int, first int, n int")
-    pair_map = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs) if a < b], "pair int, a int, b int")
+    size = max(tile, -(-sum(counts.values()) // MAX_TILES))
+    cells, low, high = plan_tiles(counts, size)
+    cell_map = spark.createDataFrame(cells, "cell int, first int, n int")  # 17**4 rows at most, so it may be broadcast
+    pairs = scratch.keep(spark.range(len(low)).mapInArrow(_pairs(low, high, radius), "pair long, a int, b int"), "pairs")
+    few = pairs.count() <= FEW_PAIRS  # checked; more are shuffled
+    pairs = F.broadcast(pairs) if few else pairs
     dealt = (
         reps.join(F.broadcast(cell_map), "cell")
         .select((F.col("first") + F.pmod(F.xxhash64("fp"), F.col("n"))).cast("int").alias("tile"), "fp")
@@ -169,8 +170,8 @@ def near_duplicates(
     )
     # a group of near copies is one root in each tile that it reaches, so few links leave the tiles
     tiles = scratch.keep(dealt.mapInArrow(_within(radius), "tile int, fps array<long>, roots array<int>"), "tiles")
-    left = tiles.join(F.broadcast(pair_map), F.col("tile") == F.col("a")).select("pair", F.col("fps").alias("x"), F.col("roots").alias("rx"))
-    right = tiles.join(F.broadcast(pair_map), F.col("tile") == F.col("b")).select("pair", F.col("fps").alias("y"), F.col("roots").alias("ry"))
+    left = tiles.join(pairs, F.col("tile") == F.col("a")).select("pair", F.col("fps").alias("x"), F.col("roots").alias("rx"))
+    right = tiles.join(pairs, F.col("tile") == F.col("b")).select("pair", F.col("fps").alias("y"), F.col("roots").alias("ry"))
     links = left.join(right, "pair").select("x", "rx", "y", "ry").mapInArrow(_compare(radius), "src long, dst long")
     across = distributed_roots(links, scratch)
     inner = tiles.select(F.explode(F.arrays_zip("fps", F.transform("roots", lambda r: F.element_at("fps", r + 1)).alias("top"))).alias("e"))
@@ -179,18 +180,58 @@ def near_duplicates(
     roots = inner_root.unionByName(across)  # a root of a tile is never moved within it
     grouped = reps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_fp = scratch.keep(grouped.join(least, "root").select("fp", "component_id"), "components")
+    return scratch.keep(grouped.join(least, "root").select("fp", "root", "component_id"), "components")
+
+
+def _fingerprints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, fp and h, a hash of the text, of every row."""
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), _text_hash(text).alias("h"))
+    return plain.mapInArrow(_fingerprint_batches, "doc_id long, fp long, h long")
+
+
+def _text_hash(text: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """Every row's doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable by links).
+
+    Null and empty texts have the fingerprint zero and link like others. Rows
+    with a null doc_id keep it and never name a component unless all of it has
+    none. Repeated rows each come back. Other columns of docs are not read. An
+    empty table gives an empty result.
+    Equal fingerprints meet first, so a group of copies is one node; then tiles
+    of at most about `tile` distinct fingerprints (more only where over
+    MAX_TILES tiles would be needed) are compared exactly.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    fps = scratch.keep(_fingerprints(docs, doc_id, text).select("doc_id", "fp"), "fingerprints")
+    by_fp = _components(fps, scratch, radius, tile)
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each near-duplicate group, that of the smallest doc_id; all columns of docs.
+    """One row of each near-duplicate group, with the columns of docs, which may have any names.
 
-    Rows with a null doc_id stay: they name no group. Of repeated rows with the
-    group's doc_id one stays.
+    It is a row of the smallest doc_id; of several, that whose text has the
+    smallest hash; of rows alike in both, that whose columns have. Rows with a
+    null doc_id stay: they name no group. Rows of one doc_id whose texts are not
+    near copies are in groups of their own, and each group keeps a row.
     """
-    found = near_duplicates(docs, doc_id=doc_id, text=text)
-    out = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(out, docs[doc_id] == out["__gone"], "left_anti")
-    named, unnamed = left.where(F.col(doc_id).isNotNull()), left.where(F.col(doc_id).isNull())
-    return named.dropDuplicates([doc_id]).unionByName(unnamed)
+    scratch = Scratch(docs.sparkSession, "simhash")
+    placed = by_place(docs)
+    own_id, own_text = place(docs, doc_id), place(docs, text)
+    fps = scratch.keep(_fingerprints(placed, own_id, own_text), "fingerprints")
+    by_fp = _components(fps.select("doc_id", "fp"), scratch, RADIUS, TILE)
+    named = fps.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "h").agg(F.first("fp").alias("fp"), F.count("*").alias("n")).join(by_fp.select("fp", "root"), "fp")
+    best = F.min(F.struct("doc_id", "h")).alias("best")
+    rows = scratch.keep(named.join(named.groupBy("root").agg(best), "root").select("doc_id", "h", "n", (F.struct("doc_id", "h") == F.col("best")).alias("stays")), "rows")
+    keyed = placed.withColumn("id", F.col(own_id).cast("long")).withColumn("text_hash", _text_hash(own_text))
+    on = (F.col("id") == F.col("doc_id")) & (F.col("text_hash") == F.col("h"))
+    left = keyed.join(rows.where("NOT stays OR n > 1").select("doc_id", "h"), on, "left_anti")
+    again = rows.where("stays AND n > 1").select("doc_id", "h")
+    if again.isEmpty():  # then the texts need no second shuffle
+        return restored(left, docs)
+    whole = F.struct(*placed.columns)
+    alike = keyed.join(again, on).groupBy("doc_id", "h").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("row")).select("row.*")
+    return restored(left.select(*placed.columns).union(alike), docs)

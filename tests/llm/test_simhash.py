@@ -59,6 +59,20 @@ def test_keep_one(small_docs):
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == sorted({r.component_id for r in found if r.doc_id is not None})
     assert ids.count(None) == 1
+    whole = {str(tuple(r)) for r in small_docs.collect()}
+    assert all(str(tuple(r)) in whole for r in kept.collect())
+
+
+def test_keep_one_of_repeated_ids(spark):
+    a, b = "one text of a good many words " * 9, "quite another story told by somebody else altogether " * 9
+    rows = [(1, a, "x"), (1, b, "y"), (2, b, "z"), (3, "third one here " * 9, "q"), (3, "third one here " * 9, "p"), (3, "third one here " * 9, "p"), (None, a, "n"), (None, a, "n")]
+    found = []
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").repartition(parts)
+        found.append(sorted(map(str, simhash.keep_one(docs).collect())))
+    assert found[0] == found[1] and len(found[0]) == 5
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (1, b), (3, rows[3][1]), (None, a), (None, a)], key=str)
 
 
 def test_tiles_lose_no_pair():
@@ -74,9 +88,10 @@ def test_tiles_lose_no_pair():
             c = c * 17 + (f >> 16 * k & 0xFFFF).bit_count()
         cell[f] = c
         counts[c] += 1
-    cells, pairs = simhash.plan_tiles(counts, 8, 3)
+    cells, low, high = simhash.plan_tiles(counts, 8)
     tiles = {c: range(first, first + n) for c, first, n in cells}
-    compared = set(pairs)
+    compared = {(a, int(b)) for a in range(len(low)) for b in simhash.near_tiles(a, low, high, 3)} | {(a, a) for a in range(len(low))}
+    assert len(compared) < len(low) ** 2 / 2
     for a in fps.tolist():
         for b in fps.tolist():
             if (a ^ b).bit_count() <= 3:
