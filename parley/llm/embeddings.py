@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,8 @@ OWN_LINKS = 8_192
 CELL_ROWS = 32
 MAX_CODES = 1_024
 BLOCK = 2_048
-MAX_BLOCKS = 64
+#: Blocks of more cells than this are shuffled to their rows, not broadcast.
+FEW_CELLS = 100_000
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -54,6 +56,12 @@ class MultiIndex:
     second: np.ndarray
     reach: float
 
+    @staticmethod
+    def single(dim: int) -> MultiIndex:
+        """One cell for everything."""
+        half = max(1, dim // 2)
+        return MultiIndex(np.zeros((1, half)), np.zeros((1, dim - half)), 0.0)
+
     @property
     def split(self) -> int:
         return self.first.shape[1]
@@ -100,12 +108,18 @@ def fit(sample: np.ndarray, n: int, *, threshold: float = THRESHOLD, recall: flo
     """Codebooks from the sample, and the reach at which the target share of links is visited.
 
     The share is measured on the hardest links there are, partners in a random
-    direction at exactly the threshold, and on the sample's own links.
+    direction at exactly the threshold, and on the sample's own links. With a
+    recall of 1 no link is lost: unit vectors at the threshold are at most
+    sqrt(2 - 2 * threshold) apart, and a vector is as far from a cell as from
+    its border at least.
     """
     x = unit(sample)
     half = max(1, x.shape[1] // 2)
     k = int(min(MAX_CODES, max(1, np.sqrt(n / CELL_ROWS))))
     index = MultiIndex(codebook(x[:, :half], k, seed), codebook(x[:, half:], k, seed + 1) if half < x.shape[1] else np.zeros((1, 0)), 0.0)
+    if recall >= 1:
+        index.reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
+        return index
     rng = np.random.default_rng(seed + 2)
     u = x[rng.choice(len(x), min(TRIALS, len(x)), replace=False)]
     w = rng.standard_normal(u.shape)
@@ -142,27 +156,43 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def _route(index: MultiIndex):
-    """(uid, mult, vector) -> a row for the own cell (probe false) and for each later cell that traversal visits (probe true)."""
+def _route(indexes: dict[int, MultiIndex]):
+    """(uid, mult, vector) -> a row for the own cell (probe false) and for each later cell that traversal visits (probe true).
+
+    Vectors of each length have cells of their own; a length without an index is one cell.
+    """
+    singles: dict[int, MultiIndex] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                which, cells, probes = [], [], []
-                for row, (own, visited) in enumerate(index.traverse(unit(_matrix(part.column(2))))):
-                    later = [c for c in visited if c > own]
-                    which += [row] * (1 + len(later))
-                    cells += [own, *later]
-                    probes += [False] + [True] * len(later)
-                at_rows = pa.array(which, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells, pa.int64()), pa.array(probes), *(part.column(k).take(at_rows) for k in range(3))], ["cell", "probe", "uid", "mult", "vector"]
-                )
+            dims = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims).tolist():
+                index = indexes.get(dim) or singles.setdefault(dim, MultiIndex.single(dim))
+                alike = batch if (dims == dim).all() else batch.take(pa.array(np.flatnonzero(dims == dim)))
+                for at in range(0, alike.num_rows, 1024):
+                    part = alike.slice(at, 1024)
+                    which, cells, probes = [], [], []
+                    for row, (own, visited) in enumerate(index.traverse(unit(_matrix(part.column(2))))):
+                        later = [c for c in visited if c > own]
+                        which += [row] * (1 + len(later))
+                        cells += [own, *later]
+                        probes += [False] + [True] * len(later)
+                    at_rows = pa.array(which, pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.array(cells, np.int64) + dim * MAX_CODES**2), pa.array(probes), *(part.column(k).take(at_rows) for k in range(3))],
+                        ["cell", "probe", "uid", "mult", "vector"],
+                    )
 
     return run
 
 
+def _sampled(vectors: DataFrame, n: int) -> np.ndarray:
+    """At most SAMPLE of n vectors of one length, by their hash."""
+    turn, parts = F.pmod(F.xxhash64("vector"), F.lit(1 << 30)), 1 << 30
+    near = vectors if n <= 2 * SAMPLE else vectors.where(turn < int(parts * 1.2 * SAMPLE / n))  # so no task sends a full sample of its own
+    return _matrix(near.orderBy(turn, "vector").limit(SAMPLE).select("vector").toArrow()["vector"].combine_chunks())
+
+
 def verify(left: np.ndarray, right: np.ndarray, left_mult: np.ndarray, right_mult: np.ndarray, same: bool, threshold: float):
     """Exact links of two blocks: how many vectors each row links to, and a spanning forest of roots (indexes into left then right)."""
     n, m = len(left), len(right)
@@ -196,16 +226,21 @@ def _compare(threshold: float):
     return run
 
 
-def near_duplicates(table: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(
+    table: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL
+) -> DataFrame:
     """Per row: vec_id, n_links (other vectors at a cosine of `threshold` or more), component_id, kept.
 
-    Vectors that are null, empty, zero or hold null or non-finite components link
-    with nothing and stay alone, as do rows with a null vec_id (component_id null,
-    kept false). Vectors of another length than the most common one link only
-    with equal ones. Equal vectors meet first and count as one with a
-    multiplicity. Repeated rows count as vectors. An empty table gives an empty
-    result. Each pair is looked for from the lower cell to the higher; cells with
-    many vectors are cut into blocks that are compared block by block, so none is
+    Traversal goes on until the share `recall` of the hardest links is visited;
+    a recall of 1 finds every link. Vectors that are null, empty, zero or hold
+    null or non-finite components link with nothing and stay alone, as do rows
+    with a null vec_id (component_id null, kept false). Vectors link with those
+    of their own length only; every length is indexed, one of at most BLOCK
+    vectors as one cell, which loses no link. Equal vectors meet first and count
+    as one with a multiplicity. Repeated rows, and rows that repeat a vec_id
+    with another vector, count as vectors. An empty table gives an empty result.
+    Each pair is looked for from the lower cell to the higher; cells with many
+    vectors are cut into blocks that are compared block by block, so none is
     dropped and no task holds a whole cell.
     """
     spark = table.sparkSession
@@ -215,21 +250,12 @@ def near_duplicates(table: DataFrame, *, vec_id: str = "vec_id", embedding: str
     good = F.col("vec_id").isNotNull() & (F.size("vector") > 0) & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists("vector", lambda v: v != 0), F.lit(False))
     distinct = rows.where(good).groupBy("vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult"))
     distinct = scratch.keep(distinct.withColumn("uid", F.monotonically_increasing_id()), "distinct")
-    sizes = distinct.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if sizes:
-        dim, n = sizes[0]["d"], sizes[0]["count"]
-        usual = distinct.where(F.size("vector") == dim)
-        turn, parts = F.pmod(F.xxhash64("vector"), F.lit(1 << 30)), 1 << 30
-        near = usual if n <= 2 * SAMPLE else usual.where(turn < int(parts * 1.2 * SAMPLE / n))  # so no task sends a full sample of its own
-        sample = near.orderBy(turn, "vector").limit(SAMPLE).select("vector").toArrow()["vector"].combine_chunks()
-        index = fit(_matrix(sample), n, threshold=threshold)
-        vector = distinct.schema["vector"].dataType.simpleString()
-        routed = scratch.keep(
-            usual.select("uid", "mult", "vector").mapInArrow(_route(index), f"cell long, probe boolean, uid long, mult long, vector {vector}"), "cells"
-        )
-        found = scratch.keep(_blocks(routed).groupBy("cell", "same", "a", "b").applyInArrow(_compare(threshold), "uid long, links long, root long"), "links")
-    else:
-        found = scratch.keep(spark.createDataFrame([], "uid long, links long, root long"), "links")
+    lengths = distinct.groupBy(F.size("vector").alias("d")).count().where(F.col("count") > BLOCK).collect()  # lengths in common use: a row a model
+    indexes = {r["d"]: fit(_sampled(distinct.where(F.size("vector") == r["d"]), r["count"]), r["count"], threshold=threshold, recall=recall) for r in lengths}
+    vector = distinct.schema["vector"].dataType.simpleString()
+    routed = distinct.select("uid", "mult", "vector").mapInArrow(_route(indexes), f"cell long, probe boolean, uid long, mult long, vector {vector}")
+    blocks = _blocks(scratch.keep(routed, "cells"), scratch)
+    found = scratch.keep(blocks.groupBy("cell", "same", "a", "b").applyInArrow(_compare(threshold), "uid long, links long, root long"), "links")
     # a vector has a root in every comparison it links in; those few roots stand for all that they gather
     per = scratch.keep(found.groupBy("uid").agg(F.sum("links").alias("links"), F.collect_set("root").alias("roots")).withColumn("hub", F.array_min("roots")), "roots")
     across = distributed_roots(per.select(F.explode("roots").alias("src"), F.col("hub").alias("dst")), scratch)
@@ -249,17 +275,17 @@ def near_duplicates(table: DataFrame, *, vec_id: str = "vec_id", embedding: str
     )
 
 
-def _blocks(routed: DataFrame) -> DataFrame:
+def _blocks(routed: DataFrame, scratch: Scratch) -> DataFrame:
     """Deal each cell's members and probes into blocks, and send every block to all comparisons it takes part in.
 
     A cell's members are compared with one another (same: a block with itself;
     else blocks a < b), and its probes with its members (a below 0: probes).
     """
     counts = routed.groupBy("cell").agg(F.sum(F.col("probe").cast("long")).alias("p"), F.sum((~F.col("probe")).cast("long")).alias("m"))
-    blocks = lambda c: F.least(F.lit(MAX_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK))).cast("int")
-    hot = counts.where((F.col("p") > BLOCK) | (F.col("m") > BLOCK)).select("cell", blocks("p").alias("np"), blocks("m").alias("nm"))
-    # one row per cell of over BLOCK rows, of MAX_CODES ** 2 cells at most
-    dealt = routed.join(F.broadcast(hot), "cell", "left").na.fill({"np": 1, "nm": 1})
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
+    hot = scratch.keep(counts.where((F.col("p") > BLOCK) | (F.col("m") > BLOCK)).select("cell", blocks("p").alias("np"), blocks("m").alias("nm")), "hot")
+    few = hot.count() <= FEW_CELLS  # checked; more are shuffled
+    dealt = routed.join(F.broadcast(hot) if few else hot, "cell", "left").na.fill({"np": 1, "nm": 1})
     turn = lambda n: F.pmod(F.xxhash64(F.lit(5), "uid"), F.col(n)).cast("int")
     item = lambda same, a, b, right: F.struct(same.alias("same"), a.cast("int").alias("a"), b.cast("int").alias("b"), right.alias("right"))
     yes, no = F.lit(True), F.lit(False)
