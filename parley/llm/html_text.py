@@ -38,6 +38,8 @@ PLAIN = frozenset(
 )
 #: Marks that hold over whole articles too, as readers' comments are articles of their own.
 COMMENTS = frozenset("comment comments reply replies disqus respond".split())
+#: Marks that may as well name a part of a story, and so drop nothing inside an article or main element; the site style tree judges there.
+WEAK = frozenset("header masthead banner alert search skip toolbar widget overlay aside complementary contentinfo social signup login".split())
 #: Start tags that close an open element of the same kind, up to the nearest container.
 SIBLING = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table", "tbody", "thead"), "option": ("select",)}
 #: What follows a tag's name; a quoted value may hold any character, one whose quote never ends holds none.
@@ -48,9 +50,12 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 MARKING = frozenset("class id role hidden aria-hidden".split())
+#: A node's entropies are taken over this many pages of its host at least; of fewer they say too little, and no branch goes by them.
 MIN_PAGES = 5
 LOW = 0.3
 GAMMA = 0.9
+#: Verdicts of more values than this are shuffled, not broadcast.
+FEW = 200_000
 
 
 @dataclass
@@ -58,6 +63,7 @@ class Mark:
     """A mark on an element: it holds unless the element turns out to be or to contain an article or main element."""
 
     comments: bool
+    weak: bool
     holds: bool = True
 
 
@@ -104,7 +110,7 @@ def _marks(tag: str, attributes: str) -> tuple[str, Mark | None, bool]:
             name = "." + ".".join(sorted(re.split(r"[^a-z0-9]+", value)))
     if not found or tag in ("html", "body", "main"):  # a page's own classes name what it has, not what it is
         return tag + name, None, main
-    return tag + name, Mark(not COMMENTS.isdisjoint(found)), main
+    return tag + name, Mark(not COMMENTS.isdisjoint(found), found <= WEAK), main
 
 
 def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
@@ -165,19 +171,18 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
             continue
         parent = stack[-1]
         step, mark, main = _marks(tag, m[4])
+        if mark and parent.main and (mark.weak or tag in HEADINGS and not mark.comments):
+            mark = None
         marks = (*parent.marks, mark) if mark else parent.marks
         outside = parent.outside or tag in OUTSIDE
         if (tag == "article" or main) and not outside and parent.main < 2:
             for own in marks:
                 own.holds &= own.comments and not main
         if tag == "header" and parent.main and not parent.outside:
-            outside = False  # an article's own header; only its headings are text
+            outside = False  # an article's own header, with its title and standfirst
         inside = parent.main
         if not outside:
             inside = 2 if tag == "article" else max(inside, int(main))
-        own_header = any(x.tag == "header" for x in stack) and not parent.outside
-        if own_header and block and tag not in HEADINGS and parent.tag == "header":
-            outside = True
         parent.styles.append(step)
         stack.append(Element(tag, f"{parent.path}/{step}" if block else parent.path, outside, inside, marks))
     if at < len(page):
@@ -230,28 +235,26 @@ def _mass(blocks: list[Block]) -> int:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, html) -> the page's contribution to its site's style tree; kind 0 content, 1 style, 2 page, 3 block of an article or main element.
+    """(page, host, html) -> the page's contribution to its site's style tree; kind 0 content, 1 style, 2 page, 3 block of an article or main element.
 
     `copy` is the same for pages whose main text is the same.
     """
     for batch in batches:
-        rows: list[tuple[int, int, int, int, int]] = []
-        for host, page in zip(batch.column(0), batch.column(1)):
-            host = host.as_py()
+        rows: list[tuple[int, int, int, int, int, int]] = []
+        for key, host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             blocks, styles = parse(page.as_py() or "")
             inner = _unmarked(blocks)
             copy = _hash("\n".join(b.text for b in [b for b in inner if b.main] or inner))
             own = {(host, _hash(b.path), 0, _hash(b.text), copy) for b in blocks} | {(host, _hash(p), 1, _hash(s), copy) for p, s in styles}
             own |= {(host, p, 2, 0, copy) for _, p, *_ in own}
             own |= {(host, _hash(b.path), 3, _feature(b), copy) for b in inner if b.main}
-            rows.extend(own)
-        found = np.array(rows, np.int64).reshape(-1, 5)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(5)], ["host", "path", "kind", "feature", "copy"])
+            rows.extend((key, *x) for x in own)
+        found = np.array(rows, np.int64).reshape(-1, 6)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(6)], ["page", "host", "path", "kind", "feature", "copy"])
 
 
-def site_counts(pages: DataFrame) -> DataFrame:
-    """(host, html) -> (host, path, kind, feature, n, copies): in how many pages, and in how many different main texts."""
-    rows = pages.mapInArrow(_merge, "host long, path long, kind long, feature long, copy long")
+def site_counts(rows: DataFrame) -> DataFrame:
+    """Contributions of pages -> (host, path, kind, feature, n, copies): in how many pages, and in how many different main texts."""
     once = rows.groupBy("host", "path", "kind", "feature", "copy").agg(F.count("*").alias("n"))
     return once.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"), F.count("*").alias("copies"))
 
@@ -291,23 +294,34 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", pag
     """Per row: page_id, url, text (empty if none), n_chars.
 
     Null html is empty; a null or odd url belongs to the host "". Repeated rows
-    come back each. Branches that the site style tree finds of low importance
-    go, unless nothing would stay. Where a page has article or main elements,
-    its text is theirs without marked boilerplate, with the rest of the body
-    only where that is longer, and a branch's block inside goes only if other
-    articles of the site hold it too.
+    come back each. An empty table gives an empty result; other columns are not
+    read. Branches that the site style tree finds of low importance go, unless
+    nothing would stay; a node that fewer than MIN_PAGES pages of the host have
+    is never found so. Where a page has article or main elements, its text is
+    theirs without marked boilerplate, with the rest of the body only where that
+    is longer, and a branch's block inside goes only if other articles of the
+    site hold it too.
+
+    Each page gets the verdicts on its own branches and blocks only, so no row
+    grows with its host.
     """
     scratch = Scratch(pages.sparkSession, "html")
     host = F.xxhash64(F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1)), F.lit("")))
-    plain = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.col(page).cast("string").alias("html"))
-    counts = scratch.keep(site_counts(plain.select("host", "html")), "counts")
-    branches = site_tree(counts).where(F.col("importance") < LOW).select("host", F.col("path").alias("low"), F.lit(None).cast("long").alias("repeated"))
+    plain = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("html"))
+    plain = plain.withColumn("page", F.xxhash64("host", "html"))  # pages alike in both share their verdicts
+    merged = plain.select("page", "host", "html").mapInArrow(_merge, "page long, host long, path long, kind long, feature long, copy long")
+    rows = scratch.keep(merged, "rows")
+    counts = scratch.keep(site_counts(rows), "counts")
+    branches = scratch.keep(site_tree(counts).where(F.col("importance") < LOW).select("host", "path"), "branches")
     inner = scratch.keep(site_tree(counts, "copies").where(F.col("importance") < LOW).select("host", "path"), "inner")
-    few = inner.count() <= 200_000  # checked; more are shuffled
-    blocks = counts.where("kind = 3 AND copies > 1").join(F.broadcast(inner) if few else inner, ["host", "path"]).select("host", F.lit(None).cast("long").alias("low"), F.col("feature").alias("repeated"))
-    low = scratch.keep(branches.unionByName(blocks).groupBy("host").agg(F.collect_set("low").alias("low"), F.collect_set("repeated").alias("repeated")), "low")
-    size = low.agg(F.sum(F.size("low") + F.size("repeated"))).first()[0] or 0
-    joined = plain.join(F.broadcast(low) if size <= 200_000 else low, "host", "left").select("page_id", "url", "html", "low", "repeated")  # checked; more is shuffled
+    shared = scratch.keep(counts.where("kind = 3 AND copies > 1").join(inner, ["host", "path"]).select("host", "path", "feature"), "shared")
+    none = F.lit(None).cast("long")
+    low = rows.where("kind = 0").join(branches, ["host", "path"]).select("page", F.col("path").alias("low"), none.alias("repeated"))
+    repeated = rows.where("kind = 3").join(shared, ["host", "path", "feature"]).select("page", none.alias("low"), F.col("feature").alias("repeated"))
+    verdicts = low.unionByName(repeated).groupBy("page").agg(F.collect_set("low").alias("low"), F.collect_set("repeated").alias("repeated"))
+    verdicts = scratch.keep(verdicts, "verdicts")
+    size = verdicts.agg(F.sum(F.size("low") + F.size("repeated"))).first()[0] or 0
+    joined = plain.join(F.broadcast(verdicts) if size <= FEW else verdicts, "page", "left").select("page_id", "url", "html", "low", "repeated")  # checked; more is shuffled
     schema = T.StructType([joined.schema["page_id"], joined.schema["url"], T.StructField("text", T.StringType())])
     done = joined.mapInArrow(_extract(["page_id", "url", "text"], 2, 3, 4), schema)
     return done.withColumn("n_chars", F.length("text").cast("long"))

@@ -15,7 +15,7 @@ def test_parts():
     two&nbsp;three<br>four<p>Five &copy; &#233;<ul><li>x<li>y</ul><aside>side</aside><form>f</form>
     <section id="comments"><article><p>reader</p></article></section><div class="cookie-notice">no</div></article>
     <footer>Foot</footer></body></html>"""
-    assert text(page) == "A <title>\nOne bold two three four\nFive © é\nx\ny"
+    assert text(page) == "A <title>\nby me\nOne bold two three four\nFive © é\nx\ny"
 
 
 def test_unmarked_and_broken():
@@ -48,6 +48,17 @@ def test_marks_drop_no_article():
     assert text('<article><p>story</p></article><section id="comments"><article class="comment"><p>reader</p></article></section>') == "story"
 
 
+def test_class_words_that_may_name_a_part_of_a_story():
+    for inner in (
+        '<h2 class="section-header">a</h2>', '<section class="related-work">a</section>', '<p class="share-price">a</p>', '<p class="alert">a</p>', '<h2 class="related">a</h2>',
+        '<header><h1>a</h1></header>', '<header><p class="standfirst">a</p></header>', '<div class="search">a</div>', '<section class="social">a</section>',
+    ):
+        assert text(f"<header>top</header><article>{inner}<p>story</p></article>") == "a\nstory", inner
+        assert text(f"<main>{inner}<p>story</p></main><footer>x</footer>") == "a\nstory", inner
+    for inner in ('<div class="ad">x</div>', '<ul class="share-buttons"><li>x</ul>', "<nav>x</nav>", '<header><h1>story</h1><nav>x</nav></header>', '<aside>x</aside>', '<div class="comments"><h3>x</h3></div>', '<p class="cookie-notice">x</p>'):
+        assert "x" not in text(f"<article><p>story</p>{inner}</article>"), inner
+
+
 def test_marks_leave_something():
     assert text('<div class="widget"><p>all there is</p></div>') == "all there is"
     assert text('<p>site</p><article><div class="social"><p>story</p></div></article>') == "story"
@@ -104,5 +115,16 @@ def test_style_tree_judges_articles(spark):
     assert "By A. Writer" in by[60]
 
 
+def test_many_verdicts_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "FEW", 3)
+    test_style_tree_drops_what_repeats(spark)
+    test_style_tree_judges_articles(spark)
+
+
+def test_few_pages_prove_nothing(spark):
+    pages = [(k, "http://s.com/", f"<div>Same words</div><div><p>Story {k}</p></div>") for k in range(4)]
+    assert {r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()} == {f"Same words\nStory {k}" for k in range(4)}
+
+
 def test_empty(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
