@@ -1,5 +1,8 @@
 import html
+import math
+import random
 import re
+from collections import defaultdict
 
 from parley.llm import html_text
 
@@ -126,5 +129,58 @@ def test_few_pages_prove_nothing(spark):
     assert {r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()} == {f"Same words\nStory {k}" for k in range(4)}
 
 
+def brute_site(pages):
+    """(page, html) of one host -> texts, with the style tree merged in plain dictionaries."""
+    parsed = {k: html_text.parse(p) for k, p in pages}
+    mains, seen = {}, defaultdict(lambda: {"all": defaultdict(set), "copies": defaultdict(set)})
+    for k, (blocks, styles) in parsed.items():
+        inner = html_text._unmarked(blocks)
+        mains[k] = "\n".join(b.text for b in [b for b in inner if b.main] or inner)
+        for b in blocks:
+            seen[b.path]["all"]["c", b.text].add(k), seen[b.path]["copies"]["c", b.text].add(mains[k])
+        for path, style in styles:
+            seen[path]["all"]["s", style].add(k), seen[path]["copies"]["s", style].add(mains[k])
+
+    def low(path, of):
+        sets = seen[path][of]
+        n = len(set().union(*sets.values()))
+        sizes = {kind: [len(v) for (c, _), v in sets.items() if c == kind] for kind in "cs"}
+        if n < html_text.MIN_PAGES or not sizes["c"]:
+            return False
+        style = -sum(x / sum(sizes["s"]) * math.log(x / sum(sizes["s"]), n) for x in sizes["s"])
+        content = 1 - sum(x * math.log(x, n) for x in sizes["c"]) / sum(sizes["c"])
+        return (1 - html_text.GAMMA) * style + html_text.GAMMA * content < html_text.LOW - 1e-9
+
+    holders = defaultdict(set)
+    for k, (blocks, _) in parsed.items():
+        for b in html_text._unmarked(blocks):
+            if b.main:
+                holders[b.path, b.text].add(mains[k])
+    out = {}
+    for k, page in pages:
+        paths = {html_text._hash(b.path) for b in parsed[k][0] if low(b.path, "all")}
+        repeated = {html_text._feature(b) for b in parsed[k][0] if b.main and len(holders[b.path, b.text]) > 1 and low(b.path, "copies")}
+        out[k] = html_text.main_text(page, paths, repeated)
+    return out
+
+
+def test_tree_against_brute_force(spark):
+    rng = random.Random(6)
+    box = lambda tag, n, kinds: f"<{tag}>{rng.choice(kinds)}</{tag}>" if rng.random() < 0.8 else ""
+    pages, wanted = [], {}
+    for host in range(6):
+        site = []
+        for k in range(rng.choice((3, 12, 30))):
+            story = f"<p>Story {rng.randrange(40)} of {host}, told once</p><p>Second part {rng.randrange(60)}</p>"
+            inside = box("div class='box'", 1, ["By one author", "By another"]) + story + box("section", 1, ["The same line", "Rare line " + str(k)])
+            whole = rng.choice(("<article>{}</article>", "<main>{}</main>", "<div>{}</div>")).format(inside)
+            site.append((host * 100 + k, f"<body><div class='top'>{rng.choice(['Welcome', 'Welcome', f'Day {k}'])}</div>{whole}<ul><li>one<li>two</ul></body>"))
+        wanted |= brute_site(site)
+        pages += [(k, f"https://h{host}.org/{k}", p) for k, p in site]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == wanted
+    assert any(t != html_text.main_text(p, set()) for (k, _, p), t in zip(pages, wanted.values()))
+
+
 def test_empty(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
