@@ -73,11 +73,20 @@ class Index:
         return found
 
     def aligned(self, words: list[bytes]) -> dict[str, float]:
-        """label -> share of the template in place, for templates whose key phrases all stand there."""
+        """label -> greatest share of a template in place, over the places where its key phrases stand and LEAST is reached.
+
+        A template's RARE rarest words known in the file are looked up, and places
+        that two of them agree on are tried. Where all its key phrases stand in the
+        file the template's other known words are looked up too, so that no place
+        is missed for rare words that stand elsewhere in a long file.
+        """
         known = self.vocabulary.intersection(words)
+        line = b" " + b" ".join(words) + b" "
         wanted: dict[bytes, list[tuple[int, int]]] = {}
         for number, order in enumerate(self.rarest):
-            rare = [w for w in order if w in known][:RARE]
+            rare = [w for w in order if w in known]
+            if len(rare) > RARE and not all(b" " + b" ".join(key) + b" " in line for key in self.templates[number][2]):
+                rare = rare[:RARE]
             if len(rare) > 1:
                 for word in rare:
                     wanted.setdefault(word, []).extend(p for p in self.postings[word] if p[0] == number)

@@ -1,5 +1,8 @@
 import re
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from parley.llm import licenses
 
 
@@ -36,6 +39,61 @@ def test_templates():
     assert "mit" in index.aligned(licenses.words_of(damaged))
 
 
+def brute_aligned(words):
+    """Every template at every place of the file."""
+    out = {}
+    for label, template, keys in licenses.TEMPLATES:
+        t = template.split()
+        for start in range(1 - len(t), len(words)):
+            a, z = max(0, start), min(start + len(t), len(words))
+            same = sum(words[k] == t[k - start] for k in range(a, z))
+            span = f" {' '.join(words[a:z])} "
+            if same >= licenses.LEAST * len(t) and same > 1 and all(f" {key} " in span for key in keys):
+                out[label] = max(out.get(label, 0), same / len(t))
+    return out
+
+
+def expected(text):
+    words = [w.decode("utf-8", "surrogateescape") for w in licenses.words_of((text or "").encode())]
+    own = brute_aligned(words)
+    labels = set(own) | set(filter(None, base(text)[4].split(",")))
+    return ",".join(sorted(labels)), 1.0 if base(text)[4] else max(own.values(), default=0.0)
+
+
+def test_labels_against_brute_force(spark, sf, small_docs):
+    for docs in (spark.read.parquet(f"{sf}/documents.parquet"), small_docs):
+        texts = {}
+        for r in docs.collect():
+            texts.setdefault(r.doc_id, set()).add(r.text)
+        for r in licenses.scan(docs).collect():
+            assert (r.labels, round(r.score, 12)) in {(a, round(b, 12)) for a, b in map(expected, texts[r.doc_id])}, r
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.data())
+def test_damaged_templates_against_brute_force(data):
+    index = licenses.Index({b"license": 1.0, b"the": 0.1})
+    words = []
+    for _ in range(data.draw(st.integers(1, 3))):
+        label, template, keys = data.draw(st.sampled_from(licenses.TEMPLATES))
+        t = template.split()
+        cut = t[data.draw(st.integers(0, len(t) // 2)) :][: data.draw(st.integers(3, len(t)))]
+        for _ in range(data.draw(st.integers(0, 4))):
+            cut[data.draw(st.integers(0, len(cut) - 1))] = data.draw(st.sampled_from(["x", "license", "software", "version"]))
+        words += data.draw(st.lists(st.sampled_from(["filler", "permission", "attribution", "copyright", "public"]), max_size=5)) + cut
+    got = index.aligned([w.encode() for w in words])
+    assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in brute_aligned(words).items()}
+
+
+def test_rare_words_elsewhere_hide_no_place():
+    label, template, _ = licenses.TEMPLATES[0]
+    short = " ".join(template.split()[:14])
+    far = " filler documentation filler associated filler files filler obtaining filler software filler copy " * 3
+    words = (far + short + far).split()
+    found = licenses.Index({}).aligned([w.encode() for w in words])
+    assert found == brute_aligned(words) and found["mit"] >= 14 / len(template.split())
+
+
 def test_words_beyond_ascii():
     text = "Überß MIT-License cc/by/nc Ａ"
     assert [w.decode() for w in licenses.words_of(text.encode())] == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "Überß mit-license cc/by/nc Ａ")
