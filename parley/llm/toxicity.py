@@ -135,7 +135,10 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     Positives are confirmed toxic rows; every other row, labelled or not, is
     unlabelled text. The class prior is the share of positives among all labelled
     training rows. Which rows are sampled follows a hash of the id; equal texts
-    count once, so a group of copies teaches no words of its own.
+    count once, so a group of copies teaches no words of its own. Labels with a
+    null id or a null label say nothing; of several labels of one id the largest
+    counts; labels without a document only count towards the prior. Without any
+    confirmed toxic row, or without documents, the model finds nothing toxic.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held_out(doc_id)).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("y"))

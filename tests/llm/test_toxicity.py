@@ -47,3 +47,24 @@ def test_odd_rows(spark, small_docs, no_docs):
     assert toxicity.toxicity(no_docs, labels).collect() == []
     none = toxicity.toxicity(small_docs, labels.where("toxic = 0")).collect()
     assert all(r.score < 0.01 for r in none)
+
+
+def test_odd_labels(spark):
+    rows = [(k, f"plain words number {k} of a story" + (" vileword" if k % 4 == 0 else "")) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = lambda found: spark.createDataFrame(found, "doc_id long, toxic int, lang string")
+    plain = [(k, int(k % 4 == 0), "en") for k in range(0, 400, 2)]
+    wanted = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, table(plain)).collect()}
+    assert all(v == int(k % 4 == 0) for k, v in wanted.items())
+    odd = plain + plain + [(None, 1, "x"), (1, None, None), (4, 0, "again"), (9_999, 1, None), (None, None, None)]
+    assert {r.doc_id: r.predicted for r in toxicity.toxicity(docs, table(odd)).collect()} == wanted
+    for none in ([], [(None, 1, "x")], [(4, None, "x")], [(9_999, 1, "x")]):
+        got = toxicity.toxicity(docs, table(none)).collect()
+        assert len(got) == 400 and not any(r.predicted for r in got)
+
+
+def test_held_out_labels_teach_nothing(spark):
+    held = [k for k in range(3000) if zlib.crc32(str(k).encode()) % 5 == 0]
+    docs = spark.createDataFrame([(k, "vileword and more" if k in held[:60] else f"plain {k}") for k in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k in held[:60])) for k in range(3000)], "doc_id long, toxic int")
+    assert not any(r.predicted for r in toxicity.toxicity(docs, labels).collect())
