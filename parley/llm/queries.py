@@ -89,12 +89,19 @@ FROM judged GROUP BY doc_id
 WARC_SQL = r"""
 WITH pages2 AS (
   SELECT page_id, url, html, '"' || md5(coalesce(html, '')) || '"' AS tag,
-    lower(regexp_extract(trim(url), '^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)', 1)) AS head,
+    regexp_extract(trim(url), '^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)', 1) AS head,
     regexp_replace(substr(trim(url), length(regexp_extract(trim(url), '^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)', 1)) + 1), '#.*$', '') AS rest
   FROM pages),
+parts AS (
+  SELECT *, lower(regexp_extract(head, '^(.*?)://', 1)) AS scheme, regexp_extract(head, '://(.*@)', 1) AS who,
+    lower(regexp_replace(head, '^.*?://(.*@)?', '')) AS host0 FROM pages2),
+hosts AS (
+  SELECT *, CASE scheme WHEN 'https' THEN regexp_replace(host0, ':443$', '') WHEN 'http' THEN regexp_replace(host0, ':80$', '') ELSE host0 END AS host
+  FROM parts),
 named AS (
-  SELECT *, regexp_replace(regexp_replace(regexp_replace(head, '^https://', 'http://'), '^http://www[.]', 'http://'), ':(80|443)$', '')
-    || regexp_replace(regexp_replace(rest, '[?]$', ''), '/$', '') AS uri FROM pages2),
+  SELECT *, CASE WHEN head = '' THEN '' WHEN scheme NOT IN ('http', 'https') THEN scheme || '://' || who || host
+      WHEN who = '' THEN 'http://' || regexp_replace(host, '^www[.](.*[.].*)$', '\1') ELSE 'http://' || who || host END
+    || regexp_replace(regexp_replace(rest, '[?]$', ''), '/$', '') AS uri FROM hosts),
 records AS (
   SELECT page_id * 2 AS record_id, uri, page_id * 10 AS ts, true AS full_one, tag AS etag, 'day ' || (page_id % 7) AS modified,
     page_id, length(html) AS n FROM named

@@ -13,12 +13,20 @@ FORBIDDEN = ("connection", "content-encoding", "content-length", "content-range"
 
 
 def canonical_url(url) -> F.Column:
-    """Lower-case scheme and host, without www., default port, fragment, a final slash and an empty query; https as http."""
+    """One spelling of a URL: lower-case scheme and host, https as http; without www., the scheme's own default port, fragment, a final slash and an empty query.
+
+    User names, paths and queries keep their case and their escapes.
+    """
     u = F.trim(url)
-    head = F.lower(F.regexp_extract(u, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1))
+    head = F.regexp_extract(u, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
     rest = F.regexp_replace(F.substring(u, F.length(head) + 1, F.length(u)), "#.*$", "")
-    head = F.regexp_replace(F.regexp_replace(F.regexp_replace(head, "^https://", "http://"), "^http://www[.]", "http://"), ":(80|443)$", "")
-    return F.concat(head, F.regexp_replace(F.regexp_replace(rest, "[?]$", ""), "/$", ""))
+    user = F.regexp_extract(head, "://(.*@)", 1)
+    scheme, host = F.lower(F.regexp_extract(head, "^(.*?)://", 1)), F.lower(F.regexp_replace(head, "^.*?://(.*@)?", ""))
+    host = F.regexp_replace(host, F.when(scheme == "https", ":443$").when(scheme == "http", ":80$").otherwise("^$"), "")
+    web = scheme.isin("http", "https")
+    host = F.when(web & (user == ""), F.regexp_replace(host, "^www[.](.*[.].*)$", "$1")).otherwise(host)
+    named = F.when(head == "", head).otherwise(F.concat(F.when(web, "http").otherwise(scheme), F.lit("://"), user, host))
+    return F.concat(named, F.regexp_replace(F.regexp_replace(rest, "[?]$", ""), "/$", ""))
 
 
 def _lower_names(headers: str) -> F.Column:

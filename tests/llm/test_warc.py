@@ -12,6 +12,9 @@ def test_canonical_url(spark):
     urls = ["HTTPS://WWW.Example.com:443/A/?#x", "http://example.com/A", " http://example.com/A/ ", None, "no url"]
     got = [r.c for r in spark.createDataFrame([(u,) for u in urls], "u string").select(warc.canonical_url(F.col("u")).alias("c")).collect()]
     assert got == ["http://example.com/A"] * 3 + [None, "no url"]
+    urls = ["http://a.com:443/x", "https://a.com:80/x", "https://a.com:443/x", "http://A.com:80/x", "http://Me:Pass@WWW.a.com/", "ftp://www.a.com:80/B/", "https://a.com:8443/?q=A%2f", "http://www.com/"]
+    got = [r.c for r in spark.createDataFrame([(u,) for u in urls], "u string").select(warc.canonical_url(F.col("u")).alias("c")).collect()]
+    assert got == ["http://a.com:443/x", "http://a.com:80/x", "http://a.com/x", "http://a.com/x", "http://Me:Pass@www.a.com", "ftp://www.a.com:80/B", "http://a.com:8443/?q=A%2f", "http://www.com"]
 
 
 def test_cases(spark):
