@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm import line_dedup, mixing, packing, quality, simhash
-from parley.llm.scratch import Scratch
+from parley.llm.scratch import Scratch, scope
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +40,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written and read again."""
+    """All stages over the documents of sf_dir, each written and read again; what a stage leaves goes as soon as the next one is written."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), False
     for name, stage in STAGES[:-1]:
-        after = scratch.keep(stage(spark, docs, sf_dir), name)
-        docs = after
+        with scope(spark):
+            after = scratch.keep(stage(spark, docs, sf_dir), name)
+        if written:
+            scratch.drop(docs)
+        docs, written = after, True
     return STAGES[-1][1](spark, docs, sf_dir)
