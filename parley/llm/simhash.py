@@ -223,9 +223,11 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     own_id, own_text = place(docs, doc_id), place(docs, text)
     fps = scratch.keep(_fingerprints(placed, own_id, own_text), "fingerprints")
     by_fp = _components(fps.select("doc_id", "fp"), scratch, RADIUS, TILE)
-    named = fps.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "h").agg(F.first("fp").alias("fp"), F.count("*").alias("n")).join(by_fp.select("fp", "root"), "fp")
-    best = F.min(F.struct("doc_id", "h")).alias("best")
-    rows = scratch.keep(named.join(named.groupBy("root").agg(best), "root").select("doc_id", "h", "n", (F.struct("doc_id", "h") == F.col("best")).alias("stays")), "rows")
+    named = fps.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "h").agg(F.first("fp").alias("fp"), F.count("*").alias("n"))
+    named = scratch.keep(named.join(by_fp.select("fp", "root"), "fp"), "named")
+    # one row a group is written, so that the join with it splits a group of very many copies
+    best = scratch.keep(named.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("best")), "best")
+    rows = scratch.keep(named.join(best, "root").select("doc_id", "h", "n", (F.struct("doc_id", "h") == F.col("best")).alias("stays")), "rows")
     keyed = placed.withColumn("id", F.col(own_id).cast("long")).withColumn("text_hash", _text_hash(own_text))
     on = (F.col("id") == F.col("doc_id")) & (F.col("text_hash") == F.col("h"))
     left = keyed.join(rows.where("NOT stays OR n > 1").select("doc_id", "h"), on, "left_anti")
