@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: ASCII word edge, since \b of Java knows other letters.
 EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
@@ -16,33 +15,53 @@ SENTENCE_END = "(?<=[.?!…][\"'”’]?)(?U)\\s+"
 TERMINAL = "[.?!…][\"'”’]?(?U)\\s*$"
 
 
-def _latin_fold() -> tuple[str, str]:
-    """Letters whose compatibility decomposition is one ASCII letter or digit and marks, built by rule."""
-    src, dst = [], []
-    for code in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00)):
-        base = [c for c in unicodedata.normalize("NFKD", chr(code)) if not 0x300 <= ord(c) <= 0x36F]
-        if len(base) == 1 and base[0] != chr(code) and base[0].isascii():
-            src.append(chr(code)), dst.append(base[0])
-    return "".join(src), "".join(dst)
+def _plain(ch: str, form: str) -> str:
+    return "".join(c for c in unicodedata.normalize(form, ch) if not 0x300 <= ord(c) <= 0x36F)
 
 
-FOLD_FROM, FOLD_TO = _latin_fold()
+def _folds(form: str, wanted) -> tuple[str, str, dict[str, str]]:
+    """Characters that a normal form without combining marks turns into another one, and into several, by rule."""
+    one_from, one_to, several = [], [], {}
+    for code in range(0xA0, 0x1FC00):
+        ch = chr(code)
+        if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7A4 or 0x300 <= code < 0x370 or not unicodedata.decomposition(ch):
+            continue
+        plain = _plain(ch, form)
+        if plain != ch and wanted(plain):
+            if len(plain) == 1:
+                one_from.append(ch), one_to.append(plain)
+            else:
+                several[ch] = plain
+    return "".join(one_from), "".join(one_to), several
+
+
+def _class(chars) -> str:
+    return "[" + "".join(rf"\x{{{ord(c):X}}}" for c in sorted(chars)) + "]"
+
+
+#: Compatibility forms of ASCII letters, digits and apostrophes; all others end as spaces anyway.
+FOLD_FROM, FOLD_TO, FOLD_SEVERAL = _folds("NFKD", lambda t: re.search("[A-Za-z0-9']", t))
+MARKED_FROM, MARKED_TO, _ = _folds("NFD", lambda t: len(t) == 1)
+BEYOND_ASCII = r"[^\x00-\x7F]"
+COMBINING = r"[\x{300}-\x{36F}]"
 
 
 def fold(c: Column) -> Column:
-    """Latin letters without their marks, natively."""
-    return F.regexp_replace(F.translate(c, FOLD_FROM, FOLD_TO), "[̀-ͯ]", "")
+    """Compatibility forms as ASCII letters and digits, without combining marks; text in plain ASCII is left as it is at once."""
+    table = F.map_from_arrays(F.split(F.lit("\x01".join(FOLD_SEVERAL)), "\x01"), F.split(F.lit("\x01".join(FOLD_SEVERAL.values())), "\x01"))
+    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    single = F.when(c.rlike(_class(FOLD_SEVERAL)), spelled).otherwise(c)
+    return F.when(c.rlike(BEYOND_ASCII), F.regexp_replace(F.translate(single, FOLD_FROM, FOLD_TO), COMBINING, "")).otherwise(c)
 
 
-@F.pandas_udf(T.StringType())
-def nfkd(s: pd.Series) -> pd.Series:
-    """Exact NFKD without combining marks, for text beyond Latin (ligatures, fractions, full-width forms)."""
-    return s.map(lambda x: None if x is None else "".join(ch for ch in unicodedata.normalize("NFKD", x) if not 0x300 <= ord(ch) <= 0x36F))
+def without_marks(c: Column) -> Column:
+    """Letters without their combining marks; other forms stay."""
+    return F.when(c.rlike(BEYOND_ASCII), F.regexp_replace(F.translate(c, MARKED_FROM, MARKED_TO), COMBINING, "")).otherwise(c)
 
 
-def normalize(c: Column, exact: bool = False) -> Column:
+def normalize(c: Column) -> Column:
     """Lower-case ASCII words and apostrophes, single spaces."""
-    plain = F.translate(F.lower(nfkd(c) if exact else fold(c)), "‘’", "''")
+    plain = F.translate(F.lower(fold(c)), "‘’", "''")
     return F.trim(F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9' ]+", " "), " +", " "))
 
 
@@ -72,7 +91,7 @@ def quote_key(c: Column) -> Column:
 
 def title_key(c: Column) -> Column:
     """Title without case, punctuation, spaces and articles; 'X, The' counts as 'The X'."""
-    t = F.regexp_replace(F.trim(F.lower(c)), "&", "and")
+    t = F.regexp_replace(F.trim(F.lower(c)), "&", " and ")
     t = F.regexp_replace(t, r"^(.*),\s*(the|a|an)$", "$2 $1")
     t = F.trim(F.regexp_replace(t, "[^a-z0-9]+", " "))
     return F.replace(F.regexp_replace(t, "^(the|a|an) ", ""), F.lit(" "), F.lit(""))
@@ -80,12 +99,20 @@ def title_key(c: Column) -> Column:
 
 def title_variants(c: Column) -> Column:
     """Spellings to try for a title, in order, without repeats, of two characters or more."""
-    bare = F.trim(F.regexp_replace(c, r"^(?i)(the|a|an)\s+", ""))
-    options = F.array(
-        c, F.trim(F.regexp_replace(c, r":.*$", "")), F.regexp_replace(c, "&", "and"), F.regexp_replace(c, r"(?i)\band\b", "&"), bare,
-        F.trim(F.regexp_replace(c, r"[^\w\s]", "")),
-    )
-    return F.array_distinct(F.filter(options, lambda x: F.length(x) >= 2))
+    short = F.trim(F.substring_index(c, ":", 1))
+    spellings = F.array(c, short, F.replace(c, F.lit("&"), F.lit("and")), F.replace(c, F.lit("'"), F.lit("")), without_marks(c), without_marks(short))
+    return F.array_distinct(F.filter(F.transform(spellings, F.trim), lambda x: F.length(x) >= 2))
+
+
+def words_of(c: Column) -> Column:
+    """Words between runs of white space, with an empty first one where the text begins with some."""
+    return F.split(c, r"(?U)\s+")
+
+
+def capital_share(words: Column) -> Column:
+    """Share of the words after the first that open with a capital."""
+    later = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1)))
+    return F.size(F.filter(later, lambda w: w.rlike("^[A-Z]"))) / F.greatest(F.size(words) - 1, F.lit(1))
 
 
 def jaccard(a: Column, b: Column, empty: float) -> Column:
@@ -140,9 +167,10 @@ def is_quote_wrapped(c: Column) -> Column:
 
 
 def parse_window_id(c: Column) -> Column:
-    """'film:start-end' as a struct; null if malformed."""
+    """'film:start-end' as a struct; a malformed id is an error."""
     part = lambda k: F.regexp_extract(c, r"^(\d+):(\d+)-(\d+)$", k).cast("int")
-    return F.when(c.rlike(r"^\d+:\d+-\d+$"), F.struct(part(1).alias("movie_id"), part(2).alias("start_seq"), part(3).alias("end_seq")))
+    wrong = F.raise_error(F.concat(F.lit("malformed window id: "), c))
+    return F.when(c.rlike(r"^\d+:\d+-\d+$"), F.struct(part(1).alias("movie_id"), part(2).alias("start_seq"), part(3).alias("end_seq"))).when(c.isNotNull(), wrong)
 
 
 def prompt_version(c: Column) -> Column:

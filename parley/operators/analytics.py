@@ -35,7 +35,8 @@ def retained(log: DataFrame, now: Column, days: int = DAYS) -> DataFrame:
 
 
 def missed_queries(log: DataFrame) -> DataFrame:
-    return log.where("hits = 0").groupBy("query_norm").agg(F.count("*").alias("misses"))
+    """Queries that found nothing, most missed first."""
+    return log.where("hits = 0").groupBy("query_norm").agg(F.count("*").alias("misses")).orderBy(F.desc("misses"), "query_norm")
 
 
 def daily_visitors(log: DataFrame) -> DataFrame:

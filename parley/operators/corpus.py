@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard
+from ..functions.text import capital_share, jaccard, words_of
 from ..functions.vectors import mean_vectors
 
 SAMPLE, TOP = 10_240, 32
+#: What credit cards and dedications say.
+CREDIT_TEXT = r"(?i)(?<![A-Za-z0-9_])(dedicated to|in (loving )?memory|subtitles? by|directed by|produced by|screenplay by|based (up)?on the)(?![A-Za-z0-9_])"
+ARC_MARGIN = 0.02
 
 
 def min_max(df: DataFrame, value: str, out: str) -> DataFrame:
@@ -121,9 +124,24 @@ def film_vectors(segments: DataFrame) -> DataFrame:
     return mean_vectors(segments, ["movie_id"])
 
 
-def ranked_windows(windows: DataFrame, score: str = "generic") -> DataFrame:
-    """Rank within a film from 0, least generic first, ties by idx."""
-    return windows.withColumn("rank", F.row_number().over(W.partitionBy("movie_id").orderBy(score, "idx")) - 1)
+def ranked_windows(segments: DataFrame, generic: DataFrame) -> DataFrame:
+    """segments (movie_id, idx, start_beat, end_beat, start_seq, end_seq) with score and rank: within a film from 0, least generic first, ties by idx.
+
+    The score is the mean genericness of the beats a segment spans; a beat
+    without one counts as 0. generic: movie_id, idx of the beat, generic.
+    """
+    beats = segments.select("movie_id", "idx", F.explode(F.sequence(F.col("start_beat").cast("long"), F.col("end_beat").cast("long"))).alias("beat"))
+    scored = beats.join(generic.select("movie_id", F.col("idx").cast("long").alias("beat"), "generic"), ["movie_id", "beat"], "left")
+    mean = scored.groupBy("movie_id", "idx").agg((F.coalesce(F.sum("generic"), F.lit(0.0)) / F.count("*")).alias("score"))
+    rank = F.row_number().over(W.partitionBy("movie_id").orderBy(F.round("score", 12), "idx")) - 1
+    return segments.join(mean, ["movie_id", "idx"]).withColumn("rank", rank)
+
+
+def with_beat_fallback(segments: DataFrame, beats: DataFrame) -> DataFrame:
+    """Segments, and for films that have none their beats as spans of one beat."""
+    columns = ["movie_id", "idx", "start_beat", "end_beat", "start_seq", "end_seq"]
+    lone = beats.join(segments.select("movie_id").distinct(), "movie_id", "left_anti")
+    return segments.select(*columns).unionByName(lone.select("movie_id", "idx", F.col("idx").alias("start_beat"), F.col("idx").alias("end_beat"), "start_seq", "end_seq"))
 
 
 def tier(ranked: DataFrame, which: str, first: int = 10) -> DataFrame:
@@ -132,30 +150,56 @@ def tier(ranked: DataFrame, which: str, first: int = 10) -> DataFrame:
     return ranked.where(kept).orderBy("movie_id", "start_seq", "idx")
 
 
-def document_frequency(lines: DataFrame, film: str = "movie_id", norm: str = "text_norm") -> DataFrame:
+def tokens_of(lines: DataFrame, norm: str = "text_norm") -> Column:
+    """A line's tokens: stored ones if the table has them."""
+    return F.col("tokens") if "tokens" in lines.columns else F.filter(F.split(norm, " "), lambda x: x != "")
+
+
+def document_frequency(lines: DataFrame, film: str = "movie_id") -> DataFrame:
     """(token, df): how many films say a token."""
-    words = lines.select(film, F.explode(F.array_distinct(F.filter(F.split(norm, " "), lambda x: x != ""))).alias("token"))
+    words = lines.select(film, F.explode(F.array_distinct(tokens_of(lines))).alias("token"))
     return words.groupBy("token", film).agg(F.lit(1).alias("one")).groupBy("token").agg(F.count("*").alias("df"))
 
 
-def inverse_frequency(df: DataFrame, films: int) -> DataFrame:
-    return df.withColumn("idf", F.log(F.lit(float(films)) / (1 + F.col("df"))))
+def inverse_frequency(df: DataFrame, films: DataFrame) -> DataFrame:
+    """(token, df) with idf = ln(films / (1 + df)); the number of films is one row of a table of them."""
+    n = films.agg(F.count("*").cast("double").alias("__films"))
+    return df.join(F.broadcast(n)).withColumn("idf", F.log(F.col("__films") / (1 + F.col("df")))).withColumnRenamed("__films", "films")  # one row
+
+
+def is_credit_card(text: Column, arc: Column) -> Column:
+    letters = F.regexp_replace(text, "[^a-zA-Z]", "")
+    shouted = (F.length(letters) > 0) & (F.length(F.regexp_replace(letters, "[^A-Z]", "")) / F.length(letters) > 0.5)
+    return text.rlike(CREDIT_TEXT) | (((arc > 1 - ARC_MARGIN) | (arc < ARC_MARGIN)) & shouted)
 
 
 def distinctiveness(lines: DataFrame, idf: DataFrame) -> DataFrame:
-    """lines with distinct: summed idf over the root of the token count; -1 unless 25-120 characters, 4 tokens and shaped as a sentence."""
-    tokens = F.filter(F.split("text_norm", " "), lambda x: x != "")
-    words = lines.select("movie_id", "seq", F.posexplode(tokens).alias("p", "token")).join(idf, "token", "left")
-    sums = words.groupBy("movie_id", "seq").agg((F.sum(F.coalesce("idf", F.lit(0.0))) / F.sqrt(F.count("*"))).alias("d"))
-    shaped = F.length("text").between(25, 120) & (F.size(tokens) >= 4) & F.trim("text").rlike("^[\"'“‘]?[A-Z].*[.?!…][\"'”’]?$")
-    return lines.join(sums, ["movie_id", "seq"], "left").withColumn("distinct", F.when(shaped, F.col("d")).otherwise(F.lit(-1.0))).drop("d")
+    """lines with distinct: summed idf over the root of the token count, or -1.
+
+    -1 unless the line has 25-120 characters, four tokens or more, is no credit
+    card, and reads as speech: no opening quote, no digit, at most 40 % of the
+    later words capitalised, and at least 40 % tokens that over a fifth of the
+    films say. idf: token, df, idf, films; its rows are the vocabulary.
+    """
+    tokens = tokens_of(lines)
+    text = F.col("text")
+    fit = (
+        F.length(text).between(25, 120) & (F.size(tokens) >= 4) & ~is_credit_card(text, F.col("arc")) & ~F.trim(text).rlike("^[\"'”’“]")
+        & ~F.exists(tokens, lambda t: t.rlike("[0-9]")) & (capital_share(words_of(text)) <= 0.4)
+    )
+    judged = lines.withColumn("__fit", fit)
+    words = judged.where("__fit").select("movie_id", "seq", F.explode(tokens).alias("token")).join(idf, "token", "left")
+    common = F.count_if(F.coalesce(F.col("df") > 0.2 * F.col("films"), F.lit(False)))
+    sums = words.groupBy("movie_id", "seq").agg((F.sum("idf") / F.sqrt(F.count("*"))).alias("__d"), (common / F.count("*")).alias("__common"))
+    scored = F.when(F.col("__fit") & (F.col("__common") >= 0.4), F.col("__d")).otherwise(F.lit(-1.0))
+    return judged.join(sums, ["movie_id", "seq"], "left").withColumn("distinct", scored).drop("__fit", "__d", "__common")
 
 
 def names_in(text: Column) -> Column:
-    """Capitalised words of three letters or more that don't open a sentence, unless a comma follows (an address)."""
-    inner = F.regexp_extract_all(text, F.lit(r"(?<![.?!…]\s)(?<!^)(?<![A-Za-z])([A-Z][a-z]{2,})"), F.lit(1))
-    called = F.regexp_extract_all(text, F.lit(r"(?:^|[.?!…]\s)([A-Z][a-z]{2,}),"), F.lit(1))
-    return F.array_distinct(F.concat(inner, called))
+    """Capitalised words of three letters or more after the first, and the first one if a comma ends it (an address); in lower case."""
+    name = lambda w: F.lower(F.regexp_extract(w, "^[A-Z][a-z]{2,}", 0))
+    found = F.transform(words_of(text), lambda w, k: F.when((k > 0) | w.rlike("^[A-Z][a-z]{2,},$"), name(w)).otherwise(""))
+    return F.array_distinct(F.filter(found, lambda n: n != ""))
 
 
 def quintile_picks(candidates: DataFrame) -> DataFrame:

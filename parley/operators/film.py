@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import clip, excerpt
+from . import titles
 from .retrieval import flagged, nearest
 
 LAMBDA, EXCESS, STRENGTH, CONSENSUS, PAIRS = 0.75, 0.05, 0.25, 0.28, 5
@@ -34,22 +35,30 @@ def similar(pairs: DataFrame, movies: DataFrame, most: int = 8) -> DataFrame:
     return ranked.join(meta, "similar_id").select("movie_id", "rank", "similar_id", "title", "year", "score")
 
 
+def _held(spans: DataFrame) -> DataFrame:
+    """Spans once per line they hold, so that lines meet them by an equi join."""
+    return spans.withColumn("held", F.explode(F.sequence(F.col("start_seq").cast("long"), F.col("end_seq").cast("long"))))
+
+
 def span_at(spans: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (movie_id, seq) to the containing span of nearest midpoint, ties by idx."""
-    inside = asked.join(spans, "movie_id").where("start_seq <= seq AND end_seq >= seq")
+    inside = asked.join(_held(spans).withColumn("seq", F.col("held")), ["movie_id", "seq"])
     far = F.abs(F.col("start_seq") + F.col("end_seq") - 2 * F.col("seq"))
-    return inside.withColumn("n", F.row_number().over(W.partitionBy("movie_id", "seq").orderBy(far, "idx"))).where("n = 1").select("movie_id", "seq", "idx", "start_seq", "end_seq")
+    best = inside.groupBy("movie_id", "seq").agg(F.min(F.struct(far.alias("far"), "idx", "start_seq", "end_seq")).alias("x"))
+    return best.select("movie_id", "seq", "x.idx", "x.start_seq", "x.end_seq")
 
 
 def first_overlap(spans: DataFrame, asked: DataFrame) -> DataFrame:
-    """asked (movie_id, s, e) to the first span by idx that overlaps."""
-    over = asked.join(spans, "movie_id").where("end_seq >= s AND start_seq <= e")
-    return over.groupBy("movie_id", "s", "e").agg(F.min_by(F.struct("idx", "start_seq", "end_seq"), "idx").alias("x")).select("movie_id", "s", "e", "x.*")
+    """asked (movie_id, s, e) to the first span by idx that overlaps: they meet on the lines of both."""
+    lines = asked.distinct().withColumn("held", F.explode(F.sequence(F.col("s").cast("long"), F.col("e").cast("long"))))
+    over = lines.join(_held(spans).select("movie_id", "held", "idx", "start_seq", "end_seq"), ["movie_id", "held"])
+    return over.groupBy("movie_id", "s", "e").agg(F.min(F.struct("idx", "start_seq", "end_seq")).alias("x")).select("movie_id", "s", "e", "x.*")
 
 
 def source_lines(lines: DataFrame, spans: DataFrame, most: int = SOURCE_LINES) -> DataFrame:
     """spans (movie_id, start_seq, end_seq) to their first lines and how many there are."""
-    inside = spans.join(lines.select("movie_id", "seq", "text"), "movie_id").where(F.col("seq").between(F.col("start_seq"), F.least(F.col("end_seq"), F.col("start_seq") + most - 1)))
+    shown = spans.select("movie_id", "start_seq", "end_seq", F.explode(F.sequence(F.col("start_seq").cast("long"), F.least(F.col("end_seq"), F.col("start_seq") + most - 1).cast("long"))).alias("seq"))
+    inside = shown.join(lines.select("movie_id", "seq", "text"), ["movie_id", "seq"])
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
     return inside.groupBy("movie_id", "start_seq", "end_seq").agg(ordered.alias("lines")).withColumn("total_lines", F.col("end_seq") - F.col("start_seq") + 1)
 
@@ -91,71 +100,148 @@ def pair_similarity(pairs: DataFrame, a: int, b: int) -> DataFrame:
     return pairs.where(one).agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("score"))
 
 
-def cross_scores(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def _matrices(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray] | None:
+    """Both sides of one pair of films in order, and their adjusted scores."""
+    a, b = (pdf[pdf["side"] == k].sort_values("idx") for k in (0, 1))
+    if not len(a) or not len(b):
+        return None
+    near = np.stack(a["vec"]).astype(float) @ np.stack(b["vec"]).astype(float).T
+    return a, b, near - LAMBDA * (a["generic"].to_numpy()[:, None] + b["generic"].to_numpy()[None, :]) / 2
+
+
+def _sides(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    tag = lambda d, s: d.select(*keys, F.lit(s).alias("side"), "idx", "vec", "generic")
+    return tag(left, 0).unionByName(tag(right, 1))
+
+
+def _kinds(left: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"{k} {left.schema[k].dataType.simpleString()}" for k in keys)
+
+
+def cross_scores(left: DataFrame, right: DataFrame, keys: list[str], contrast: float | None = None, strength: float | None = None) -> DataFrame:
     """Adjusted scores of each window of one film with each of another: (keys, ia, ib, score, mean_a, mean_b, ambient).
 
     left and right: keys, idx, vec, generic. One pair of films is one group of
     windows, bounded by the length of two films; a pair is one matrix product.
+    Only scores of that contrast to the windows' means and of that strength
+    leave the task, where these are given.
     """
-    tag = lambda d, s: d.select(*keys, F.lit(s).alias("side"), "idx", "vec", "generic")
-    kinds = ", ".join(f"{k} {left.schema[k].dataType.simpleString()}" for k in keys)
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["side"] == 0].sort_values("idx"), pdf[pdf["side"] == 1].sort_values("idx")
-        if not len(a) or not len(b):
+        made = _matrices(pdf)
+        if made is None:
             return pd.DataFrame({**{k: [] for k in keys}, **{c: [] for c in ("ia", "ib", "score", "mean_a", "mean_b", "ambient")}})
-        s = np.stack(a["vec"]).astype(float) @ np.stack(b["vec"]).astype(float).T - LAMBDA * (a["generic"].to_numpy()[:, None] + b["generic"].to_numpy()[None, :]) / 2
-        i, j = np.indices(s.shape)
-        own = {k: pdf[k].iloc[0] for k in keys}
+        a, b, s = made
+        mean_a, mean_b, stored = s.mean(1), s.mean(0), s.astype(np.float32).astype(float)
+        wanted = np.ones(s.shape, bool) if strength is None else stored >= strength
+        if contrast is not None:
+            wanted &= stored - (mean_a[:, None] + mean_b[None, :]) / 2 >= contrast
+        i, j = np.nonzero(wanted)
+        own = {k: [pdf[k].iloc[0]] * len(i) for k in keys}
         return pd.DataFrame({
-            **own, "ia": a["idx"].to_numpy()[i.ravel()], "ib": b["idx"].to_numpy()[j.ravel()], "score": s.astype(np.float32).astype(float).ravel(),
-            "mean_a": s.mean(1)[i.ravel()], "mean_b": s.mean(0)[j.ravel()], "ambient": s.mean(),
+            **own, "ia": a["idx"].to_numpy()[i], "ib": b["idx"].to_numpy()[j], "score": stored[i, j], "mean_a": mean_a[i], "mean_b": mean_b[j], "ambient": s.mean(),
         })
 
-    both = tag(left, 0).unionByName(tag(right, 1))
-    return both.groupBy(*keys).applyInPandas(product, f"{kinds}, ia long, ib long, score double, mean_a double, mean_b double, ambient double")
+    return _sides(left, right, keys).groupBy(*keys).applyInPandas(product, f"{_kinds(left, keys)}, ia long, ib long, score double, mean_a double, mean_b double, ambient double")
 
 
-def bridge_candidates(cross: DataFrame) -> DataFrame:
-    contrast = F.col("score") - (F.col("mean_a") + F.col("mean_b")) / 2
-    return cross.withColumn("contrast", contrast).where((F.col("contrast") >= EXCESS) & (F.col("score") >= STRENGTH))
+def ambience(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a pair of films: how many scores there are, the best, and their mean (how alike the films sound overall)."""
 
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = _matrices(pdf)
+        if made is None:
+            return pd.DataFrame({**{k: [] for k in keys}, "n": [], "best": [], "ambient": []})
+        s = made[2]
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "n": [s.size], "best": [float(s.max())], "ambient": [float(s.mean())]})
 
-def bridge(windows: DataFrame, beats: DataFrame, pairs: DataFrame, quality: DataFrame) -> DataFrame:
-    """pairs (a, b) of films to at most five pairs of moments each; fewer than two count as none.
+    return _sides(left, right, keys).groupBy(*keys).applyInPandas(one, f"{_kinds(left, keys)}, n long, best double, ambient double")
+
+
+def bridge_candidates(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Cross scores that are strong, and far above what both windows score against the other film."""
+    return cross_scores(left, right, keys, EXCESS, STRENGTH)
+
+
+def headlines(windows: DataFrame, summaries: DataFrame) -> DataFrame:
+    """windows (movie_id, start_seq, end_seq) with the headline of the summary of exactly that span; null where there is none or an empty one."""
+    stored = summaries.where("headline <> ''").groupBy("movie_id", "start_seq", "end_seq").agg(F.min("headline").alias("headline"))
+    return windows.join(stored, ["movie_id", "start_seq", "end_seq"], "left")
 
-    Films flagged as not English have no bridge. Window candidates by score;
-    each takes the best beats inside both spans that no earlier one took, if
-    they agree enough. The greedy choice walks one pair of films at a time.
-    """
-    english = pairs
-    for side in ("a", "b"):
-        english = english.join(quality.where("non_english").select(F.col("movie_id").alias(side)), side, "left_anti")
-    of = lambda d, side: english.join(d, F.col(side) == d["movie_id"]).select("a", "b", *[c for c in d.columns if c != "movie_id"])
-    wide = bridge_candidates(cross_scores(of(windows, "a"), of(windows, "b"), ["a", "b"])).select("a", "b", "ia", "ib", "score")
-    spans = lambda side: windows.select(F.col("movie_id").alias(side), F.col("idx").alias(f"i{side}"), F.col("start_seq").alias(f"s{side}"), F.col("end_seq").alias(f"e{side}"))
-    placed = wide.join(spans("a"), ["a", "ia"]).join(spans("b"), ["b", "ib"])
-    fine = cross_scores(of(beats, "a"), of(beats, "b"), ["a", "b"]).where(F.col("score") >= CONSENSUS)
-    starts = lambda side: beats.select(F.col("movie_id").alias(side), F.col("idx").alias(f"i{side}"), F.col("start_seq").alias(f"t{side}"))
-    fine = fine.join(starts("a"), ["a", "ia"]).join(starts("b"), ["b", "ib"]).select("a", "b", F.col("ia").alias("ba"), F.col("ib").alias("bb"), F.col("score").alias("agreement"), "ta", "tb")
-    inside = placed.join(fine, ["a", "b"]).where("ta BETWEEN sa AND ea AND tb BETWEEN sb AND eb").select("a", "b", "ia", "ib", "score", "ba", "bb", "agreement", "ta", "tb")
+
+CHOICE = "a long, b long, n int, ia long, ib long, beat_a long, beat_b long, score double"
+
+
+def _chooser(stop_at_weak: bool):
+    """The greedy one-to-one choice among a pair's candidates, strongest first; fewer than two count as none."""
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         used: set = set()
         out = []
         for (_, ia, ib), part in pdf.assign(neg=-pdf["score"]).groupby(["neg", "ia", "ib"], sort=True):
-            if len(out) == PAIRS:
+            if len(out) == PAIRS or (stop_at_weak and part["score"].iloc[0] < STRENGTH):
                 break
             if ("A", ia) in used or ("B", ib) in used:
                 continue
             for r in part.sort_values(["agreement", "ba", "bb"], ascending=[False, True, True]).itertuples():
                 if ("a", r.ba) not in used and ("b", r.bb) not in used:
                     used |= {("A", ia), ("B", ib), ("a", r.ba), ("b", r.bb)}
-                    out.append((r.a, r.b, len(out) + 1, ia, ib, r.ba, r.bb, r.ta, r.tb, r.score))
+                    out.append((r.a, r.b, len(out) + 1, ia, ib, r.ba, r.bb, r.score))
                     break
-        return pd.DataFrame(out if len(out) >= 2 else [], columns=["a", "b", "n", "ia", "ib", "beat_a", "beat_b", "start_a", "start_b", "score"])
+        return pd.DataFrame(out if len(out) >= 2 else [], columns=["a", "b", "n", "ia", "ib", "beat_a", "beat_b", "score"])
+
+    return choose
+
+
+def bridge(windows: DataFrame, beats: DataFrame, pairs: DataFrame, quality: DataFrame, summaries: DataFrame | None = None, *, stop_at_weak: bool = False) -> DataFrame:
+    """pairs (a, b) of films to at most five pairs of moments each, with arcs, first lines, excerpts and headlines; fewer than two count as none.
+
+    Films flagged as not English have no bridge. Window candidates by score;
+    each takes the best beats inside both spans that no earlier one took, if
+    they agree enough. Beats meet windows on the lines that windows hold, and
+    agreement only on beats of candidates. The greedy choice walks one pair of
+    films at a time; with stop_at_weak the strength floor ends the walk instead
+    of sorting candidates out before it, as the side-by-side harness has it.
+    """
+    english = pairs
+    for side in ("a", "b"):
+        english = english.join(quality.where("non_english").select(F.col("movie_id").alias(side)), side, "left_anti")
+    of = lambda d, side: english.join(d, F.col(side) == d["movie_id"]).select("a", "b", *[c for c in d.columns if c != "movie_id"])
+    wide = cross_scores(of(windows, "a"), of(windows, "b"), ["a", "b"], EXCESS, None if stop_at_weak else STRENGTH).select("a", "b", "ia", "ib", "score")
+    starts = beats.select("movie_id", F.col("idx").alias("beat"), F.col("start_seq").cast("long").alias("held"))
+    held = _held(windows.select("movie_id", "idx", "start_seq", "end_seq")).join(starts, ["movie_id", "held"])
+    inside = lambda side: held.select(F.col("movie_id").alias(side), F.col("idx").alias(f"i{side}"), F.col("beat").alias(f"b{side}"))
+    fine = cross_scores(of(beats, "a"), of(beats, "b"), ["a", "b"], None, CONSENSUS).select("a", "b", F.col("ia").alias("ba"), F.col("ib").alias("bb"), F.col("score").alias("agreement"))
+    tried = wide.join(inside("a"), ["a", "ia"]).join(inside("b"), ["b", "ib"]).join(fine, ["a", "b", "ba", "bb"])
+    picked = tried.select("a", "b", "ia", "ib", "score", "ba", "bb", "agreement").groupBy("a", "b").applyInPandas(_chooser(stop_at_weak), CHOICE)
+    line = clip(F.array_join(F.slice(F.split("text", "\n"), 1, 3), " ")) if "text" in beats.columns else F.lit(None).cast("string")
+    shown = lambda side: beats.select(F.col("movie_id").alias(side), F.col("idx").alias(f"beat_{side}"), F.col("arc").alias(f"arc_{side}"), F.col("start_seq").alias(f"start_{side}"), line.alias(f"excerpt_{side}"))
+    out = picked.join(shown("a"), ["a", "beat_a"]).join(shown("b"), ["b", "beat_b"])
+    spans = windows.select("movie_id", "idx", "start_seq", "end_seq")
+    named = headlines(spans, summaries) if summaries is not None else spans.withColumn("headline", F.lit(None).cast("string"))
+    for side in ("a", "b"):
+        out = out.join(named.select(F.col("movie_id").alias(side), F.col("idx").alias(f"i{side}"), F.col("headline").alias(f"headline_{side}")), [side, f"i{side}"])
+    return out.select("a", "b", "n", "ia", "ib", "beat_a", "beat_b", "start_a", "start_b", "arc_a", "arc_b", "excerpt_a", "excerpt_b", "headline_a", "headline_b", "score")
+
+
+def generic_of(rows: DataFrame) -> DataFrame:
+    """Rows with generic: 0 where the table was made without that column."""
+    return rows if "generic" in rows.columns else rows.withColumn("generic", F.lit(0.0))
+
+
+def compared_bridges(windows: DataFrame, beats: DataFrame, pairs: DataFrame, quality: DataFrame) -> DataFrame:
+    """Both bridges side by side: (a, b, way, n, ia, ib, score), way beats or consensus."""
+    older = titles.beat_bridge(cross_scores(*_both(beats, pairs), ["a", "b"], 0.16))
+    place = F.row_number().over(W.partitionBy("a", "b").orderBy(F.desc(F.round("score", 9)), "ia", "ib"))
+    first = older.select("a", "b", F.lit("beats").alias("way"), place.alias("n"), "ia", "ib", "score")
+    second = bridge(windows, beats, pairs, quality, stop_at_weak=True).select("a", "b", F.lit("consensus").alias("way"), "n", "ia", "ib", "score")
+    return first.unionByName(second)
+
 
-    return inside.groupBy("a", "b").applyInPandas(choose, "a long, b long, n int, ia long, ib long, beat_a long, beat_b long, start_a long, start_b long, score double")
+def _both(rows: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of either film of each pair."""
+    side = lambda s: pairs.join(rows, F.col(s) == rows["movie_id"]).select("a", "b", *[c for c in rows.columns if c != "movie_id"])
+    return side("a"), side("b")
 
 
 def sounds_alike(pairs_found: int, similarity: float) -> bool:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import input_hash
+from ..functions.text import capital_share, input_hash, quote_key, tokenize, words_of
+from ..functions.vectors import cosine_distance
 
 SNAP = 0.55
 
@@ -33,51 +36,69 @@ def repair_set(stored: DataFrame) -> DataFrame:
 
 
 def match_quotes(quotes: DataFrame, lines: DataFrame) -> DataFrame:
-    """quotes (movie_id, quote_id, key) and lines (movie_id, seq, key) to the best line: verbatim first, else tf-idf cosine.
+    """quotes (movie_id, quote_id, text, hint or null) and lines (movie_id, seq, text) to the line that each quote is.
 
-    Verbatim is an equi join; the cosine is a token join with partial sums, so
-    no film meets a task as a whole. Ties go to the earlier line.
+    The hinted line if it says the same, else the first that does, else the one
+    of highest tf-idf cosine, the earlier of equals; without tokens none. The
+    cosine is a token join with partial sums: lines of films without quotes are
+    left out first, and only tokens that a quote of the film holds meet lines.
     """
-    exact = quotes.join(lines, ["movie_id", "key"]).groupBy("movie_id", "quote_id").agg(F.min("seq").alias("exact_seq"))
-    words = lambda d, *c: d.select("movie_id", *c, F.explode(F.filter(F.split("key", " "), lambda x: x != "")).alias("token")).groupBy("movie_id", *c, "token").agg(F.count("*").cast("double").alias("tf"))
-    in_lines, in_quotes = words(lines, "seq"), words(quotes, "quote_id")
-    n = lines.groupBy("movie_id").agg(F.count("*").alias("n"))
-    df = in_lines.groupBy("movie_id", "token").agg(F.count("*").alias("df")).join(n, "movie_id")
-    idf = df.select("movie_id", "token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    weigh = lambda d: d.join(idf, ["movie_id", "token"]).withColumn("w", F.col("tf") * F.col("idf"))
-    wl, wq = weigh(in_lines), weigh(in_quotes)
-    size = lambda d, c: d.groupBy("movie_id", c).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(f"size_{c}"))
-    dots = wq.select("movie_id", "quote_id", "token", F.col("w").alias("v")).join(wl.select("movie_id", "seq", "token", "w"), ["movie_id", "token"])
-    scored = dots.groupBy("movie_id", "quote_id", "seq").agg(F.sum(F.col("v") * F.col("w")).alias("d")).join(size(wl, "seq"), ["movie_id", "seq"]).join(size(wq, "quote_id"), ["movie_id", "quote_id"])
+    own = quotes.select("movie_id", "quote_id", "hint", quote_key(F.col("text")).alias("key"), tokenize(F.col("text")).alias("tokens"))
+    near = lines.join(quotes.select("movie_id").distinct(), "movie_id", "left_semi")
+    stored = near.select("movie_id", "seq", quote_key(F.col("text")).alias("key"), tokenize(F.col("text")).alias("tokens"))
+    same = own.join(stored.drop("tokens"), ["movie_id", "key"])
+    exact = same.groupBy("movie_id", "quote_id").agg(F.coalesce(F.min(F.when(F.col("seq") == F.col("hint"), F.col("seq"))), F.min("seq")).alias("exact_seq"))
+    count = lambda d, c: d.select("movie_id", c, F.explode("tokens").alias("token")).groupBy("movie_id", c, "token").agg(F.count("*").cast("double").alias("tf"))
+    in_lines, in_quotes = count(stored, "seq"), count(own, "quote_id")
+    n = near.groupBy("movie_id").agg(F.count("*").alias("n"))
+    idf = in_lines.groupBy("movie_id", "token").agg(F.count("*").alias("df")).join(n, "movie_id")
+    idf = idf.select("movie_id", "token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    weighed = in_lines.join(idf, ["movie_id", "token"]).withColumn("w", F.col("tf") * F.col("idf"))
+    unseen = F.log(F.col("n") + 1.0) + 1  # of a token that no line of the film has
+    asked = in_quotes.join(n, "movie_id").join(idf, ["movie_id", "token"], "left").withColumn("v", F.col("tf") * F.coalesce("idf", unseen))
+    length = lambda d, c, w: d.groupBy("movie_id", c).agg(F.sqrt(F.sum(F.col(w) * F.col(w))).alias(f"size_{c}"))
+    dots = asked.select("movie_id", "quote_id", "token", "v").join(weighed.select("movie_id", "seq", "token", "w"), ["movie_id", "token"])
+    scored = dots.groupBy("movie_id", "quote_id", "seq").agg(F.sum(F.col("v") * F.col("w")).alias("d"))
+    scored = scored.join(length(weighed, "seq", "w"), ["movie_id", "seq"]).join(length(asked, "quote_id", "v"), ["movie_id", "quote_id"])
     cosine = F.col("d") / (F.col("size_seq") * F.col("size_quote_id"))
     best = scored.groupBy("movie_id", "quote_id").agg(F.max(F.struct(F.round(cosine, 12).alias("score"), (-F.col("seq")).alias("neg"))).alias("b"))
-    out = quotes.join(exact, ["movie_id", "quote_id"], "left").join(best, ["movie_id", "quote_id"], "left")
-    verbatim = F.col("exact_seq").isNotNull()
-    return out.select("movie_id", "quote_id", F.coalesce("exact_seq", -F.col("b.neg")).alias("seq"), F.when(verbatim, 1.0).otherwise(F.coalesce("b.score", F.lit(0.0))).alias("score"), verbatim.alias("verbatim"))
+    first = near.groupBy("movie_id").agg(F.min("seq").alias("first_seq"))  # what a quote that shares no token with any line gets
+    out = own.join(exact, ["movie_id", "quote_id"], "left").join(best, ["movie_id", "quote_id"], "left").join(first, "movie_id", "left")
+    verbatim, any_token = F.col("exact_seq").isNotNull(), F.size("tokens") > 0
+    seq = F.coalesce("exact_seq", -F.col("b.neg"), F.when(any_token, F.col("first_seq")))
+    return out.select("movie_id", "quote_id", seq.alias("seq"), F.when(verbatim, 1.0).when(seq.isNotNull(), F.coalesce("b.score", F.lit(0.0))).alias("score"), verbatim.alias("verbatim"))
 
 
-#: Capitalised words that are no invented names.
-COMMON_CAPITALS = ("i", "the", "a", "an", "he", "she", "they", "it", "his", "her", "their", "but", "and", "when", "while", "after", "before", "as", "in", "on", "at")
+#: Words that are no names, though a capital opens them.
+NOT_NAMES = (
+    "he she it we they you i who what when where why how the a an and but or nor so yet "
+    "his her its our their your this that these those there then now no yes not"
+).split()
 
 
 def lint(summaries: DataFrame) -> DataFrame:
-    """summaries (window_id, headline, summary, evidence array<struct<start,end>>, start_seq, end_seq, texts, title) to issues.
+    """summaries (window_id, headline, summary, evidence array<struct<start,end>>, start_seq, end_seq, texts, title) to issues and valid.
 
-    Kinds: no-evidence, bad-range (outside the window, reversed, or a headline of
-    over 90 characters), invented-noun (a capitalised word inside a sentence that
-    neither the window nor the title says).
+    Kinds: no-evidence; bad-range (outside the window, reversed, or a headline of
+    over 90 characters); invented-noun (a capitalised word that opens no
+    sentence and no quotation, follows none, and that neither the window nor the
+    title says).
     """
-    known = F.filter(F.split(F.lower(F.concat_ws(" ", F.array_join("texts", " "), F.coalesce("title", F.lit("")))), "[^a-z0-9]+"), lambda x: x != "")
-    said = F.concat_ws(". ", "headline", "summary")
-    inner = F.regexp_extract_all(said, F.lit(r"(?<=[a-z,;:'’)] )([A-Z][A-Za-z]+)"), F.lit(1))
-    new = F.array_distinct(F.filter(inner, lambda w: ~F.array_contains(known, F.lower(w)) & ~F.lower(w).isin(*COMMON_CAPITALS)))
+    known = F.array_union(tokenize(F.array_join("texts", " ")), tokenize(F.coalesce("title", F.lit(""))))
+    said = F.concat(F.coalesce("headline", F.lit("")), F.lit(". "), F.coalesce("summary", F.lit("")))
+    after = lambda words: F.transform(words, lambda w, k: F.struct(w.alias("word"), F.when(k > 0, F.get(words, k - 1)).alias("before")))
+    placed = F.flatten(F.transform(F.split(said, r"(?<=[.!?])(?U)\s+"), lambda sentence: after(words_of(sentence))))
+    quoted = lambda p: p["word"].rlike("^[\"'“]") | p["before"].rlike("[\"'”’]$")
+    inner = F.filter(placed, lambda p: p["before"].isNotNull() & ~quoted(p))
+    nouns = F.filter(F.transform(inner, lambda p: F.regexp_extract(p["word"], r"^\(?([A-Z][a-z]+)", 1)), lambda w: w != "")
+    new = F.filter(nouns, lambda w: ~F.lower(w).isin(*NOT_NAMES) & ~F.array_contains(known, F.lower(w)))
     issue = lambda kind, detail: F.struct(F.lit(kind).alias("kind"), detail.alias("detail"))
     none = F.array().cast("array<struct<kind:string,detail:string>>")
     outside = lambda e: (e["start"] < F.col("start_seq")) | (e["end"] > F.col("end_seq")) | (e["start"] > e["end"])
     ranges = F.transform(F.filter("evidence", outside), lambda e: issue("bad-range", F.concat(e["start"].cast("string"), F.lit("-"), e["end"].cast("string"))))
     issues = F.concat(
         F.when(F.coalesce(F.size("evidence"), F.lit(0)) <= 0, F.array(issue("no-evidence", F.lit("")))).otherwise(none), F.coalesce(ranges, none),
-        F.when(F.length("headline") > 90, F.array(issue("bad-range", F.lit("headline")))).otherwise(none), F.transform(new, lambda w: issue("invented-noun", w)),
+        F.transform(new, lambda w: issue("invented-noun", w)), F.when(F.length("headline") > 90, F.array(issue("bad-range", F.lit("headline")))).otherwise(none),
     )
     return summaries.withColumn("issues", issues).withColumn("valid", F.size("issues") == 0)
 
@@ -102,30 +123,66 @@ def to_embed(summaries: DataFrame) -> DataFrame:
 
 
 def sampled_lines(lines: DataFrame, bins: int = 12, most: int = 10) -> DataFrame:
-    """Per film and bin of arc, every so many-th line, `most` at most."""
-    b = F.least(F.floor(F.col("arc") * bins), F.lit(bins - 1)).cast("int")
+    """Lines shaped as dialogue, per film and bin of arc every so many-th, `most` at most.
+
+    15-160 characters, four tokens or more, no digit, at most 40 % of the later
+    words capitalised; a line at arc 1 is in no bin.
+    """
+    text = F.col("text")
+    shaped = F.length(text).between(15, 160) & (F.size(tokenize(text)) >= 4) & ~text.rlike("[0-9]") & (capital_share(words_of(text)) <= 0.4)
+    binned = lines.where(shaped).withColumn("bin", F.floor(F.col("arc") * bins).cast("int")).where((F.col("bin") >= 0) & (F.col("bin") < bins))
     w = W.partitionBy("movie_id", "bin")
     step = F.greatest(F.lit(1), F.floor(F.count("*").over(w) / most))
-    at = F.row_number().over(w.orderBy("seq")) - 1
-    picked = lines.withColumn("bin", b).withColumn("at", at).withColumn("step", step).where("at % step = 0")
+    picked = binned.withColumn("at", F.row_number().over(w.orderBy("seq")) - 1).withColumn("step", step).where("at % step = 0")
     return picked.where(F.col("at") / F.col("step") < most).drop("at", "step")
 
 
-def batches(windows: DataFrame, most: int = 12, budget: int = 60_000) -> DataFrame:
-    """windows (movie_id, idx, texts) to a batch number per film: at most so many windows and characters (24 more a line) in one."""
-    cost = F.aggregate(F.transform("texts", lambda t: F.length(t) + 24), F.lit(0), lambda a, x: a + x)
+def _cost(texts) -> F.Column:
+    return F.aggregate(F.transform(texts, lambda t: F.length(t) + 24), F.lit(0), lambda a, x: a + x)
+
+
+def trimmed(windows: DataFrame, budget: int = 60_000) -> DataFrame:
+    """windows (texts) cut to the budget where one alone exceeds it: 70 % of the lines that fit from its head, the rest from its tail."""
+    size, n = _cost(F.col("texts")), F.size("texts")
+    keep = F.floor(n * budget / size)
+    head = F.greatest(F.lit(1), F.floor(keep * 0.7)).cast("int")
+    tail = F.least(n, F.greatest(F.lit(1), keep - head)).cast("int")
+    return windows.withColumn("texts", F.when(size <= budget, F.col("texts")).otherwise(F.concat(F.slice("texts", 1, head), F.slice("texts", -tail, tail))))
+
+
+def batches(windows: DataFrame, most: int = 12, budget: int = 60_000, order: tuple[str, ...] = ("movie_id", "idx")) -> DataFrame:
+    """windows (movie_id, idx, texts) in order to batch numbers over all of them: at most so many windows and characters (24 more a line) in one.
+
+    Windows over the budget are trimmed first. A batch begins where the last one
+    ended, so the walk is one task; it sees ids and sizes only, and keeps none.
+    """
+    rows = trimmed(windows, budget).select(*order, _cost(F.col("texts")).alias("cost"))
+
+    def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        batch, n, size = 0, 0, 0
+        for pdf in parts:
+            numbers = []
+            for c in pdf["cost"]:
+                if n == most or (n and size + c > budget):
+                    batch, n, size = batch + 1, 0, 0
+                n, size = n + 1, size + c
+                numbers.append(batch)
+            yield pdf.drop(columns="cost").assign(batch=numbers)
+
+    types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in order)
+    return rows.repartition(1).sortWithinPartitions(*order).mapInPandas(deal, f"{types}, batch long")
+
+
+def row_cosines(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row: rows compared, and the least cosine, of vectors (row, vec) that should be the same ones."""
+    both = left.select("row", F.col("vec").alias("__a")).join(right.select("row", F.col("vec").alias("__b")), "row", "full_outer")
+    cosine = F.coalesce(1 - cosine_distance(F.col("__a"), F.col("__b")), F.lit(-1.0))  # a row that one side lacks
+    return both.agg(F.count("*").alias("rows"), F.min(cosine).alias("least"))
 
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, out, n, size, batch = pdf.sort_values("idx"), [], 0, 0, 0
-        for c in pdf["cost"].clip(upper=budget):
-            if n and (n == most or size + c > budget):
-                batch, n, size = batch + 1, 0, 0
-            out.append(batch)
-            n, size = n + 1, size + c
-        return pdf.drop(columns="cost").assign(batch=out)
 
-    rows = windows.select("movie_id", "idx", cost.alias("cost"))
-    return rows.groupBy("movie_id").applyInPandas(deal, "movie_id long, idx long, batch int")
+def validated(left: DataFrame, right: DataFrame, least: float = 0.999) -> DataFrame:
+    """row_cosines with ok: whether every row agrees."""
+    return row_cosines(left, right).withColumn("ok", F.coalesce(F.col("least") >= least, F.lit(True)))
 
 
 def queue_merge(saved: DataFrame, targets: DataFrame) -> DataFrame:

@@ -42,40 +42,42 @@ def neighbour_similarity(windows: DataFrame) -> DataFrame:
     return windows.withColumn("sim", F.when(after.isNotNull(), dot(F.col("vec"), after)))
 
 
-def cut_points(sims: Column, n: Column) -> Column:
-    """array<struct<start, end>> of segments over n windows.
+def cut_points(sims: Column, n: Column, low: Column) -> Column:
+    """array<struct<start, end>> of segments over n windows, in one pass over their similarities.
 
-    A cut falls where similarity drops below the film's mean less one population
-    deviation and the segment has two windows or more, or where it has twelve;
-    a last stub of one joins its neighbour. A fold, since a cut depends on the
-    last one.
+    A cut falls where similarity drops below `low` (the film's mean less one
+    population deviation) and the segment has two windows or more, or where it
+    has twelve; a last stub of one joins its neighbour. A fold, since a cut
+    depends on the last one; each step takes constant time but for the append.
     """
-    size = F.size(sims)
-    mean = F.aggregate(sims, F.lit(0.0), lambda a, x: a + x) / size
-    spread = F.sqrt(F.aggregate(sims, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / size)
-    low = mean - spread
-    start = F.struct(F.lit(0).alias("from"), F.array().cast("array<int>").alias("ends"))
-
-    def step(a: Column, i: Column) -> Column:
-        length = i + 1 - a["from"]
-        cut = ((F.element_at(sims, i + 1) < low) & (length >= LEAST)) | (length >= MOST)
-        return F.struct(F.when(cut, i + 1).otherwise(a["from"]).alias("from"), F.when(cut, F.array_append(a["ends"], i)).otherwise(a["ends"]).alias("ends"))
-
-    folded = F.aggregate(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), start, step)
-    ends = folded["ends"]
-    stub = (n - folded["from"] < LEAST) & (F.size(ends) > 0)
-    closed = F.when(stub, F.concat(F.slice(ends, F.lit(1), F.size(ends) - 1), F.array(n - 1))).otherwise(F.array_append(ends, n - 1))
-    spans = F.transform(closed, lambda e, k: F.struct(F.when(k == 0, F.lit(0)).otherwise(F.element_at(closed, F.greatest(k, F.lit(1))) + 1).cast("int").alias("start"), e.cast("int").alias("end")))
-    whole = F.array(F.struct(F.lit(0).alias("start"), (n - 1).cast("int").alias("end")))
-    return F.when((n <= 1) | (size == 0), whole).otherwise(spans)
+    span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("from"), none.alias("cut"))
+
+    def step(a: Column, sim: Column) -> Column:
+        length = a["i"] + 1 - a["from"]
+        cut = ((sim < low) & (length >= LEAST)) | (length >= MOST)
+        return F.struct(
+            (a["i"] + 1).alias("i"), F.when(cut, a["i"] + 1).otherwise(a["from"]).alias("from"),
+            F.when(cut, F.array_append(a["cut"], span(a["from"], a["i"]))).otherwise(a["cut"]).alias("cut"),
+        )
+
+    def closed(a: Column) -> Column:
+        made = F.size(a["cut"])
+        joined = F.concat(F.slice(a["cut"], F.lit(1), F.greatest(made - 1, F.lit(0))), F.array(span(F.get(a["cut"], F.greatest(made - 1, F.lit(0)))["start"], n - 1)))
+        stub = (n - a["from"] < LEAST) & (made > 0)
+        return F.when(stub, joined).otherwise(F.array_append(a["cut"], span(a["from"], n - 1)))
+
+    return F.aggregate(sims, start, step, closed)
 
 
 def segment_spans(windows: DataFrame) -> DataFrame:
     """windows (movie_id, idx, vec) to (movie_id, idx, start_beat, end_beat); beats count from 0 in idx order."""
+    ordered = F.array_sort(F.collect_list(F.when(F.col("sim").isNotNull(), F.struct("idx", "sim"))))
     rows = neighbour_similarity(windows).groupBy("movie_id").agg(
-        F.transform(F.filter(F.array_sort(F.collect_list(F.struct("idx", "sim"))), lambda x: x["sim"].isNotNull()), lambda x: x["sim"]).alias("sims"), F.count("*").cast("int").alias("n")
+        F.transform(ordered, lambda x: x["sim"]).alias("sims"), F.count("*").cast("int").alias("n"), (F.avg("sim") - F.stddev_pop("sim")).alias("low")
     )
-    return rows.select("movie_id", F.posexplode(cut_points(F.col("sims"), F.col("n"))).alias("idx", "s")).select("movie_id", "idx", F.col("s.start").alias("start_beat"), F.col("s.end").alias("end_beat"))
+    return rows.select("movie_id", F.posexplode(cut_points(F.col("sims"), F.col("n"), F.col("low"))).alias("idx", "s")).select("movie_id", "idx", F.col("s.start").alias("start_beat"), F.col("s.end").alias("end_beat"))
 
 
 def segments(windows: DataFrame) -> DataFrame:

@@ -65,3 +65,26 @@ def length_report(lines: DataFrame, film: str = "movie_id", text: str = "text")
         F.count_distinct(film).alias("films"), F.count("*").alias("utterances"), F.count_if(n < 20).alias("under_20"), F.count_if((n >= 20) & (n < 60)).alias("under_60"),
         F.count_if((n >= 60) & (n < 120)).alias("under_120"), F.count_if((n >= 120) & (n < 200)).alias("under_200"), F.count_if(n >= 200).alias("longer"),
     ).withColumn("mean_per_film", half_up(F.col("utterances") / F.col("films")).cast("long"))
+
+
+def worst_films(scored: DataFrame, most: int = 20, film: str = "movie_id") -> DataFrame:
+    """The lowest scores first."""
+    return scored.orderBy("score", film).limit(most)
+
+
+def corpus_report(lines: DataFrame, film: str = "movie_id", text: str = "text", points: tuple[float, ...] = (0.1, 0.5, 0.9, 0.99)) -> DataFrame:
+    """length_report with the nearest-rank percentiles of line lengths as p10, p50 ..., and what cleaning dropped where lines carry it per film.
+
+    Percentiles come from counts per length, as many rows as there are lengths.
+    """
+    lengths = lines.groupBy(F.length(text).cast("long").alias("n")).agg(F.count("*").alias("k"))
+    upto = lengths.withColumn("upto", F.sum("k").over(W.orderBy("n").rowsBetween(W.unboundedPreceding, 0)))
+    total = F.sum("k")
+    marks = upto.agg(F.array_sort(F.collect_list(F.struct("n", "upto"))).alias("e"), total.alias("t"))
+    at = lambda p: F.get(F.filter("e", lambda x: x["upto"] > F.floor((F.col("t") - 1) * F.lit(p))), F.lit(0))["n"]
+    out = length_report(lines, film, text).join(F.broadcast(marks.select(*(at(p).alias(f"p{round(100 * p)}") for p in points))))  # one row
+    own = [c for c in ("lyrics", "empty", "short", "credits") if c in lines.columns]
+    if own:
+        per = lines.groupBy(film).agg(*(F.max(c).cast("long").alias(c) for c in own))
+        out = out.join(F.broadcast(per.agg(*(F.sum(c).alias(c) for c in own))))  # one row
+    return out

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.diff import diff_stats, near_miss, normal
 from ..functions.text import moment_text, normalize
 from ..functions.vectors import cosine_distance
 
@@ -33,6 +34,7 @@ def exact_arm(lines: DataFrame, movies: DataFrame, query: str, limit: int = EXAC
 
 
 def has_all(norm: Column, words: list[str]) -> Column:
+    """Whether a normal form holds all words as the token index has them."""
     stored = F.split(norm, "[^a-z0-9]+")
     out = F.lit(True)
     for w in words:
@@ -76,12 +78,22 @@ def ranked_hits(fused: DataFrame, movies: DataFrame) -> DataFrame:
     scored = fused.join(meta, "movie_id").withColumn("is_exact", exact).withColumn(
         "score", F.col("fused") + F.when(exact, 1.0).otherwise(0.0) + F.log10(1.0 + F.col("votes")) / 1e5
     )
-    order = [F.desc("is_exact"), F.desc(F.when(F.col("is_exact"), F.col("votes")).otherwise(0)), F.desc(F.round("score", 12)), "movie_id", "seq"]
+    order = shown_order()
     same = W.partitionBy("movie_id", normalize(F.col("text")))
     deduped = scored.withColumn("occurrences", F.count("*").over(same)).withColumn("n", F.row_number().over(same.orderBy(*order))).where("n = 1").drop("n")
     return deduped.orderBy(*order).limit(SHOWN)
 
 
+def shown_order() -> list[Column]:
+    """The order of hits: exact ones first, by votes; the others by score."""
+    return [F.desc("is_exact"), F.desc(F.when(F.col("is_exact"), F.col("votes")).otherwise(0)), F.desc(F.round("score", 12)), "movie_id", "seq"]
+
+
+def positioned(hits: DataFrame) -> DataFrame:
+    """Hits with their place in the shown order, from 1; there are SHOWN at most."""
+    return hits.withColumn("position", F.row_number().over(W.orderBy(*shown_order())))
+
+
 def score_cliff(scores: DataFrame, position: str = "position", score: str = "score") -> DataFrame:
     """One row strong: hits before the largest relative drop among the first 20, if it is 1.5 or more."""
     w = W.orderBy(position)  # over the shown hits
@@ -148,38 +160,85 @@ def with_moments(hits: DataFrame, found: DataFrame) -> DataFrame:
     return both.orderBy(F.desc(F.round("score", 12)), "movie_id", "seq").limit(SHOWN)
 
 
+def misquote_of(misquotes: DataFrame, norm: str) -> DataFrame:
+    """The entry of misquotes (popular, actual, film, year, kind; n its place) whose popular form is the query; the last one of equals."""
+    return misquotes.where(normalize(F.col("popular")) == norm).orderBy(F.desc("n")).limit(1)
+
+
+RESULT = "kind string, movie_id long, title string, year int, seq long, arc double, text string, score double, position int, strong boolean, near_miss boolean"
+
+
 def search(
-    lines: DataFrame, movies: DataFrame, query: str, vec: Column | None = None, *, vectors: DataFrame | None = None,
-    beats: DataFrame | None = None, summaries: DataFrame | None = None, quality: DataFrame | None = None,
+    lines: DataFrame, movies: DataFrame, query: str, vec: Column | None = None, *, vectors: DataFrame | None = None, beats: DataFrame | None = None,
+    summaries: DataFrame | None = None, quality: DataFrame | None = None, misquotes: DataFrame | None = None,
 ) -> DataFrame:
-    """The whole search of one query: kind (title, line or moment), movie_id, title, year, seq, arc, text, score, position.
-
-    The film of that title comes first (position 0, no line). Lines are the
-    fused exact, keyword and, with `vec`, semantic hits (over `vectors`: lines
-    with a vec; by default `lines`). Where no line is exact, moments of beats
-    and summaries are merged in by score. An empty query finds nothing.
+    """The whole search of one query, as rows of RESULT.
+
+    kind title: the film of that title (position 0). kind line: the fused exact,
+    keyword and, with `vec`, semantic hits (over `vectors`: lines with a vec; by
+    default `lines`), and where no line is exact kind moment, beats and
+    summaries merged in by score. Each says whether it stands before the score
+    cliff (strong), and the first whether it is a line half remembered
+    (near_miss). kind misquote: the saying in `misquotes` that was asked (text:
+    what is really said; title: its film). kind phrase: how far a phrase is
+    spread (title, year: first film; seq: occurrences; score: films), asked only
+    where PHRASE_FILMS lines match and it is no misquote. An empty query finds
+    nothing; only its first 200 characters count.
     """
-    from ..functions.diff import normal
-
-    norm = normal(query[:200])
+    spark, norm = lines.sparkSession, normal(query[:200])
     if not norm:
-        lines, movies, vec = lines.limit(0), movies.limit(0), None
+        return spark.createDataFrame([], RESULT)
     words = [w for t in norm.split() for w in t.split("'") if len(w) >= 2]
     exact = exact_arm(lines, movies, norm)
+    exact_rows = exact.collect()  # EXACT at most; they decide what else is asked
+    exact = spark.createDataFrame(exact_rows, exact.schema)
+    said = misquote_of(misquotes, norm).collect() if misquotes is not None else []
     arms = [exact, keyword_arm(lines, movies, words)]
     if vec is not None:
         arms.append(semantic_arm(lines if vectors is None else vectors, vec))
     hits = ranked_hits(fuse(arms), movies)
-    shown, order = hits.withColumn("kind", F.lit("line")), [F.desc("is_exact"), F.desc(F.when(F.col("is_exact"), F.col("votes")).otherwise(0)), F.desc(F.round("score", 12)), "movie_id", "seq"]
-    if vec is not None and beats is not None and exact.isEmpty():
-        found = moments(beats, summaries, quality, movies, vec)
-        shown = with_moments(hits, found).join(hits.select("movie_id", "seq", F.lit(True).alias("is_line")), ["movie_id", "seq"], "left")
-        shown, order = shown.withColumn("kind", F.when(F.col("is_line"), "line").otherwise("moment")), [F.desc(F.round("score", 12)), "movie_id", "seq"]
-    columns = ["kind", "movie_id", "title", "year", "seq", "arc", "text", "score", "position"]
-    placed = shown.withColumn("position", F.row_number().over(W.orderBy(*order))).select(*columns)  # SHOWN rows
-    none = {c: F.lit(None).cast(placed.schema[c].dataType) for c in ("seq", "arc", "text", "score")}
-    film = title_arm(movies, F.lit(norm)).withColumnRenamed("id", "movie_id").withColumns({**none, "kind": F.lit("title"), "position": F.lit(0)})
-    return film.select(*columns).unionByName(placed)
+    fuzzy = F.array_join("arms", "+") == "semantic"
+    shown, order = hits.withColumn("kind", F.lit("line")).withColumn("fuzzy", fuzzy), shown_order()
+    if vec is not None and beats is not None and not exact_rows:
+        own = shown.select("movie_id", "seq", "kind", "fuzzy")
+        shown = with_moments(hits, moments(beats, summaries, quality, movies, vec)).join(own, ["movie_id", "seq"], "left")
+        shown = shown.withColumn("kind", F.coalesce("kind", F.lit("moment"))).withColumn("fuzzy", F.coalesce("fuzzy", F.lit(False)))
+        order = [F.desc(F.round("score", 12)), "movie_id", "seq"]
+    placed = shown.withColumn("position", F.row_number().over(W.orderBy(*order)))  # SHOWN rows
+    top = (F.col("position") == 1) & F.col("fuzzy") & F.lit(not said)
+    missed = top & near_miss(diff_stats(F.lit(norm), normalize(F.col("text"))))
+    placed = placed.join(F.broadcast(score_cliff(placed))).withColumn("near_miss", missed).withColumn("strong", F.col("position") <= F.col("strong"))  # one row
+    columns = [f.split(" ")[0] for f in RESULT.split(", ")]
+    typed = lambda d: d.select(*(F.col(n).cast(t).alias(n) if n in d.columns else F.lit(None).cast(t).alias(n) for n, t in (f.split(" ") for f in RESULT.split(", "))))
+    film = title_arm(movies, F.lit(norm)).withColumnRenamed("id", "movie_id").withColumn("kind", F.lit("title")).withColumn("position", F.lit(0))
+    out = typed(film).unionByName(typed(placed.select(*columns)))
+    if said:
+        quote = spark.createDataFrame([(said[0]["actual"], said[0]["film"], said[0]["year"])], "text string, title string, year int")
+        out = out.unionByName(typed(quote.withColumn("kind", F.lit("misquote"))))
+    elif len(exact_rows) >= PHRASE_FILMS:
+        spread = phrase_totals(lines, movies, norm).select(F.lit("phrase").alias("kind"), F.col("first_title").alias("title"), F.col("first_year").alias("year"), F.col("occurrences").alias("seq"), F.col("films").alias("score"))
+        out = out.unionByName(typed(spread))
+    return out
+
+
+def arm_is_usable(rows: DataFrame, dim: int, vec: str = "vec") -> bool:
+    """Whether the first vector has the query's dimension; an arm whose vectors differ, or that has none, stays off."""
+    first = rows.select(F.size(vec).alias("n")).limit(1).collect()
+    return bool(first) and first[0]["n"] == dim
+
+
+def film_count(movies: DataFrame) -> int:
+    return movies.count()
+
+
+def arc_label(arc: Column) -> Column:
+    """Place in a film in whole per cent."""
+    return F.concat(F.floor(arc * 100 + 0.5).cast("string"), F.lit("% through"))
+
+
+def poster_url(path: Column, base: str, width: int = 92) -> Column:
+    """Address of a poster of that width; null without a path."""
+    return F.when(path.isNotNull() & (path != ""), F.concat(F.lit(f"{base.rstrip('/')}/w{width}"), path))
 
 
 def hit_rates(ranked: DataFrame, expected: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import title_key
@@ -16,23 +16,34 @@ def year_tolerant(wanted: DataFrame, index: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.min("slug").alias("slug"))
 
 
-def resolve(wanted: DataFrame, index: DataFrame, aliases: DataFrame, prefix: int = 10) -> DataFrame:
-    """wanted (id, title) to slugs: exact key, else alias, else a long key that begins or ends the other's.
+#: What the index puts before titles of one franchise.
+FRANCHISE = ("starwars", "starwarsthe")
+LONG_KEY = 10
 
-    The last step meets on the first or last `prefix` characters of a key, so it
-    is an equi join and never compares all with all.
+
+def resolve(wanted: DataFrame, index: DataFrame, aliases: DataFrame) -> DataFrame:
+    """wanted (id, title) to (id, way, slug): the first way that finds any, and of its slugs the smallest.
+
+    Ways: 0 the same key, 1 that of an alias, 2 and 3 the key behind a
+    franchise's name, 4 an index key that begins or ends with a key of LONG_KEY
+    characters or more. The last one meets on that many first or last
+    characters, so it is an equi join and never compares all with all.
     """
     own = wanted.select("id", title_key(F.col("title")).alias("key"))
     keyed = index.select(title_key(F.col("title")).alias("other"), "slug")
-    exact = own.join(keyed, own["key"] == keyed["other"]).select("id", "slug", F.lit(0).alias("way"))
-    named = own.join(aliases.select(title_key(F.col("alias")).alias("key"), title_key(F.col("title")).alias("other")), "key").join(keyed, "other").select("id", "slug", F.lit(1).alias("way"))
-    long_own, long_other = own.where(F.length("key") >= prefix), keyed.where(F.length("other") >= prefix)
-    head = lambda d, c: d.withColumn("p", F.substring(c, 1, prefix))
-    tail = lambda d, c: d.withColumn("p", F.expr(f"right({c}, {prefix})"))
-    starts = head(long_own, "key").join(head(long_other, "other"), "p").where("startswith(key, other) OR startswith(other, key)").select("id", "slug", F.lit(2).alias("way"))
-    ends = tail(long_own, "key").join(tail(long_other, "other"), "p").where("endswith(key, other) OR endswith(other, key)").select("id", "slug", F.lit(2).alias("way"))
-    every = exact.unionByName(named).unionByName(starts).unionByName(ends)
-    return every.groupBy("id").agg(F.min(F.struct("way", "slug")).alias("b")).select("id", "b.way", "b.slug")
+    named = own.join(aliases.select(title_key(F.col("alias")).alias("key"), title_key(F.col("title")).alias("other")), "key").select("id", "other", F.lit(1).alias("way"))
+    tried = own.select("id", F.col("key").alias("other"), F.lit(0).alias("way")).unionByName(named)
+    for k, prefix in enumerate(FRANCHISE):
+        tried = tried.unionByName(own.select("id", F.concat(F.lit(prefix), "key").alias("other"), F.lit(2 + k).alias("way")))
+    equal = tried.where("other <> ''").join(keyed, "other").select("id", "way", "slug")
+    long_own, long_other = own.where(F.length("key") >= LONG_KEY), keyed.where(F.length("other") >= LONG_KEY)
+    head = lambda d, c: d.withColumn("p", F.substring(c, 1, LONG_KEY))
+    tail = lambda d, c: d.withColumn("p", F.right(F.col(c), F.lit(LONG_KEY)))
+    begins = head(long_own, "key").join(head(long_other, "other"), "p").where(F.col("other").startswith(F.col("key")))
+    ends = tail(long_own, "key").join(tail(long_other, "other"), "p").where(F.col("other").endswith(F.col("key")))
+    held = begins.unionByName(ends).select("id", F.lit(4).alias("way"), "slug")
+    best = equal.unionByName(held).groupBy("id").agg(F.min(F.struct("way", "slug")).alias("b"))
+    return best.select("id", "b.way", "b.slug")
 
 
 def overridden(base: DataFrame, curated: DataFrame, key: str, value: str) -> DataFrame:
@@ -55,11 +66,44 @@ def missing(movies: DataFrame, scripts: DataFrame, most: int | None = None) -> D
     return gaps if most is None else gaps.limit(most)
 
 
+def slice_of(movies: DataFrame, scripts: DataFrame, most: int | None = 300) -> DataFrame:
+    """Films with a script, most voted first; all of them where `most` is None."""
+    able = movies.join(scripts.select(F.col("movie_id").alias("id")), "id", "left_semi").orderBy(F.desc("votes"), "id")
+    return able if most is None else able.limit(most)
+
+
+def within(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of the chosen films (movie_id)."""
+    return rows.join(chosen.select("movie_id"), "movie_id", "left_semi")
+
+
+def imdb_numbers(movies: DataFrame, lookup: DataFrame) -> DataFrame:
+    """movies (id) with the number of their entry in lookup (movie_id, imdb_id such as tt0012345); null where it is unknown."""
+    number = lookup.select(F.col("movie_id").alias("id"), F.regexp_replace("imdb_id", "^tt0*", "").alias("imdb"))
+    return movies.join(number, "id", "left")
+
+
 def due(queue: DataFrame, budget: int, attempts: int = 3) -> DataFrame:
     """Pending entries that may be tried, as many as the budget lets."""
     return queue.where((F.col("status") == "pending") & (F.col("attempts") < attempts)).orderBy("attempts", "movie_id").limit(budget)
 
 
+def after_run(queue: DataFrame, outcomes: DataFrame, attempts: int = 3) -> DataFrame:
+    """The queue (movie_id, title, status, attempts) after outcomes (movie_id, outcome: found, no-match or failed).
+
+    Found entries are done and unmatched ones no-match; a failure counts an
+    attempt, and with the last one the entry is parked. Entries without an
+    outcome stay, so a run that stops at its budget loses nothing.
+    """
+    both = queue.join(outcomes, "movie_id", "left")
+    tries = F.col("attempts") + F.col("outcome").isNotNull().cast("int")
+    status = (
+        F.when(F.col("outcome") == "found", "done").when(F.col("outcome") == "no-match", "no-match")
+        .when((F.col("outcome") == "failed") & (tries >= attempts), "parked").otherwise(F.col("status"))
+    )
+    return both.select("movie_id", "title", status.alias("status"), tries.alias("attempts"))
+
+
 def better_layer(old: DataFrame, new: DataFrame, always: list[str] | None = None) -> DataFrame:
     """Films whose new cues replace the old ones: always for some source kinds, else where the score is higher."""
     both = new.select("movie_id", "kind", F.col("score").alias("new_score")).join(old.select("movie_id", F.col("score").alias("old_score")), "movie_id", "left")
@@ -67,8 +111,22 @@ def better_layer(old: DataFrame, new: DataFrame, always: list[str] | None = None
     return both.withColumn("replace", take)
 
 
-def beat_bridge(cross: DataFrame, least: float = 0.16) -> DataFrame:
-    """The older bridge: candidates by contrast alone, in order, for a one-to-one choice."""
+def beat_bridge(cross: DataFrame, least: float = 0.16, most: int = 5) -> DataFrame:
+    """The older bridge: cross scores (a, b, ia, ib, score, mean_a, mean_b) whose contrast is high enough, strongest first, each window once, `most` at most; one alone counts as none.
+
+    The choice walks the candidates of one pair of films, as each depends on the
+    ones before.
+    """
     contrast = F.col("score") - (F.col("mean_a") + F.col("mean_b")) / 2
-    ranked = cross.withColumn("contrast", contrast).where(F.col("contrast") >= least)
-    return ranked.withColumn("n", F.row_number().over(W.partitionBy("a", "b").orderBy(F.desc("contrast"), "ia", "ib")))
+    candidates = cross.withColumn("contrast", contrast).where(F.col("contrast") >= least).select("a", "b", "ia", "ib", "score", "contrast")
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, kept = set(), set(), []
+        for k, (ia, ib) in enumerate(zip(pdf["ia"], pdf["ib"])):
+            if len(kept) < most and ia not in left and ib not in right:
+                left.add(ia), right.add(ib), kept.append(k)
+        return pdf.iloc[kept if len(kept) > 1 else []]
+
+    ordered = lambda pdf: choose(pdf.assign(strong=pdf["score"].round(9)).sort_values(["strong", "ia", "ib"], ascending=[False, True, True]).drop(columns="strong"))
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in candidates.schema)
+    return candidates.groupBy("a", "b").applyInPandas(ordered, types)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize
+from ..functions.text import normalize, tokens_of_normal
+from ..sources.stored import stored
 
 
 class Corpus:
@@ -27,6 +28,15 @@ class Corpus:
 
     @property
     def lines(self) -> DataFrame:
+        """Lines with their normal form and tokens, which are worked out once and stored, in order of films."""
+
+        def made() -> DataFrame:
+            rows = self._split_lines().withColumn("tokens", tokens_of_normal(F.col("text_norm")))
+            return rows.repartitionByRange("movie_id", "seq").sortWithinPartitions("movie_id", "seq")
+
+        return stored(self.spark, f"lines of {self.dir}", made)
+
+    def _split_lines(self) -> DataFrame:
         texts = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
         n = F.size("t")
         rows = self.table("documents").select(F.col("doc_id").alias("movie_id"), texts.alias("t")).select("movie_id", n.alias("n"), F.posexplode("t").alias("seq", "text"))
@@ -47,6 +57,22 @@ class Corpus:
         n = F.count("*").over(W.partitionBy("movie_id"))
         return rows.select("movie_id", "idx", "vec_id", (6 * F.col("idx")).alias("start_seq"), (6 * F.col("idx") + 11).alias("end_seq"), (F.col("idx") / n).alias("arc"), "vec")
 
+    @property
+    def beats(self) -> DataFrame:
+        """The windows with the text of their film."""
+        return self.windows.join(self.table("documents").select(F.col("doc_id").alias("movie_id"), "text"), "movie_id")
+
+    @property
+    def paired(self) -> DataFrame:
+        """Windows of which every fifth of an odd film is drawn to the one at its place in the film before, so that films have parallels."""
+        own = self.windows
+        before = own.where("movie_id % 2 = 0 AND idx % 5 = 0").select((F.col("movie_id") + 1).alias("movie_id"), "idx", F.col("vec").alias("other"))
+        mixed = F.zip_with("vec", "other", lambda x, y: x.cast("double") + 1.2 * y.cast("double"))
+        both = own.join(before, ["movie_id", "idx"], "left").withColumn("mixed", mixed)
+        length = F.sqrt(F.aggregate("mixed", F.lit(0.0), lambda a, x: a + x * x))
+        drawn = F.when(F.col("other").isNotNull(), F.transform("mixed", lambda x: x / length)).otherwise(F.col("vec").cast("array<double>"))
+        return both.withColumn("vec", drawn).drop("other", "mixed")
+
     @property
     def cues(self) -> DataFrame:
         return self.table("conversations").select(F.col("conv_id").alias("movie_id"), F.col("turn").alias("idx"), "text")
@@ -82,6 +108,10 @@ WINDOWS = """windows AS (
   SELECT movie_id, idx, vec_id, 6 * idx AS start_seq, 6 * idx + 11 AS end_seq, idx::DOUBLE / n AS arc, vec FROM (
     SELECT label::BIGINT AS movie_id, vec_id, embedding::DOUBLE[] AS vec, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx,
       count(*) OVER (PARTITION BY label) AS n FROM embeddings))"""
+PAIRED = """paired AS (
+  SELECT movie_id, idx, vec_id, start_seq, end_seq, arc, CASE WHEN drawn THEN list_transform(mixed, lambda x: x / sqrt(list_dot_product(mixed, mixed))) ELSE vec END AS vec
+  FROM (SELECT w.*, o.vec IS NOT NULL AS drawn, list_transform(list_zip(w.vec, coalesce(o.vec, w.vec)), lambda p: p[1] + 1.2::DOUBLE * p[2]) AS mixed
+    FROM windows w LEFT JOIN windows o ON w.movie_id % 2 = 1 AND o.movie_id = w.movie_id - 1 AND o.idx = w.idx AND w.idx % 5 = 0))"""
 CUES = "cues AS (SELECT conv_id AS movie_id, turn AS idx, text FROM conversations)"
 LOG = "log AS (SELECT ts, event_type AS query_norm, (props::JSON->>'k')::INT AS hits, value AS took_ms, user_id AS visitor FROM events)"
 QUERY = "q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 1)"

@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,18 +45,44 @@ def last_wins(rows: DataFrame, order: str) -> DataFrame:
     return latest.select("row.*")
 
 
-def read_matrix(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """Row-aligned little-endian float32 files as (file, row, vec); the row number is the place in the file."""
+def _files(spark: SparkSession, path: str):
+    """Statuses of a file, or of all files of a folder that aren't hidden, by name."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
+    return sorted((f for f in found if f.isFile() and not f.getPath().getName().startswith(("_", "."))), key=lambda f: f.getPath().getName())
 
-    def rows(batches):
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                if len(content) % (4 * dim):
-                    raise ValueError(f"{name}: {len(content)} bytes are no rows of {dim} float32 numbers")
-                x = np.frombuffer(content, "<f4").reshape(-1, dim)
-                yield pd.DataFrame({"file": name, "row": np.arange(len(x)), "vec": list(x)})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "file string, row long, vec array<float>")
+def read_matrix(spark: SparkSession, path: str, dim: int, count: int | None = None) -> DataFrame:
+    """Row-aligned little-endian float32 files as (file, row, vec); the row number is the place in the file.
+
+    A file is cut at row borders into splits like any other, so no task holds it
+    whole. Lengths are checked before anything is read: every file must hold
+    whole rows, and all together `count` of them where that is given.
+    """
+    width, files, total = 4 * dim, _files(spark, path), 0
+    for f in files:
+        if f.getLen() % width:
+            raise ValueError(f"{f.getPath().getName()}: {f.getLen()} bytes are no rows of {dim} float32 numbers")
+        total += f.getLen() // width
+    if count is not None and total != count:
+        raise ValueError(f"{path}: {total} rows, where {count} are said to be")
+    form = "org.apache.spark.input.FixedLengthBinaryInputFormat"
+    out = None
+    for f in files:
+        name = f.getPath().toString()
+        records = spark.sparkContext.newAPIHadoopFile(
+            name, form, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf={f"{form}.recordLength": str(width)}
+        )
+        rows = spark.createDataFrame(records, "row long, bytes binary").mapInPandas(_floats, "row long, vec array<float>")
+        rows = rows.select(F.lit(name).alias("file"), "row", "vec")
+        out = rows if out is None else out.unionByName(rows)
+    return spark.createDataFrame([], "file string, row long, vec array<float>") if out is None else out
+
+
+def _floats(batches):
+    for pdf in batches:
+        yield pd.DataFrame({"row": pdf["row"], "vec": [np.frombuffer(b, "<f4") for b in pdf["bytes"]]})
 
 
 def write_matrix(df: DataFrame, path: str, vec: str = "vec", mode: str = "error") -> None:
@@ -74,33 +100,83 @@ def aligned_scores(rows: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def srt_cues(files: DataFrame, text: str = "value") -> DataFrame:
-    """SubRip files, one a row, to cues: no byte-order mark, numbers, times, {\\...} or tags."""
-    body = F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n")
-    blocks = F.split(body, r"\n\s*\n")
+    """SubRip files, one a row, to cues: blocks between empty lines, without a leading number, the time line after it, {\\...} and tags.
+
+    A block without a time line is a cue too.
+    """
+    body = F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), "\r\n?", "\n")
     time = r"^\s*\d{1,2}:\d{2}:\d{2}[,.]\d{1,3}\s*-->"
-    lines = lambda b: F.filter(F.split(b, "\n"), lambda x: F.trim(x) != "")
-    spoken = lambda b: F.filter(lines(b), lambda x, i: ~x.rlike(time) & ~((i == 0) & x.rlike(r"^\s*\d+\s*$")))
-    clean = lambda b: F.trim(F.regexp_replace(F.regexp_replace(F.array_join(spoken(b), " "), r"\{\\[^}]*\}|<[^>]+>", ""), r"(?U)\s+", " "))
-    timed = F.filter(blocks, lambda b: F.exists(F.split(b, "\n"), lambda x: x.rlike(time)))
-    cues = F.filter(F.transform(timed, clean), lambda x: x != "")
+    lines = lambda b: F.filter(F.split(b, "\n"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " ")) != "")
+    from_ = lambda x, skip: F.slice(x, F.lit(1) + skip.cast("int"), F.greatest(F.size(x), F.lit(1)))
+    first = lambda x, pattern: F.coalesce(F.get(x, F.lit(0)).rlike(pattern), F.lit(False))
+    numbered = lambda x: from_(x, first(x, r"^\s*\d+\s*$"))
+    spoken = lambda x: from_(x, first(x, time))
+    clean = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.array_join(x, " "), r"\{\\[^}]*\}|<[^>]+>", ""), r"(?U)\s+", " "))
+    cues = F.filter(F.transform(F.split(body, r"\n{2,}"), lambda b: clean(spoken(numbered(lines(b))))), lambda x: x != "")
     others = [c for c in files.columns if c != text]
     return files.select(*others, F.posexplode(cues).alias("idx", "text"))
 
 
-def publish(df: DataFrame, base: str, name: str, allow_empty: bool = False) -> str:
-    """Write a new version, refuse an empty one, and then swap the pointer that readers follow."""
-    spark = df.sparkSession
-    path = f"{base.rstrip('/')}/{name}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if not allow_empty and spark.read.parquet(path).isEmpty():
+VERSION = "v-"
+
+
+def _versions(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the published versions, oldest first."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(n for f in fs.listStatus(target) if (n := f.getPath().getName()).startswith(VERSION)) if fs.exists(target) else []
+
+
+def publish(df: DataFrame, base: str, name: str, allow_empty: bool = False, keep: int = 2) -> str:
+    """Stage a new version, refuse an empty one, and then make it the current one by renaming its folder.
+
+    Readers take the last version there is, so they see the old one or the new
+    one and never none, wherever a crash falls. The `keep` latest versions stay
+    for readers that have begun; older ones go.
+    """
+    spark, folder = df.sparkSession, f"{base.rstrip('/')}/{name}"
+    staged = f"{folder}/_staged-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(staged)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(staged).getFileSystem(conf)
+    if not allow_empty and spark.read.parquet(staged).isEmpty():
+        fs.delete(path(staged), True)
         raise ValueError(f"{name}: the staged version has no rows; the old one stays")
-    pointer = spark.createDataFrame([(path,)], "path string").coalesce(1)
-    pointer.write.mode("overwrite").parquet(f"{base.rstrip('/')}/{name}/_current")
-    return path
+    before = _versions(spark, folder)
+    number = int(before[-1].split("-")[1]) + 1 if before else 1
+    final = f"{folder}/{VERSION}{number:09d}-{staged[-32:]}"
+    if not fs.rename(path(staged), path(final)):
+        raise OSError(f"{staged} could not be renamed")
+    for old in before[: max(0, len(before) + 1 - keep)]:
+        fs.delete(path(f"{folder}/{old}"), True)
+    return final
 
 
 def current(spark: SparkSession, base: str, name: str) -> DataFrame:
-    return spark.read.parquet(spark.read.parquet(f"{base.rstrip('/')}/{name}/_current").first()["path"])
+    folder = f"{base.rstrip('/')}/{name}"
+    found = _versions(spark, folder)
+    if not found:
+        raise FileNotFoundError(f"{folder}: nothing is published")
+    return spark.read.parquet(f"{folder}/{found[-1]}")
+
+
+def page_key(url: Column) -> Column:
+    """Name of a page in a cache: SHA-1 of its address."""
+    return F.sha1(url.cast("binary"))
+
+
+def cached_pages(wanted: DataFrame, cache: DataFrame) -> DataFrame:
+    """wanted (url) with html from cache (key, status, html): null where the page is missing, answered 404, or isn't cached (no network is used)."""
+    stored = cache.where("status = 200").select(F.col("key").alias("__key"), "html")
+    return wanted.join(stored, page_key(F.col("url")) == F.col("__key"), "left").drop("__key")
+
+
+def backoff_ms(retry_after: Column, attempt: Column) -> Column:
+    """Milliseconds to wait: what Retry-After says in seconds, else a second doubled with each attempt."""
+    said = F.when(F.trim(retry_after).rlike(r"^\d+([.]\d+)?$"), F.trim(retry_after).cast("double"))
+    return F.coalesce(F.when(said > 0, said * 1000), F.pow(F.lit(2.0), attempt) * 1000).cast("long")
 
 
 def token_index(lines: DataFrame) -> DataFrame:

@@ -27,18 +27,28 @@ def one(spark, column, **values):
 )
 def test_normalize(spark, text, want):
     assert one(spark, T.normalize(F.col("t")), t=text) == want
-    assert one(spark, T.normalize(F.col("t"), exact=True), t=text) == want
 
 
-def test_exact_form_folds_more(spark):
-    assert one(spark, T.normalize(F.col("t"), exact=True), t="ﬁne ½…") == "fine 1 2"
+def test_normalize_is_the_compatibility_form(spark):
+    """Against the plain rule over every character there is, each between two letters."""
+    from parley.functions.diff import normal
+
+    chars = [chr(k) for k in range(1, 0x20000) if not 0xD800 <= k < 0xE000]
+    texts = ["x".join(f"{c}y" for c in chars[at : at + 64]) for at in range(0, len(chars), 64)] + ["ﬁne ½… ＡＢＣ ™ Ⅷ", "plain"]
+    got = {r.t: r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.normalize(F.col("t")).alias("n")).collect()}
+    assert got["ﬁne ½… ＡＢＣ ™ Ⅷ"] == "fine 1 2 abc tm viii"
+    wrong = [t for t in texts if got[t] != normal(t)]
+    assert not wrong, [(t, got[t], normal(t)) for t in wrong[:3]]
 
 
 def test_titles(spark):
     for t in ("The Matrix", "Matrix, The", "matrix"):
         assert one(spark, T.title_key(F.col("t")), t=t) == "matrix"
     assert one(spark, T.title_key(F.col("t")), t="Fast & Furious") == "fastandfurious"
-    assert one(spark, T.title_variants(F.col("t")), t="The Fast & Furious: Two")[0] == "The Fast & Furious: Two"
+    assert one(spark, T.title_key(F.col("t")), t="A&E") == "ande"
+    want = ["Léon & Ann's Day: Two", "Léon & Ann's Day", "Léon and Ann's Day: Two", "Léon & Anns Day: Two", "Leon & Ann's Day: Two", "Leon & Ann's Day"]
+    assert one(spark, T.title_variants(F.col("t")), t="Léon & Ann's Day: Two") == want
+    assert one(spark, T.title_variants(F.col("t")), t="Up") == ["Up"] and one(spark, T.title_variants(F.col("t")), t="M") == []
 
 
 def test_clip(spark):
@@ -74,13 +84,17 @@ def test_reply_parsing(spark):
         assert json.loads(one(spark, T.reply_json(F.col("t")), t=reply)) == {"a": 1}
     assert one(spark, T.prompt_version(F.col("t")), t="x\npromptVersion: 12\n") == 12
     assert one(spark, T.parse_window_id(F.col("t")), t="7:10-21").asDict() == {"movie_id": 7, "start_seq": 10, "end_seq": 21}
-    assert one(spark, T.parse_window_id(F.col("t")), t="7:x") is None
+    with pytest.raises(Exception, match="malformed window id"):
+        one(spark, T.parse_window_id(F.col("t")), t="7:x")
 
 
 def test_srt(spark):
     body = "﻿1\r\n00:00:01,000 --> 00:00:02,000\r\n<i>Hello</i>\r\nthere\r\n\r\n2\r\n00:00:03,000 --> 00:00:04,000\r\n{\\an8}Bye\r\n\r\njunk\r\n"
-    files = spark.createDataFrame([(1, body), (2, "no cues")], "movie_id int, value string")
-    assert [(r.movie_id, r.idx, r.text) for r in tables.srt_cues(files).orderBy("idx").collect()] == [(1, 0, "Hello there"), (1, 1, "Bye")]
+    odd = "42\n\n17\n"
+    spaced = "3\n00:00:05,000 --> 00:00:06,000\nOne\n   \nTwo\n\n00:00:07,000 --> 00:00:08,000\nNo number\n\nno time\n12\n"
+    files = spark.createDataFrame([(1, body), (2, odd), (3, ""), (4, spaced)], "movie_id int, value string")
+    got = [(r.movie_id, r.idx, r.text) for r in tables.srt_cues(files).orderBy("movie_id", "idx").collect()]
+    assert got == [(1, 0, "Hello there"), (1, 1, "Bye"), (1, 2, "junk"), (4, 0, "One Two"), (4, 1, "No number"), (4, 2, "no time 12")]
 
 
 def test_store_last_wins_and_torn_lines(spark, tmp_path):
@@ -94,6 +108,13 @@ def test_matrix(spark, tmp_path):
     x = np.arange(12, dtype="<f4")
     (tmp_path / "m.bin").write_bytes(x.tobytes())
     assert [r.vec for r in tables.read_matrix(spark, str(tmp_path / "m.bin"), 4).orderBy("row").collect()] == x.reshape(3, 4).tolist()
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "a.bin").write_bytes(x[:8].tobytes()), (tmp_path / "many" / "b.bin").write_bytes(x[8:].tobytes())
+    both = tables.read_matrix(spark, str(tmp_path / "many"), 4, 3).orderBy("file", "row").collect()
+    assert [(r.file[-5:], r.row, r.vec) for r in both] == [("a.bin", 0, [0, 1, 2, 3]), ("a.bin", 1, [4, 5, 6, 7]), ("b.bin", 0, [8, 9, 10, 11])]
+    for dim, count in ((5, None), (4, 2)):
+        with pytest.raises(ValueError):
+            tables.read_matrix(spark, str(tmp_path / "m.bin"), dim, count)
     rows = spark.createDataFrame([(0,), (1,)], "row long")
     good = spark.createDataFrame([(0, 0.5), (1, 0.25)], "row long, generic double")
     assert [r.generic for r in tables.aligned_scores(rows, good).orderBy("row").collect()] == [0.5, 0.25]
@@ -107,6 +128,12 @@ def test_publish(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.publish(df.limit(0), str(tmp_path), "t")
     assert tables.current(spark, str(tmp_path), "t").count() == 3
+    for n in (4, 5, 6):
+        tables.publish(spark.range(n), str(tmp_path), "t")
+        assert tables.current(spark, str(tmp_path), "t").count() == n
+    assert sorted(p.name[:11] for p in (tmp_path / "t").iterdir()) == ["v-000000003", "v-000000004"]
+    tables.publish(df.limit(0), str(tmp_path), "t", allow_empty=True)
+    assert tables.current(spark, str(tmp_path), "t").count() == 0
 
 
 def test_pages(spark):
@@ -169,6 +196,7 @@ def test_lyric_islands(spark):
     assert mask(['"Sung a"', '"Sung b"', "Plain."]) == [True, True, False]
 
 
+
 def test_verse_mask():
     verse = [f"Line of a song {k}" for k in range(18)]
     talk = [f"Talk {k}." for k in range(60)]
@@ -210,14 +238,43 @@ def test_beats(spark):
 
 @pytest.mark.parametrize("sims, n, first", [([0.9] * 9, 10, (0, 9)), ([0.9, 0.9, 0.9, 0.2, 0.9, 0.9], 7, (0, 3)), ([], 1, (0, 0)), ([], 0, (0, -1))])
 def test_cuts(spark, sims, n, first):
-    got = one(spark, ladder.cut_points(F.col("s"), F.col("n").cast("int")), s=sims or [0.0][:0] or None, n=n) if sims else None
-    if sims:
-        assert (got[0]["start"], got[0]["end"]) == first
-    long = one(spark, ladder.cut_points(F.col("s"), F.col("n").cast("int")), s=[0.95] * 50, n=51)
+    films = spark.createDataFrame([(k, s, c) for k, (s, c) in enumerate([(sims, n), ([0.95] * 50, 51)])], "k int, s array<double>, n int")
+    low = F.when(F.col("k") == 0, float(np.mean(sims) - np.std(sims)) if sims else None).otherwise(0.95)
+    got, long = (r.x for r in films.select("k", ladder.cut_points(F.col("s"), F.col("n"), low).alias("x")).orderBy("k").collect())
+    assert (got[0]["start"], got[0]["end"]) == first
     assert all(e["end"] - e["start"] < 13 for e in long) and long[-1]["end"] == 50
     assert all(b["start"] == a["end"] + 1 for a, b in zip(long, long[1:]))
 
 
+def brute_segments(sims, n):
+    cut, start, out = np.mean(sims) - np.std(sims) if len(sims) else 0.0, 0, []
+    for i, s in enumerate(sims):
+        if (s < cut and i + 1 - start >= 2) or i + 1 - start >= 12:
+            out.append((start, i))
+            start = i + 1
+    if n - start < 2 and out:
+        out[-1] = (out[-1][0], n - 1)
+    else:
+        out.append((start, n - 1))
+    return out
+
+
+def test_segments_against_brute_force_on_long_films(spark):
+    import time
+
+    rng = np.random.default_rng(5)
+    sizes = {1: 1, 2: 2, 3: 3, 4: 13, 5: 40, 6: 2000, 7: 2000}
+    vecs = {m: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.standard_normal((n, 4)) + 1) for m, n in sizes.items()}
+    rows = [(m, i, v.tolist()) for m, x in vecs.items() for i, v in enumerate(x)]
+    windows = spark.createDataFrame(rows, "movie_id long, idx long, vec array<double>")
+    began = time.time()
+    got = {}
+    for r in sorted(ladder.segment_spans(windows).collect()):
+        got.setdefault(r.movie_id, []).append((r.start_beat, r.end_beat))
+    assert time.time() - began < 20
+    assert got == {m: brute_segments((x[:-1] * x[1:]).sum(1), len(x)) for m, x in vecs.items()}
+
+
 def test_decile_and_rank(spark):
     scored = spark.createDataFrame([(k, 10.0 if k in (3, 7) else 90.0) for k in range(20)], "movie_id long, score double")
     assert {r.movie_id for r in quality.worst_decile(scored).where("downrank").collect()} == {3, 7}
@@ -278,12 +335,18 @@ def test_bridge(spark):
     for m in (1, 2):
         for i in range(6):
             v = shared[i] + 0.05 * rng.standard_normal(8)
-            rows.append((m, i, 12 * i, 12 * i + 11, (v / np.linalg.norm(v)).tolist(), 0.1))
-    w = spark.createDataFrame(rows, "movie_id long, idx long, start_seq long, end_seq long, vec array<double>, generic double")
+            rows.append((m, i, 12 * i, 12 * i + 11, i / 6, (v / np.linalg.norm(v)).tolist(), 0.1))
+    w = spark.createDataFrame(rows, "movie_id long, idx long, start_seq long, end_seq long, arc double, vec array<double>, generic double")
     flags = spark.createDataFrame([(9, True, False)], "movie_id long, non_english boolean, downrank boolean")
     pairs = spark.createDataFrame([(1, 2)], "a long, b long")
-    got = film.bridge(w, w, pairs, flags).orderBy("n").collect()
+    told = spark.createDataFrame([(1, 0, 11, "First"), (1, 0, 12, "other span"), (2, 12, 23, "")], "movie_id long, start_seq long, end_seq long, headline string")
+    said = w.withColumn("text", F.concat_ws("\n", F.lit("a"), "idx", F.lit("c"), F.lit("d")))
+    got = film.bridge(w, said, pairs, flags, told).orderBy("n").collect()
     assert len(got) == 5 and all(r.ia == r.ib for r in got) and len({r.beat_a for r in got}) == 5
+    assert all(r.excerpt_a == f"a {r.beat_a} c" and r.arc_b == pytest.approx(r.beat_b / 6) and r.start_a == 12 * r.beat_a for r in got)
+    assert all((r.headline_a, r.headline_b) == ("First" if r.ia == 0 else None, None) for r in got)
+    assert sorted(map(tuple, film.bridge(w, said, pairs, flags, stop_at_weak=True).select("ia", "ib").collect())) == sorted((r.ia, r.ib) for r in got)
+    assert film.generic_of(w.drop("generic")).first()["generic"] == 0.0
     assert film.bridge(w, w, pairs, flags.withColumn("movie_id", F.lit(1).cast("long"))).count() == 0
     stored = spark.createDataFrame([(2, 1, 0.9)], "movie_id long, similar_id long, score double")
     assert film.pair_similarity(stored, 1, 2).first()["score"] == 0.9 and film.pair_similarity(stored, 1, 3).first()["score"] == 0.0
@@ -309,6 +372,15 @@ def test_lint(spark):
     schema = "id long, headline string, summary string, evidence array<struct<start:int,end:int>>, start_seq int, end_seq int, texts array<string>, title string"
     got = {r.id: {(i.kind, i.detail) for i in r.issues} for r in genstore.lint(spark.createDataFrame(rows, schema)).collect()}
     assert got == {1: set(), 2: {("bad-range", "12-14"), ("invented-noun", "Gandalf")}, 3: {("no-evidence", ""), ("bad-range", "headline")}}
+    window = ([(100, 101)], 100, 111, ["You come to me on the day of my wedding.", "I ask for justice."], "The Godfather")
+    said = {
+        "A man asks for justice on a wedding day.": set(), 'A man pleads. They refuse, saying "Never again." He walks out.': set(),
+        "A man petitions Corleone for justice.": {"Corleone"}, "A wedding-day plea from the Godfather.": set(), "One (Vito) says, But When This is over": {"Vito"},
+        "Sonny waits! Then Sonny talks; “Why” Sonny asks": {"Sonny"}, "A word O'Hara and McCoy": {"Mc"},
+    }
+    rows = [(k, "It begins", s, *window) for k, s in enumerate(said)]
+    got = {r.summary: {i.detail for i in r.issues} for r in genstore.lint(spark.createDataFrame(rows, schema)).collect()}
+    assert got == said
 
 
 def test_batches_queue_and_candidates(spark):
@@ -316,6 +388,11 @@ def test_batches_queue_and_candidates(spark):
     got = sorted((r.idx, r.batch) for r in genstore.batches(w).collect())
     assert [b for _, b in got] == [k // 12 for k in range(30)]
     assert len({r.batch for r in genstore.batches(w, budget=400).collect()}) == 30
+    films = spark.createDataFrame([(m, k, ["x" * 76] * n) for m, k, n in ((1, 0, 2), (1, 1, 3), (2, 0, 20), (2, 1, 1))], "movie_id long, idx long, texts array<string>")
+    assert [r.batch for r in genstore.batches(films, budget=1000).orderBy("movie_id", "idx").collect()] == [0, 0, 1, 2]
+    numbered = spark.createDataFrame([(1, [f"{k:076d}" for k in range(20)]), (2, ["y" * 5000])], "movie_id long, texts array<string>")
+    cut = {r.movie_id: r.texts for r in genstore.trimmed(numbered, 1000).collect()}
+    assert [int(t) for t in cut[1]] == [0, 1, 2, 3, 4, 5, 6, 17, 18, 19] and len(cut[2]) == 2  # one line is its own head and tail
     saved = spark.createDataFrame([(1, "a", "done", 2)], "movie_id long, title string, status string, attempts int")
     merged = genstore.queue_merge(saved, spark.createDataFrame([(1, "a"), (2, "b")], "movie_id long, title string"))
     assert {(r.movie_id, r.status) for r in merged.collect()} == {(1, "done"), (2, "pending")}
@@ -367,7 +444,14 @@ def test_titles_resolve_in_order(spark):
     index = spark.createDataFrame([("a", "Alien"), ("b", "Blade Runner: The Final Cut"), ("c", "The Thing")], "slug string, title string")
     aliases = spark.createDataFrame([("Das Ding", "Thing")], "alias string, title string")
     wanted = spark.createDataFrame([(1, "ALIEN"), (2, "Blade Runner"), (3, "Das Ding"), (4, "Nothing")], "id long, title string")
-    assert {(r.id, r.way, r.slug) for r in titles.resolve(wanted, index, aliases).collect()} == {(1, 0, "a"), (2, 2, "b"), (3, 1, "c")}
+    assert {(r.id, r.way, r.slug) for r in titles.resolve(wanted, index, aliases).collect()} == {(1, 0, "a"), (2, 4, "b"), (3, 1, "c")}
+    index = spark.createDataFrame([("a", "Star Wars: A New Hope"), ("b", "Star Wars: The Clone Wars"), ("c", "Runner"), ("d", "My Blade Runner")], "slug string, title string")
+    wanted = spark.createDataFrame([(1, "New Hope"), (2, "A New Hope"), (3, "Clone Wars"), (4, "Blade Runner"), (5, "Blade Runner 2049"), (6, "Run")], "id long, title string")
+    # a longer title is never cut to meet a shorter entry, and short ones meet whole keys only
+    assert {(r.id, r.way, r.slug) for r in titles.resolve(wanted, index, aliases).collect()} == {(3, 3, "b"), (4, 4, "d")}
+    tried = spark.createDataFrame([(1, "t", "pending", 2), (2, "t", "pending", 0), (3, "t", "pending", 0), (4, "t", "done", 1)], "movie_id long, title string, status string, attempts int")
+    outcomes = spark.createDataFrame([(1, "failed"), (2, "found"), (3, "no-match")], "movie_id long, outcome string")
+    assert sorted((r.movie_id, r.status, r.attempts) for r in titles.after_run(tried, outcomes).collect()) == [(1, "parked", 3), (2, "done", 1), (3, "no-match", 1), (4, "done", 1)]
     old = spark.createDataFrame([(1, 50.0), (2, 50.0)], "movie_id long, score double")
     new = spark.createDataFrame([(1, "x", 40.0), (2, "draft", 40.0), (3, "x", 1.0)], "movie_id long, kind string, score double")
     assert {(r.movie_id, r.replace) for r in titles.better_layer(old, new, ["draft"]).collect()} == {(1, False), (2, True), (3, True)}
