@@ -101,7 +101,7 @@ def title_variants(c: Column) -> Column:
     """Spellings to try for a title, in order, without repeats, of two characters or more."""
     short = F.trim(F.substring_index(c, ":", 1))
     spellings = F.array(c, short, F.replace(c, F.lit("&"), F.lit("and")), F.replace(c, F.lit("'"), F.lit("")), without_marks(c), without_marks(short))
-    return F.array_distinct(F.filter(F.transform(spellings, F.trim), lambda x: F.length(x) >= 2))
+    return F.array_distinct(F.filter(F.transform(spellings, lambda x: F.trim(x)), lambda x: F.length(x) >= 2))
 
 
 def words_of(c: Column) -> Column:
@@ -140,7 +140,7 @@ def moment_text(c: Column, most: int = 4) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, SENTENCE_END), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, SENTENCE_END), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def input_hash(texts: Column) -> Column:

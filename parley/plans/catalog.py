@@ -945,12 +945,3 @@ def daily_log(c: Corpus) -> DataFrame:
     log = analytics.search_log(c.log)
     return log.groupBy(F.date_trunc("day", "ts").alias("day"), "query_norm").agg(F.count("*").alias("n"), F.count_distinct("visitor").alias("visitors"))
 
-
-@query()
-def visitor_hashes(c: Corpus) -> DataFrame:
-    from ..functions.hashing import visitor_hash
-
-    return c.table("events").select("event_id", visitor_hash(F.col("user_id").cast("string"), F.col("event_type"), F.col("ts")).alias("visitor_hash"))
-
-
-

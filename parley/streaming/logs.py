@@ -20,12 +20,25 @@ def append(rows: DataFrame, path: str, checkpoint: str, available_now: bool = Tr
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")).start()
 
 
+def kept(events: DataFrame) -> DataFrame:
+    """Events of visitors who haven't opted out, where the events tell (dnt, gpc)."""
+    asked = [F.col(c) if c in events.columns else F.lit(None).cast("string") for c in ("dnt", "gpc")]
+    return events.where(~analytics.opted_out(*asked))
+
+
 def search_log(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    return append(analytics.search_log(events), path, checkpoint)
+    return append(analytics.search_log(kept(events)), path, checkpoint)
 
 
 def pageviews(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    return append(analytics.pageviews(events), path, checkpoint)
+    return append(analytics.pageviews(kept(events)), path, checkpoint)
+
+
+def per_day(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(day, n) with a watermark, so the state of past days is dropped."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    counted = timed.groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
+    return counted.select(F.col("window.start").cast(events.schema["ts"].dataType).alias("day"), "n")
 
 
 def daily_uniques(log: DataFrame, late: str = "1 hour") -> DataFrame:
