@@ -60,33 +60,36 @@ def genericness(windows: DataFrame, sample: pd.DataFrame | None = None, top: int
     return min_max(scored, "raw", "generic")
 
 
-def best_matches(segments: DataFrame, block: int = 2048) -> DataFrame:
+def best_matches(segments: DataFrame, block: int = 8192, slice_rows: int = 512) -> DataFrame:
     """segments (movie_id, idx, vec) to (movie_id, idx, other, best): the highest cosine with each other film.
 
-    Films are dealt into blocks; every pair of blocks is one task's matrix
-    product, so neither side has to fit in one task or a broadcast.
+    Films are dealt into blocks of about `block` segments, a film within one; a
+    pair of blocks is one task, which walks one side in slices and lets only the
+    best of each film leave. Neither side has to fit in one task or a broadcast.
     """
     n = segments.count()
     groups = max(1, -(-n // block))
-    spread = F.pmod(F.xxhash64("movie_id", "idx"), F.lit(groups)).cast("int")
+    spread = F.pmod(F.xxhash64("movie_id"), F.lit(groups)).cast("int")
     dealt = segments.select("movie_id", "idx", "vec", spread.alias("g"))
     every = F.sequence(F.lit(0), F.lit(groups - 1))
     left = dealt.select("*", F.explode(every).alias("h"), F.lit(False).alias("right"))
     right = dealt.select("movie_id", "idx", "vec", F.col("g").alias("h"), F.lit(True).alias("right"), F.explode(every).alias("g"))
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[~pdf["right"]], pdf[pdf["right"]]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"movie_id": [], "idx": [], "other": [], "best": []})
-        near = np.stack(a["vec"]).astype(np.float64) @ np.stack(b["vec"]).astype(np.float64).T
-        films, at = np.unique(b["movie_id"], return_inverse=True)
-        order = np.argsort(at, kind="stable")
-        best = np.maximum.reduceat(near[:, order], np.searchsorted(at[order], np.arange(len(films))), axis=1)
-        i, j = np.nonzero(a["movie_id"].to_numpy()[:, None] != films[None, :])
-        return pd.DataFrame({"movie_id": a["movie_id"].to_numpy()[i], "idx": a["idx"].to_numpy()[i], "other": films[j], "best": best[i, j]})
-
-    pairs = left.unionByName(right).groupBy("g", "h").applyInPandas(product, "movie_id long, idx long, other long, best double")
-    return pairs.groupBy("movie_id", "idx", "other").agg(F.max("best").alias("best"))
+        a, b = pdf[~pdf["right"]], pdf[pdf["right"]].sort_values("movie_id")
+        out = [pd.DataFrame({"movie_id": [], "idx": [], "other": [], "best": []})]
+        if len(a) and len(b):
+            films, first = np.unique(b["movie_id"], return_index=True)
+            across = np.stack(b["vec"]).astype(np.float64).T
+            for at in range(0, len(a), slice_rows):
+                part = a.iloc[at : at + slice_rows]
+                best = np.maximum.reduceat(np.stack(part["vec"]).astype(np.float64) @ across, first, axis=1)
+                i, j = np.nonzero(part["movie_id"].to_numpy()[:, None] != films[None, :])
+                out.append(pd.DataFrame({"movie_id": part["movie_id"].to_numpy()[i], "idx": part["idx"].to_numpy()[i], "other": films[j], "best": best[i, j]}))
+        return pd.concat(out, ignore_index=True)
+
+    # a film is in one block, so its best is final
+    return left.unionByName(right).groupBy("g", "h").applyInPandas(product, "movie_id long, idx long, other long, best double")
 
 
 def film_scores(best: DataFrame) -> DataFrame:
@@ -98,10 +101,11 @@ def film_scores(best: DataFrame) -> DataFrame:
 
 
 def clipped(scores: DataFrame, value: str = "raw", out: str = "seg") -> DataFrame:
-    """Scaled between the 1st and 99th percentile (linear), clipped to 0-1."""
-    lo, hi = scores.agg(F.percentile(value, F.array(F.lit(0.01), F.lit(0.99))).alias("p")).first()["p"] or (0.0, 1.0)
-    span = (hi - lo) or 1.0
-    return scores.withColumn(out, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(value) - lo) / span)))
+    """Scaled between the 1st and 99th percentile (linear), clipped to 0-1; the two are one row that is joined back."""
+    bounds = scores.agg(F.percentile(value, F.array(F.lit(0.01), F.lit(0.99))).alias("__p")).select(F.col("__p")[0].alias("__lo"), F.col("__p")[1].alias("__hi"))
+    span = F.when(F.col("__hi") > F.col("__lo"), F.col("__hi") - F.col("__lo")).otherwise(F.lit(1.0))
+    scaled = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(value) - F.col("__lo")) / span))
+    return scores.join(F.broadcast(bounds)).withColumn(out, scaled).drop("__lo", "__hi")  # bounds is one row
 
 
 def metadata_similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:

@@ -231,14 +231,14 @@ def generic_of(rows: DataFrame) -> DataFrame:
 
 def compared_bridges(windows: DataFrame, beats: DataFrame, pairs: DataFrame, quality: DataFrame) -> DataFrame:
     """Both bridges side by side: (a, b, way, n, ia, ib, score), way beats or consensus."""
-    older = titles.beat_bridge(cross_scores(*_both(beats, pairs), ["a", "b"], 0.16))
+    older = titles.beat_bridge(cross_scores(*both_sides(beats, pairs), ["a", "b"], 0.16))
     place = F.row_number().over(W.partitionBy("a", "b").orderBy(F.desc(F.round("score", 9)), "ia", "ib"))
     first = older.select("a", "b", F.lit("beats").alias("way"), place.alias("n"), "ia", "ib", "score")
     second = bridge(windows, beats, pairs, quality, stop_at_weak=True).select("a", "b", F.lit("consensus").alias("way"), "n", "ia", "ib", "score")
     return first.unionByName(second)
 
 
-def _both(rows: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def both_sides(rows: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of either film of each pair."""
     side = lambda s: pairs.join(rows, F.col(s) == rows["movie_id"]).select("a", "b", *[c for c in rows.columns if c != "movie_id"])
     return side("a"), side("b")

@@ -613,7 +613,7 @@ def _film_pairs(c: Corpus) -> DataFrame:
 
 @query(sql(ALIKE, """SELECT a, b, ia, ib, round(score, 5) AS score FROM contrasted WHERE contrast >= 0.05 AND score >= 0.25"""))
 def bridge_candidates(c: Corpus) -> DataFrame:
-    return film.bridge_candidates(*film._both(_drawn(c), _film_pairs(c)), ["a", "b"]).select("a", "b", "ia", "ib", r("score", 5).alias("score"))
+    return film.bridge_candidates(*film.both_sides(_drawn(c), _film_pairs(c)), ["a", "b"]).select("a", "b", "ia", "ib", r("score", 5).alias("score"))
 
 
 BRIDGED = [*ALIKE, QUALITY, f"""spoken AS (SELECT w.movie_id, w.idx, w.arc, w.start_seq, {CLIPPED.format(t="array_to_string(string_split(d.text, chr(10))[1:3], ' ')")} AS excerpt FROM windows w JOIN documents d ON d.doc_id = w.movie_id)""",
@@ -664,7 +664,7 @@ OLDER = [*ALIKE, """strong AS (SELECT *, row_number() OVER (PARTITION BY a, b OR
 
 @query(_recursive(OLDER, "SELECT a, b, ia, ib, round(contrast, 3) AS contrast FROM ones JOIN strong USING (a, b, ia, ib)"))
 def beat_bridge(c: Corpus) -> DataFrame:
-    return titles.beat_bridge(film.cross_scores(*film._both(_drawn(c), _film_pairs(c)), ["a", "b"], 0.16)).select("a", "b", "ia", "ib", r("contrast", 3).alias("contrast"))
+    return titles.beat_bridge(film.cross_scores(*film.both_sides(_drawn(c), _film_pairs(c)), ["a", "b"], 0.16)).select("a", "b", "ia", "ib", r("contrast", 3).alias("contrast"))
 
 
 @query(_recursive([*OLDER, *BRIDGED[len(ALIKE):]], """SELECT a, b, 'beats' AS way, count(*) AS n FROM ones GROUP BY 1, 2 UNION ALL SELECT a, b, 'consensus', count(*) FROM picked GROUP BY 1, 2"""))
