@@ -223,5 +223,58 @@ FROM tried
 """
 
 
+EMBEDDINGS_SQL = """
+WITH RECURSIVE good AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.r AS a, b.r AS b FROM good a JOIN good b ON a.r <> b.r AND len(a.v) = len(b.v)
+    AND list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.95),
+reached AS (SELECT r AS a, r AS b FROM good UNION SELECT x.a, l.b FROM reached x JOIN links l ON l.a = x.b),
+found AS (
+  SELECT g.vec_id, (SELECT count(*) FROM links l WHERE l.a = g.r) AS n_links, min(o.vec_id) AS component_id
+  FROM good g JOIN reached x ON x.a = g.r JOIN good o ON o.r = x.b GROUP BY g.r, g.vec_id)
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM found
+UNION ALL
+SELECT vec_id, 0, vec_id, vec_id IS NOT NULL FROM embeddings WHERE vec_id IS NULL OR embedding IS NULL OR len(embedding) = 0
+  OR len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0 OR len(list_filter(embedding, lambda x: x <> 0)) = 0
+"""
+
+
+def _licence_sql() -> str:
+    """Every template at every place of every text: what the index finds, without it."""
+    quoted = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    templates = ", ".join(f"({k}, '{label}', {quoted(t.split())}, {quoted(keys)})" for k, (label, t, keys) in enumerate(licenses.TEMPLATES))
+    base = ", ".join(f"('{phrase}', '{label}', {len(phrase.split())})" for phrase, label in licenses.BASE.items())
+    return rf"""
+WITH templates(number, label, words, keys) AS (VALUES {templates}),
+phrases(phrase, label, n) AS (VALUES {base}),
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+known AS (SELECT number, label, words, keys, unnest(words) AS word, unnest(range(0, len(words))) AS k FROM templates),
+places AS (SELECT r, word, pos FROM (SELECT r, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM docs) WHERE word IN (SELECT word FROM known) OR word IN (SELECT split_part(phrase, ' ', 1) FROM phrases)),
+based AS (
+  SELECT p.r, p.pos, label FROM places p JOIN phrases b ON p.word = split_part(b.phrase, ' ', 1) JOIN docs d ON d.r = p.r
+  WHERE array_to_string(w[p.pos + 1:p.pos + n], ' ') = phrase),
+votes AS (SELECT r, number, pos - k AS start, count(*) AS n FROM places JOIN known USING (word) GROUP BY ALL),
+tried AS (SELECT v.r, v.start, v.n::DOUBLE / len(words) AS share, t.label, words, keys FROM votes v JOIN templates t USING (number) WHERE n >= 2 AND n::DOUBLE / len(words) >= 0.4),
+aligned AS (
+  SELECT t.r, label, max(share) AS share FROM tried t JOIN docs d USING (r)
+  WHERE len(list_filter(keys, lambda key: NOT contains(' ' || array_to_string(w[greatest(0, start) + 1:start + len(words)], ' ') || ' ', ' ' || key || ' '))) = 0 GROUP BY t.r, label),
+base_of AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels FROM based GROUP BY r),
+own_of AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS share FROM aligned GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(o.labels, [])))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0) END AS score
+FROM docs d LEFT JOIN base_of b USING (r) LEFT JOIN own_of o USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINES_SQL, "op4_warc_revisits": WARC_SQL, "op5_quality_rules": QUALITY_SQL, "op8_mixing": MIXING_SQL}
+    return {
+        "op2_line_dedup": LINES_SQL, "op3_embedding_dedup": EMBEDDINGS_SQL, "op4_warc_revisits": WARC_SQL, "op5_quality_rules": QUALITY_SQL,
+        "op8_mixing": MIXING_SQL, "op9_license_scan": _licence_sql(),
+    }

@@ -7,31 +7,15 @@ survives the loss of any executor.
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[tuple[SparkSession, str]] = []
-
+from ..sources.stored import delete, shared_folder
 
-def root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, or the folder that its context was given.
-
-    Where both are unset a temporary folder serves a local master, whose
-    executor is the driver's own process; on a cluster that is an error, as
-    other machines couldn't read what was written.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        if context.master != "local" and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="parley-")
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
+_made: list[tuple[SparkSession, str]] = []
 
 
 @contextmanager
@@ -45,22 +29,16 @@ def scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for made_by, folder in _made[before:]:
-            _delete(made_by, folder)
+            delete(made_by, folder)
         del _made[before:]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(conf).delete(target, True)
-
-
 class Scratch:
     """Tables of one operator call, under one folder of their own."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.folder = f"{root(spark)}/parley-{label}-{uuid.uuid4().hex}"
+        self.folder = f"{shared_folder(spark)}/parley-{label}-{uuid.uuid4().hex}"
         self.count = 0
         _made.append((spark, self.folder))
 
@@ -75,13 +53,13 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing reads any more."""
-        _delete(self.spark, df._parley_path)
+        delete(self.spark, df._parley_path)
 
 
 def _at_exit() -> None:
     for spark, folder in _made:
         if spark._sc is not None and spark._sc._jsc is not None:
-            _delete(spark, folder)
+            delete(spark, folder)
 
 
 atexit.register(_at_exit)

@@ -7,7 +7,7 @@ import xxhash
 from parley.llm import simhash
 
 
-def brute(rows):
+def fingerprints(rows):
     fps = []
     for _, text in rows:
         low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
@@ -15,23 +15,37 @@ def brute(rows):
         shingles = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
         hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
         fps.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
-    root = list(range(len(rows)))
+    return fps
+
+
+def grouped(of):
+    """{fingerprint: rows} -> lists of rows that links join."""
+    fps, root = list(of), list(range(len(of)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in range(len(rows)):
+    for a in range(len(fps)):
         for b in range(a):
             if (fps[a] ^ fps[b]).bit_count() <= 3:
                 root[find(a)] = find(b)
-    least = defaultdict(lambda: None)
-    for k, (doc, _) in enumerate(rows):
-        r = find(k)
-        if doc is not None and (least[r] is None or doc < least[r]):
-            least[r] = doc
-    return sorted(((doc, f"{fps[k]:016x}", least[find(k)]) for k, (doc, _) in enumerate(rows)), key=str)
+    out = defaultdict(list)
+    for k, f in enumerate(fps):
+        out[find(k)] += of[f]
+    return list(out.values())
+
+
+def brute(rows):
+    fps, of = fingerprints(rows), defaultdict(list)
+    for k, f in enumerate(fps):
+        of[f].append(k)
+    out = []
+    for group in grouped(of):
+        named = [rows[k][0] for k in group if rows[k][0] is not None]
+        out += [(rows[k][0], f"{fps[k]:016x}", min(named, default=None)) for k in group]
+    return sorted(out, key=str)
 
 
 def test_against_brute_force(small_docs):
