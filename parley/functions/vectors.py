@@ -1,8 +1,7 @@
-"""Vector functions: native Columns for one query vector, numpy in Arrow batches for blocks."""
+"""Vector functions: native Columns for one query vector."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +29,3 @@ def mean_vectors(df: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
     total = F.transform("e", lambda e: e["s"])
     length = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, e: a + e["s"] * e["s"]))
     return packed.select(*keys, F.transform(total, lambda x: x / F.when(length == 0, F.lit(1.0)).otherwise(length)).alias("vec"))
-
-
-def matrix(rows) -> np.ndarray:
-    return np.array(list(rows), np.float64)

@@ -23,14 +23,14 @@ def common_words(lines: DataFrame, n: int = 1000, text: str = "text") -> DataFra
 def score_films(cues: DataFrame, dictionary: DataFrame, film: str = "movie_id", text: str = "text") -> DataFrame:
     """One row per film: score 0-100, its four parts, cues, and whether it is likely not English.
 
-    dictionary (word) is of a bounded size and is broadcast.
+    dictionary (word): Spark broadcasts it if it turns out small.
     """
     c = F.col(text)
     parts = cues.groupBy(film).agg(
         F.count("*").alias("cues"), F.avg(has_terminal(c).cast("double")).alias("p"), F.sum(ocr_hits(c)).alias("ocr"), F.avg(F.length(c).cast("double")).alias("mean")
     )
     words = cues.select(film, F.explode(F.filter(F.split(F.lower(c), "[^a-z']+"), lambda w: w != "")).alias("word")).groupBy(film, "word").count()
-    known = words.join(F.broadcast(dictionary.withColumn("known", F.lit(1))), "word", "left")
+    known = words.join(dictionary.withColumn("known", F.lit(1)), "word", "left")
     rate = known.groupBy(film).agg(F.sum("count").alias("tokens"), F.sum(F.when(F.col("known") == 1, F.col("count")).otherwise(0)).alias("hits"))
     both = parts.join(rate, film, "left").na.fill(0, ["tokens", "hits"])
     d = F.when(F.col("tokens") > 0, F.col("hits") / F.col("tokens")).otherwise(F.lit(0.0))

@@ -31,8 +31,8 @@ class Corpus:
         """Lines with their normal form and tokens, which are worked out once and stored, in order of films."""
 
         def made() -> DataFrame:
-            rows = self._split_lines().withColumn("tokens", tokens_of_normal(F.col("text_norm")))
-            return rows.repartitionByRange("movie_id", "seq").sortWithinPartitions("movie_id", "seq")
+            rows = self._split_lines().repartitionByRange("movie_id", "seq").sortWithinPartitions("movie_id", "seq")
+            return rows.withColumn("text_norm", normalize(F.col("text"))).withColumn("tokens", tokens_of_normal(F.col("text_norm")))
 
         return stored(self.spark, f"lines of {self.dir}", made)
 
@@ -41,7 +41,7 @@ class Corpus:
         n = F.size("t")
         rows = self.table("documents").select(F.col("doc_id").alias("movie_id"), texts.alias("t")).select("movie_id", n.alias("n"), F.posexplode("t").alias("seq", "text"))
         arc = F.when(F.col("n") > 1, F.col("seq") / (F.col("n") - 1)).otherwise(F.lit(0.0))
-        return rows.select("movie_id", F.col("seq").cast("long").alias("seq"), arc.alias("arc"), "text", normalize(F.col("text")).alias("text_norm"))
+        return rows.select("movie_id", F.col("seq").cast("long").alias("seq"), arc.alias("arc"), "text")
 
     @property
     def quality(self) -> DataFrame:

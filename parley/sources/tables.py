@@ -7,7 +7,6 @@ import uuid
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -185,11 +184,3 @@ def token_index(lines: DataFrame) -> DataFrame:
 
     rows = lines.select(F.explode(index_tokens(F.col("text_norm"))).alias("token"), "movie_id", "seq")
     return rows.repartitionByRange("token", "movie_id", "seq").sortWithinPartitions("token", "movie_id", "seq")
-
-
-def positions(df: DataFrame, film: str, order: str) -> DataFrame:
-    """seq from 0 and arc in [0, 1] within each film."""
-    w = W.partitionBy(film)
-    n = F.count("*").over(w)
-    seq = F.row_number().over(w.orderBy(order)) - 1
-    return df.withColumn("seq", seq).withColumn("arc", F.when(n > 1, F.col("seq") / (n - 1)).otherwise(F.lit(0.0)))
