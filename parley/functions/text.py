@@ -36,7 +36,14 @@ def _folds(form: str, wanted) -> tuple[str, str, dict[str, str]]:
 
 
 def _class(chars) -> str:
-    return "[" + "".join(rf"\x{{{ord(c):X}}}" for c in sorted(chars)) + "]"
+    """A character class of few ranges, since each is tried on every character."""
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if ranges and code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{z:X}}}" for a, z in ranges) + "]"
 
 
 #: Compatibility forms of ASCII letters, digits and apostrophes; all others end as spaces anyway.
@@ -59,10 +66,20 @@ def without_marks(c: Column) -> Column:
     return F.when(c.rlike(BEYOND_ASCII), F.regexp_replace(F.translate(c, MARKED_FROM, MARKED_TO), COMBINING, "")).otherwise(c)
 
 
+#: ASCII that separates words, which a translation turns into spaces far faster than a pattern.
+SEPARATORS = "".join(chr(k) for k in range(1, 128) if not re.match("[A-Za-z0-9' ]", chr(k)))
+
+
+def spaced(c: Column) -> Column:
+    """Lower-case text as words of letters, digits and apostrophes between single spaces."""
+    plain = F.translate(c, "‘’" + SEPARATORS, "''" + " " * len(SEPARATORS))
+    plain = F.when(plain.rlike(r"[^\x01-\x7F]"), F.regexp_replace(plain, r"[^\x01-\x7F]", " ")).otherwise(plain)
+    return F.trim(F.regexp_replace(plain, " {2,}", " "))
+
+
 def normalize(c: Column) -> Column:
     """Lower-case ASCII words and apostrophes, single spaces."""
-    plain = F.translate(F.lower(fold(c)), "‘’", "''")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9' ]+", " "), " +", " "))
+    return spaced(F.lower(fold(c)))
 
 
 def tokens_of_normal(norm: Column) -> Column:
@@ -85,8 +102,7 @@ def needles(norm: Column) -> Column:
 
 def quote_key(c: Column) -> Column:
     """Normal form for quotations: no accent folding, so accented letters become spaces."""
-    plain = F.translate(F.lower(c), "‘’“”", "''\"\"")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9' ]+", " "), " +", " "))
+    return spaced(F.lower(c))
 
 
 def title_key(c: Column) -> Column:

@@ -46,24 +46,21 @@ def match_quotes(quotes: DataFrame, lines: DataFrame) -> DataFrame:
     own = quotes.select("movie_id", "quote_id", "hint", quote_key(F.col("text")).alias("key"), tokenize(F.col("text")).alias("tokens"))
     near = lines.join(quotes.select("movie_id").distinct(), "movie_id", "left_semi")
     stored = near.select("movie_id", "seq", quote_key(F.col("text")).alias("key"), tokenize(F.col("text")).alias("tokens"))
+    films = near.groupBy("movie_id").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
     same = own.join(stored.drop("tokens"), ["movie_id", "key"])
     exact = same.groupBy("movie_id", "quote_id").agg(F.coalesce(F.min(F.when(F.col("seq") == F.col("hint"), F.col("seq"))), F.min("seq")).alias("exact_seq"))
-    count = lambda d, c: d.select("movie_id", c, F.explode("tokens").alias("token")).groupBy("movie_id", c, "token").agg(F.count("*").cast("double").alias("tf"))
-    in_lines, in_quotes = count(stored, "seq"), count(own, "quote_id")
-    n = near.groupBy("movie_id").agg(F.count("*").alias("n"))
-    idf = in_lines.groupBy("movie_id", "token").agg(F.count("*").alias("df")).join(n, "movie_id")
-    idf = idf.select("movie_id", "token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    weighed = in_lines.join(idf, ["movie_id", "token"]).withColumn("w", F.col("tf") * F.col("idf"))
-    unseen = F.log(F.col("n") + 1.0) + 1  # of a token that no line of the film has
-    asked = in_quotes.join(n, "movie_id").join(idf, ["movie_id", "token"], "left").withColumn("v", F.col("tf") * F.coalesce("idf", unseen))
-    length = lambda d, c, w: d.groupBy("movie_id", c).agg(F.sqrt(F.sum(F.col(w) * F.col(w))).alias(f"size_{c}"))
-    dots = asked.select("movie_id", "quote_id", "token", "v").join(weighed.select("movie_id", "seq", "token", "w"), ["movie_id", "token"])
-    scored = dots.groupBy("movie_id", "quote_id", "seq").agg(F.sum(F.col("v") * F.col("w")).alias("d"))
-    scored = scored.join(length(weighed, "seq", "w"), ["movie_id", "seq"]).join(length(asked, "quote_id", "v"), ["movie_id", "quote_id"])
-    cosine = F.col("d") / (F.col("size_seq") * F.col("size_quote_id"))
-    best = scored.groupBy("movie_id", "quote_id").agg(F.max(F.struct(F.round(cosine, 12).alias("score"), (-F.col("seq")).alias("neg"))).alias("b"))
-    first = near.groupBy("movie_id").agg(F.min("seq").alias("first_seq"))  # what a quote that shares no token with any line gets
-    out = own.join(exact, ["movie_id", "quote_id"], "left").join(best, ["movie_id", "quote_id"], "left").join(first, "movie_id", "left")
+    # tokens of lines and quotes in one table: a film's token meets its document frequency, and a text its length, without a join
+    side = lambda d, c, quote: d.select("movie_id", F.col(c).alias("id"), F.lit(quote).alias("quote"), F.explode("tokens").alias("token"))
+    said = side(stored, "seq", False).unionByName(side(own, "quote_id", True)).groupBy("movie_id", "token", "quote", "id").agg(F.count("*").cast("double").alias("tf"))
+    df = F.count_if(~F.col("quote")).over(W.partitionBy("movie_id", "token"))
+    known = said.withColumn("df", df).join(films.select("movie_id", "n"), "movie_id")
+    weighed = known.withColumn("w", F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1))
+    sized = weighed.withColumn("size", F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("movie_id", "quote", "id"))))
+    asked = sized.where("quote").select("movie_id", "token", F.col("id").alias("quote_id"), F.col("w").alias("v"), F.col("size").alias("asked_size"))
+    met = asked.join(sized.where("NOT quote").select("movie_id", "token", F.col("id").alias("seq"), "w", "size"), ["movie_id", "token"])
+    dots = met.groupBy("movie_id", "quote_id", "seq").agg((F.sum(F.col("v") * F.col("w")) / (F.first("size") * F.first("asked_size"))).alias("cosine"))
+    best = dots.groupBy("movie_id", "quote_id").agg(F.max(F.struct(F.round("cosine", 12).alias("score"), (-F.col("seq")).alias("neg"))).alias("b"))
+    out = own.join(exact, ["movie_id", "quote_id"], "left").join(best, ["movie_id", "quote_id"], "left").join(films, "movie_id", "left")
     verbatim, any_token = F.col("exact_seq").isNotNull(), F.size("tokens") > 0
     seq = F.coalesce("exact_seq", -F.col("b.neg"), F.when(any_token, F.col("first_seq")))
     return out.select("movie_id", "quote_id", seq.alias("seq"), F.when(verbatim, 1.0).when(seq.isNotNull(), F.coalesce("b.score", F.lit(0.0))).alias("score"), verbatim.alias("verbatim"))
