@@ -63,7 +63,8 @@ def film(spark):
     base = spark.createDataFrame([(m, i, SAID[i % 4] + f" {m} {i}.") for m in (1, 2) for i in range(180)], "movie_id long, idx int, text string")
     rescue = spark.createDataFrame([(2, i, SAID[i % 4]) for i in range(160)], "movie_id long, idx int, text string")
     films = spark.createDataFrame([(1, False, "Home"), (2, True, None)], "movie_id long, musical boolean, title string")
-    return jobs.make_utterances([("base", base), ("rescue", rescue)], films, words(spark), spark.createDataFrame([(2,), (1,)], "movie_id long"))
+    made = jobs.make_utterances([("base", base), ("rescue", rescue)], films, words(spark), spark.createDataFrame([(2,), (1,)], "movie_id long"))
+    return {name: df.cache() for name, df in made.items()}
 
 
 def test_utterances_job(film):
@@ -78,6 +79,7 @@ def test_ladder_and_generation(spark, film, tmp_path):
     rng = np.random.default_rng(3)
     vectors = [(m, i, (lambda v: v / np.linalg.norm(v))(rng.standard_normal(6)).tolist()) for m in (1, 2) for i in range(60)]
     made = jobs.make_ladder(lines, spark.createDataFrame(vectors, "movie_id long, idx int, vec array<double>"))
+    made = {name: df.cache() for name, df in made.items()}
     assert made["beats"].where("generic BETWEEN 0 AND 1").count() == made["beats"].count() > 10
     windows = made["windows"].collect()
     assert {r.movie_id for r in windows} == {1, 2} and all(a.score <= b.score for a in windows for b in windows if a.movie_id == b.movie_id and a["rank"] < b["rank"])
