@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -91,6 +91,44 @@ def resolve(records: DataFrame) -> DataFrame:
     )
 
 
+#: What stands between two records; the first one follows the version line alone.
+BETWEEN = "\r\n\r\nWARC/1.0\r\n"
+FIRST = "^WARC/1[.]0\r\n"
+
+
+def _field(block: F.Column, name: str) -> F.Column:
+    """The value of a header in a block of them, null if it isn't there; of several the first."""
+    found = F.regexp_extract(block, rf"(?im)^{name}:[ \t]*(.*?)[ \t]*\r?$", 1)
+    return F.when(found != "", found)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """WARC files as records for `resolve`: responses and not-modified revisits, other records left out.
+
+    Files are cut at the lines between records, so plain ones are read in splits
+    and no task holds a file; compressed ones are a split each. record_id is a
+    hash of the record's own id, ts its date in microseconds; validators and
+    headers are those of the HTTP answer in it, a repeated header by its first
+    value. A record without id, URL or date has nulls there and resolves to
+    nothing. A folder without files gives an empty table.
+    """
+    split = spark.read.option("lineSep", BETWEEN).text(path).select(F.regexp_replace("value", FIRST, "").alias("value")).where(F.trim("value") != "")
+    head, block = F.substring_index("value", "\r\n\r\n", 1), F.regexp_extract("value", r"(?s)\A.*?\r\n\r\n(.*)\z", 1)
+    parts = split.select(head.alias("head"), F.substring_index(block, "\r\n\r\n", 1).alias("http"))
+    kind = F.lower(_field(F.col("head"), "WARC-Type"))
+    lines = F.filter(F.split("http", "\r?\n"), lambda x: x.rlike(r"^[^\s:]+:"))
+    pairs = F.transform(lines, lambda x: F.struct(F.lower(F.regexp_extract(x, r"^([^\s:]+):", 1)).alias("key"), F.trim(F.regexp_extract(x, r"^[^\s:]+:[ \t]*(.*?)\s*$", 1)).alias("value")))
+    names = F.transform(pairs, lambda p: p["key"])
+    headers = F.map_from_entries(F.filter(pairs, lambda p, k: F.array_position(names, p["key"]) == k + 1))
+    named = parts.select("head", headers.alias("headers"), kind.alias("kind")).where(F.col("kind").isin("response", "revisit"))
+    uri = F.regexp_replace(_field(F.col("head"), "WARC-Target-URI"), "^<|>$", "")
+    when = F.try_to_timestamp(_field(F.col("head"), "WARC-Date"))
+    return named.select(
+        F.when(_field(F.col("head"), "WARC-Record-ID").isNotNull(), F.xxhash64(_field(F.col("head"), "WARC-Record-ID"))).alias("record_id"), uri.alias("url"), F.unix_micros(when).alias("ts"), "kind",
+        F.try_element_at("headers", F.lit("etag")).alias("etag"), F.try_element_at("headers", F.lit("last-modified")).alias("last_modified"), "headers",
+    )
+
+
 def captures(pages: DataFrame) -> DataFrame:
     """An archive made of the pages table: each page's full response, and a later not-modified revisit of its URL.
 

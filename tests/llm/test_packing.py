@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 from hypothesis import given, settings
@@ -8,10 +9,15 @@ from hypothesis import strategies as st
 from parley.llm import packing
 
 
-def plain_ids(texts):
+@lru_cache(1)
+def fresh():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(packing.vocabulary_path())  # a fresh one, as its file has it
+    return Tokenizer.from_file(packing.vocabulary_path())  # as its file has it
+
+
+def plain_ids(texts):
+    t = fresh()
     return [e.ids + [0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 

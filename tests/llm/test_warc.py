@@ -66,5 +66,32 @@ def test_against_brute_force(spark, urls, many_ranges):
             assert got[k] == (max(before)[1] if before else None)
 
 
+def record(kind, number, url, date, http, body="text\r\n\r\nmore"):
+    block = f"HTTP/1.1 {'304 Not Modified' if kind == 'revisit' else '200 OK'}\r\n{http}\r\n\r\n{body}"
+    lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{number}>", f"WARC-Target-URI: {url}", f"WARC-Date: {date}", f"Content-Length: {len(block)}"]
+    return "WARC/1.0\r\n" + "\r\n".join(lines) + "\r\n\r\n" + block + "\r\n\r\n"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_records_of_files(spark, tmp_path, packed):
+    import gzip
+
+    text = "WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:0>\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    text += record("response", 1, "http://a.com/x", "2024-01-01T00:00:00Z", 'ETag: "v1"\r\nServer: s\r\nX: 1\r\nx: 2\r\nContent-Length: 9')
+    text += record("request", 2, "http://a.com/x", "2024-01-01T00:00:00Z", "Host: a.com")
+    text += record("revisit", 3, "<https://www.a.com:443/x/>", "2024-01-02T00:00:00Z", 'etag: W/"v1"\r\nDate: now', "")
+    text += record("revisit", 4, "http://a.com/x", "no date", 'etag: "v1"', "") + record("response", 5, "http://a.com/x", "2024-01-03T00:00:00Z", "Server: t", "é WARC/1.0")
+    text += record("revisit", 6, "http://a.com/x", "2024-01-04T00:00:00.5Z", "Date: later", "")
+    (tmp_path / ("a.warc.gz" if packed else "a.warc")).write_bytes(gzip.compress(text.encode()) if packed else text.encode())
+    records = warc.read_records(spark, str(tmp_path))
+    rows = sorted((r.asDict() for r in records.collect()), key=lambda r: (r["ts"] is None, r["ts"]))
+    assert [r["kind"] for r in rows] == ["response", "revisit", "response", "revisit", "revisit"]
+    assert rows[0]["etag"] == '"v1"' and rows[0]["headers"] == {"etag": '"v1"', "server": "s", "x": "1", "content-length": "9"} and rows[3]["ts"] == 1704326400500000
+    got = {r.record_id: r for r in warc.resolve(records).collect()}
+    assert [got[r["record_id"]].verdict for r in rows if r["kind"] == "revisit"] == ["resolved", "unverified", "orphan"]
+    first = got[rows[1]["record_id"]]
+    assert first.refers_to == rows[0]["record_id"] and first.headers == {"server": "s", "x": "1", "content-length": "9", "etag": 'W/"v1"', "date": "now"}
+
+
 def test_empty(spark):
     assert warc.resolve(spark.createDataFrame([], SCHEMA)).collect() == []
