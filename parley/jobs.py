@@ -25,11 +25,12 @@ def _ordered(found: DataFrame, *order: str) -> DataFrame:
 
 
 def extract(transcripts: DataFrame, div: str = "scrolling-script-container", least: int = LEAST_CUES) -> dict[str, DataFrame]:
-    """Transcript pages (movie_id, html) to cues, and a report per film: cues, fallback (sentences, for want of breaks), warning (too few)."""
-    inner = transcripts.select("movie_id", F.coalesce(pages.div_by_class(F.col("html"), div), "html").alias("inner"))
-    parted = inner.select("movie_id", pages.page_cues(F.col("inner")).alias("c"), (F.size(pages.break_cues(F.col("inner"))) < 10).alias("few"))
+    """Transcript pages (movie_id, html) to cues, and a report per film: cues, fallback (sentences, for want of breaks), warning (too few; a page without the container has none)."""
+    inner = transcripts.select("movie_id", F.coalesce(pages.div_by_class(F.col("html"), div), F.lit("")).alias("inner"))
+    parted = inner.select("movie_id", pages.page_cues(F.col("inner")).alias("c"), F.size(pages.break_cues(F.col("inner"))).alias("parts"))
     found = parted.select("movie_id", F.posexplode("c").alias("idx", "text"))
-    report = parted.select("movie_id", F.size("c").alias("cues"), (F.col("few") & (F.size("c") >= 10)).alias("fallback"), (F.size("c") < least).alias("warning"))
+    fallback = (F.col("parts") < 10) & (F.size("c") > F.col("parts"))
+    report = parted.select("movie_id", F.size("c").alias("cues"), fallback.alias("fallback"), (F.size("c") < least).alias("warning"))
     return {"cues": found, "report": report}
 
 
@@ -42,20 +43,21 @@ def rescue_screenplays(movies: DataFrame, have: DataFrame, scripts: DataFrame, l
 
 
 def rescue_subtitle_pages(movies: DataFrame, have: DataFrame, subtitles: DataFrame, least: int = LEAST_CUES) -> DataFrame:
-    """Cues of films without a transcript out of subtitle pages (movie_id, html) whose heading names a year at most one off."""
+    """Cues of films without a transcript out of subtitle pages (movie_id, html) whose heading names no year or one at most one off."""
     gaps = titles.missing(movies, have).select(F.col("id").alias("movie_id"), "year")
     dated = subtitles.join(gaps, "movie_id").withColumn("said", pages.heading_year(F.col("html")))
-    able = dated.where(F.abs(F.col("said") - F.col("year")) <= 1)
+    able = dated.where(F.col("said").isNull() | (F.abs(F.col("said") - F.col("year")) <= 1))
     return _enough(able.select("movie_id", F.posexplode(pages.subtitle_cues(F.col("html"))).alias("idx", "text")), least)
 
 
-def upgrade(old_scores: DataFrame, named: DataFrame, drafts: DataFrame, found: DataFrame, dictionary: DataFrame, movies: DataFrame) -> DataFrame:
-    """Films of the worst decile, of the named ones or with drafts, whose found cues (movie_id, idx, text) are better than the old ones; drafts are always replaced."""
+def upgrade(old_scores: DataFrame, named: DataFrame, drafts: DataFrame, found: DataFrame, dictionary: DataFrame, movies: DataFrame, least: int = LEAST_CUES) -> DataFrame:
+    """Films of the worst decile, of the named ones or with drafts, whose found cues (movie_id, idx, text) are enough and better than the old ones; named ones and drafts are always replaced."""
     worst = quality.worst_decile(old_scores).where("downrank")
     wanted = titles.targets([worst, named, drafts], movies)
-    fresh = found.join(wanted, "movie_id", "left_semi")
-    kind = quality.score_films(fresh, dictionary).join(drafts.select("movie_id", F.lit("draft").alias("kind")), "movie_id", "left").na.fill("page", ["kind"])
-    chosen = titles.better_layer(old_scores, kind, ["draft"]).where("replace").select("movie_id")
+    fresh = _enough(found.join(wanted, "movie_id", "left_semi"), least)
+    always = named.select("movie_id").union(drafts.select("movie_id")).distinct().withColumn("kind", F.lit("always"))
+    scored = quality.score_films(fresh, dictionary).join(always, "movie_id", "left").na.fill("page", ["kind"])
+    chosen = titles.better_layer(old_scores, scored, ["always"]).where("replace").select("movie_id")
     return fresh.join(chosen, "movie_id", "left_semi")
 
 

@@ -66,9 +66,12 @@ def missing(movies: DataFrame, scripts: DataFrame, most: int | None = None) -> D
     return gaps if most is None else gaps.limit(most)
 
 
-def slice_of(movies: DataFrame, scripts: DataFrame, most: int | None = 300) -> DataFrame:
-    """Films with a script, most voted first; all of them where `most` is None."""
-    able = movies.join(scripts.select(F.col("movie_id").alias("id")), "id", "left_semi").orderBy(F.desc("votes"), "id")
+def slice_of(movies: DataFrame, scripts: DataFrame, most: int | None = 300, rescued: DataFrame | None = None) -> DataFrame:
+    """Films with a script, most voted first; where `most` is None all of them, and those that were rescued (movie_id)."""
+    have = scripts.select(F.col("movie_id").alias("id"))
+    if most is None and rescued is not None:
+        have = have.union(rescued.select("movie_id")).distinct()
+    able = movies.join(have, "id", "left_semi").orderBy(F.desc("votes"), "id")
     return able if most is None else able.limit(most)
 
 

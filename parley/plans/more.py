@@ -167,9 +167,10 @@ def retry_waits(c: Corpus) -> DataFrame:
 def subtitle_page_cues(c: Corpus) -> DataFrame:
     """Lines as the divs of a subtitle page, in two paragraphs where they have a space."""
     plain = F.translate("text", "<>&", "")
-    div = F.concat(F.lit('<div class="x subtitle-cue"><p>'), F.regexp_replace(plain, "^(\\S+) ", "$1</p><p>"), F.lit('</p></div><div class="other">no</div>'))
+    div = F.concat(F.lit('<div class="subtitle-cue"><p>'), F.regexp_replace(plain, "^(\\S+) ", "$1</p><p>"), F.lit('</p></div><div class="other">no</div>'))
     made = c.lines.withColumn("div", div).groupBy("movie_id").agg(F.array_sort(F.collect_list(F.struct("seq", "div"))).alias("d"))
-    return made.select("movie_id", F.posexplode(pages.subtitle_cues(F.array_join(F.transform("d", lambda x: x["div"]), "\n"))).alias("idx", "text"))
+    page = F.concat(F.lit('<div class="full-script">'), F.array_join(F.transform("d", lambda x: x["div"]), "\n"), F.lit("</div>"))
+    return made.select("movie_id", F.posexplode(pages.subtitle_cues(page)).alias("idx", "text"))
 
 
 # --- search and films -----------------------------------------------------------

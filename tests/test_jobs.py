@@ -19,26 +19,27 @@ SAID = ["We know what you said.", "It was not a lie.", "What about the road home
 def test_transcripts(spark):
     broken = "<div class='x'>no</div><div class=\"scrolling-script-container\">" + "<br>".join(SAID * 3) + "</div><br>outside"
     plain = '<div class="scrolling-script-container"> ' + " ".join(SAID * 3) + " </div>"
-    made = jobs.extract(spark.createDataFrame([(1, broken), (2, plain), (3, "<p>nothing here</p>")], "movie_id long, html string"), least=12)
+    made = jobs.extract(spark.createDataFrame([(1, broken), (2, plain), (3, "<p>no container</p>"), (4, '<div class="scrolling-script-container">one<br>two</div>')], "movie_id long, html string"), least=12)
     got = {}
     for r in made["cues"].orderBy("movie_id", "idx").collect():
         got.setdefault(r.movie_id, []).append(r.text)
-    assert got[1] == SAID * 3 and got[2] == SAID * 3 and got[3] == ["nothing here"]
-    assert sorted(map(tuple, made["report"].collect())) == [(1, 12, False, False), (2, 12, True, False), (3, 1, False, True)]
+    assert got[1] == SAID * 3 and got[2] == SAID * 3 and 3 not in got and got[4] == ["one", "two"]
+    assert sorted(map(tuple, made["report"].collect())) == [(1, 12, False, False), (2, 12, True, False), (3, 0, False, True), (4, 2, False, True)]
 
 
 def test_rescues(spark):
-    movies = spark.createDataFrame([(1, "A", 1999, 5), (2, "B", 2001, 9), (3, "C", 2001, 1)], "id long, title string, year int, votes long")
+    movies = spark.createDataFrame([(1, "A", 1999, 5), (2, "B", 2001, 9), (3, "C", 2001, 1), (4, "D", 1950, 0)], "id long, title string, year int, votes long")
     have = spark.createDataFrame([(3,)], "movie_id long")
     body = "".join(f"          ANN\n   {s}\n\n" for s in SAID) + "          ANN\n   EVERYBODY RUNS AWAY NOW!\n\n"
     scripts = spark.createDataFrame([(1, f"<pre>{body}</pre>"), (3, f"<pre>{body}</pre>")], "movie_id long, html string")
     got = jobs.rescue_screenplays(movies, have, scripts, least=4).orderBy("idx").collect()
     assert {r.movie_id for r in got} == {1} and [r.text for r in got] == SAID
     assert jobs.rescue_screenplays(movies, have, scripts, least=9).count() == 0
-    cue = "".join(f'<div class="subtitle-cue"><p>{s}</p><p>Yes.</p></div>' for s in SAID)
-    subtitles = spark.createDataFrame([(1, f"<h1>A (2002)</h1>{cue}"), (2, f"<h1>B (2002)</h1>{cue}"), (3, f"<h1>C (2001)</h1>{cue}")], "movie_id long, html string")
+    cue = "".join(f'<div class="subtitle-cue"><p>{s}</p><p>&#89;es <i>x</i>&amp;.</p></div>' for s in SAID)
+    cue = f'<div class="subtitle-cue"><p>outside</p></div><div class="full-script">{cue}<div class="other"><p>no</p></div></div>'
+    subtitles = spark.createDataFrame([(1, f"<h1>A (2002)</h1>{cue}"), (2, f"<h1>B (2002)</h1>{cue}"), (3, f"<h1>C (2001)</h1>{cue}"), (4, f"<h1>D</h1>{cue}")], "movie_id long, html string")
     got = jobs.rescue_subtitle_pages(movies, have, subtitles, least=4).orderBy("idx").collect()
-    assert {r.movie_id for r in got} == {2} and [r.text for r in got] == [f"{s} Yes." for s in SAID]
+    assert {r.movie_id for r in got} == {2, 4} and [r.text for r in got if r.movie_id == 2] == [f"{s} Yes x &." for s in SAID]
 
 
 def test_upgrades(spark):
@@ -47,8 +48,8 @@ def test_upgrades(spark):
     scores = frame([(k, 95.0 if k < 19 else 10.0) for k in range(1, 21)], "movie_id long, score double")
     found = frame([(m, i, s) for m in (1, 2, 5, 19) for i, s in enumerate(SAID)], "movie_id long, idx int, text string")
     bad = frame([(20, 0, "lf l wh\"t zz"), (20, 1, "qq")], "movie_id long, idx int, text string")
-    better = jobs.upgrade(scores, frame([(2,)], "movie_id long"), frame([(5,)], "movie_id long"), found.unionByName(bad), words(spark), movies)
-    assert {r.movie_id for r in better.collect()} >= {5, 19} and 1 not in {r.movie_id for r in better.collect()}
+    better = jobs.upgrade(scores, frame([(2,)], "movie_id long"), frame([(5,)], "movie_id long"), found.unionByName(bad), words(spark), movies, least=2)
+    assert {r.movie_id for r in better.collect()} == {2, 5, 19}  # named, a draft, and better than its old score; 20 is worse still
     saved = frame([(1, "a", "done", 1), (2, "b", "pending", 2)], "movie_id long, title string, status string, attempts int")
     files = frame([(m, f"1\n00:00:01,000 --> 00:00:02,000\nHello {m}\n") for m in range(1, 5)], "movie_id long, value string")
     outcomes = frame([(2, "failed"), (3, "found"), (4, "found")], "movie_id long, outcome string")
