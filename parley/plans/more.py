@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analytics, corpus, cues, film, genstore, ladder, quality, retrieval, titles
+from ..operators import analytics, corpus, film, genstore, ladder, quality, retrieval, titles, vector_index
 from ..sources import pages, tables
-from ..sources.stored import shared_folder
+from ..sources.stored import temporary
 from ..streaming import logs
-from .bindings import CUES, LINES, LOG, MOVIES, QUALITY, WINDOWS, Corpus, normal_sql, sql
-from .catalog import BEST, CAPITALS, CLIPPED, CUTS, KEYED, META, QUOTED, SCORED, SEGMENTS, _recursive, _scored, query, r
+from .bindings import CUES, LINES, LOG, MOVIES, QUALITY, QUERY, WINDOWS, Corpus, normal_sql, sql
+from .catalog import BEST, CLIPPED, CUTS, KEYED, KNN, META, QUOTED, SCORED, SEGMENTS, _recursive, _scored, query, r
 
 # --- text ---------------------------------------------------------------------
 
@@ -84,8 +82,7 @@ def visitor_hashes(c: Corpus) -> DataFrame:
 
 
 def _folder(c: Corpus, name: str) -> str:
-    """A fresh folder among the shared ones."""
-    return f"{shared_folder(c.spark)}/parley-{name}-{uuid.uuid4().hex}"
+    return temporary(c.spark, name)
 
 
 @query("SELECT doc_id, sha256(text) AS text_hash, lang FROM documents")
@@ -182,6 +179,25 @@ def token_lookup(c: Corpus) -> DataFrame:
     return tables.token_index(c.lines).where("token = 'the' AND movie_id % 7 = 0").select("movie_id", "seq")
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def _index(c: Corpus) -> str:
+    """The index of the vectors, built when first asked for."""
+    key = (c.spark.sparkContext.applicationId, c.dir)
+    if key not in _indexes:
+        path = _folder(c, "index")
+        vector_index.build(c.windows, path)
+        _indexes[key] = path
+    return _indexes[key]
+
+
+@query(sql([WINDOWS, QUERY], f"SELECT vec_id, round({KNN}, 6) AS dist FROM windows, q ORDER BY {KNN}, vec_id LIMIT 24"))
+def knn_indexed(c: Corpus) -> DataFrame:
+    """The exact nearest vectors through the index of cells."""
+    return vector_index.nearest(c.spark, _index(c), c.query_vector, 24, "vec_id").select("vec_id", r("dist").alias("dist"))
+
+
 @query(sql([MOVIES, *BEST, f"""pairs AS (SELECT movie_id, n AS rank, other AS similar_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY movie_id ORDER BY round(score, 12) DESC, other DESC) AS n FROM (
   SELECT s.movie_id, s.other, 0.7 * seg + 0.3 * ({META.format(a='a', b='b')}) AS score FROM seg s JOIN movies a ON a.id = s.movie_id JOIN movies b ON b.id = s.other)) WHERE n <= 12)"""],
   "SELECT movie_id, rank::INT AS rank, similar_id, title, year, score FROM pairs JOIN movies ON id = similar_id WHERE rank <= 8"))

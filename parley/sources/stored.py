@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[tuple[str, str], tuple[SparkSession, str]] = {}
+_temporary: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,11 +35,18 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """The path of a fresh folder among the shared ones, which is deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/parley-{name}-{uuid.uuid4().hex}"
+    _temporary.append((spark, path))
+    return path
+
+
 def stored(spark: SparkSession, name: str, made: Callable[[], DataFrame]) -> DataFrame:
     """The table of that name: written when first asked for, read from then on until the driver ends or `forget` is called."""
     key = (spark.sparkContext.applicationId, name)
     if key not in _written:
-        path = f"{shared_folder(spark)}/parley-stored-{uuid.uuid4().hex}"
+        path = temporary(spark, "stored")
         made().write.option("compression", "zstd").parquet(path)
         _written[key] = (spark, path)
     return spark.read.parquet(_written[key][1])
@@ -51,7 +59,7 @@ def forget(spark: SparkSession, name: str | None = None) -> None:
 
 
 def _at_exit() -> None:
-    for spark, path in _written.values():
+    for spark, path in _temporary:
         if spark._sc is not None and spark._sc._jsc is not None:
             delete(spark, path)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import diff, hashing
 from parley.functions import text as T
-from parley.operators import analytics, corpus, cues, film, genstore, ladder, quality, retrieval
+from parley.operators import analytics, corpus, cues, film, genstore, ladder, quality, retrieval, titles
 from parley.sources import pages, tables
 from parley.streaming import logs
 
@@ -413,6 +413,23 @@ def test_genericness_masks_own_film(spark):
         corpus.genericness(w.limit(10))
 
 
+def test_vector_sample_is_bounded_and_steady(spark):
+    rows = [(m, i, [float(m), float(i), 1.0]) for m in range(30) for i in range(20)]
+    w = spark.createDataFrame(rows, "movie_id long, idx long, vec array<double>")
+    one, two = (corpus.vector_sample(d, 50) for d in (w, w.repartition(7)))
+    assert len(one) == 50 and sorted(map(tuple, one["vec"])) == sorted(map(tuple, two["vec"])) and one["movie_id"].nunique() > 10
+    assert len(corpus.vector_sample(w, 10_000)) == 600
+    scored = corpus.genericness(w, one).collect()
+    assert len(scored) == 600 and all(0 <= r.generic <= 1 for r in scored)
+
+
+def test_slice(spark):
+    movies = spark.createDataFrame([(m, m * 10) for m in range(1, 6)], "id long, votes long")
+    scripts, rescued = spark.createDataFrame([(1,), (3,), (5,)], "movie_id long"), spark.createDataFrame([(2,), (5,)], "movie_id long")
+    assert [r.id for r in titles.slice_of(movies, scripts, 2, rescued).collect()] == [5, 3]
+    assert [r.id for r in titles.slice_of(movies, scripts, None, rescued).collect()] == [5, 3, 2, 1]
+
+
 def test_logs(spark, tmp_path):
     rows = [("2024-01-01 00:00:00", "q", "q", 70000, 1, True, 1.5, "v"), ("2024-06-01 00:00:00", " ", " ", 0, 0, False, 9e9, "v"), ("2024-07-01 00:00:00", "z", "z", 0, 0, False, 9e9, "w")]
     schema = "ts string, query string, query_norm string, hits int, strong int, had_movie boolean, took_ms double, visitor string"
@@ -439,7 +456,6 @@ def test_best_matches_in_blocks(spark):
 
 
 def test_titles_resolve_in_order(spark):
-    from parley.operators import titles
 
     index = spark.createDataFrame([("a", "Alien"), ("b", "Blade Runner: The Final Cut"), ("c", "The Thing")], "slug string, title string")
     aliases = spark.createDataFrame([("Das Ding", "Thing")], "alias string, title string")
