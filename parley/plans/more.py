@@ -182,7 +182,7 @@ def token_lookup(c: Corpus) -> DataFrame:
 _indexes: dict[tuple[str, str], str] = {}
 
 
-def _index(c: Corpus) -> str:
+def index_of(c: Corpus) -> str:
     """The index of the vectors, built when first asked for."""
     key = (c.spark.sparkContext.applicationId, c.dir)
     if key not in _indexes:
@@ -195,7 +195,7 @@ def _index(c: Corpus) -> str:
 @query(sql([WINDOWS, QUERY], f"SELECT vec_id, round({KNN}, 6) AS dist FROM windows, q ORDER BY {KNN}, vec_id LIMIT 24"))
 def knn_indexed(c: Corpus) -> DataFrame:
     """The exact nearest vectors through the index of cells."""
-    return vector_index.nearest(c.spark, _index(c), c.query_vector, 24, "vec_id").select("vec_id", r("dist").alias("dist"))
+    return vector_index.nearest(c.spark, index_of(c), c.query_vector, 24, "vec_id").select("vec_id", r("dist").alias("dist"))
 
 
 @query(sql([MOVIES, *BEST, f"""pairs AS (SELECT movie_id, n AS rank, other AS similar_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY movie_id ORDER BY round(score, 12) DESC, other DESC) AS n FROM (
