@@ -56,6 +56,8 @@ LOW = 0.3
 GAMMA = 0.9
 #: Verdicts of more values than this are shuffled, not broadcast.
 FEW = 200_000
+#: Contributions that a Python worker gathers before it passes them on, besides the last page's.
+PIECE = 20_000
 
 
 @dataclass
@@ -237,7 +239,8 @@ def _mass(blocks: list[Block]) -> int:
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(page, host, html) -> the page's contribution to its site's style tree; kind 0 content, 1 style, 2 page, 3 block of an article or main element.
 
-    `copy` is the same for pages whose main text is the same.
+    `copy` is the same for pages whose main text is the same. A batch of many
+    or long pages is passed on in pieces.
     """
     for batch in batches:
         rows: list[tuple[int, int, int, int, int, int]] = []
@@ -249,8 +252,15 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own |= {(host, p, 2, 0, copy) for _, p, *_ in own}
             own |= {(host, _hash(b.path), 3, _feature(b), copy) for b in inner if b.main}
             rows.extend((key, *x) for x in own)
-        found = np.array(rows, np.int64).reshape(-1, 6)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(6)], ["page", "host", "path", "kind", "feature", "copy"])
+            if len(rows) >= PIECE:
+                yield _piece(rows)
+                rows = []
+        yield _piece(rows)
+
+
+def _piece(rows: list[tuple[int, int, int, int, int, int]]) -> pa.RecordBatch:
+    found = np.array(rows, np.int64).reshape(-1, 6)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(6)], ["page", "host", "path", "kind", "feature", "copy"])
 
 
 def site_counts(rows: DataFrame) -> DataFrame:
@@ -259,24 +269,28 @@ def site_counts(rows: DataFrame) -> DataFrame:
     return once.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"), F.count("*").alias("copies"))
 
 
-def site_tree(counts: DataFrame, of: str = "n") -> DataFrame:
-    """Counts -> (host, path, pages, importance): a node's entropy of presentation and of content over the site's pages, or over its main texts (`of` copies).
+def site_tree(counts: DataFrame) -> DataFrame:
+    """Counts -> (host, path, importance, among_texts): a node's entropy of presentation and of content over the site's pages, and over its main texts.
 
-    Merged by counts with partial aggregation, so a host with a third of all
-    pages is no hot group.
+    Both are null where too few pages or texts tell. Merged by counts with
+    partial aggregation, so a host with a third of all pages is no hot group.
     """
-    n = F.col(of).cast("double")
-    merged = counts.where("kind < 3").groupBy("host", "path").agg(
-        F.max(F.when(F.col("kind") == 2, n)).alias("pages"),
-        F.sum(F.when(F.col("kind") == 1, n)).alias("styles"),
-        F.sum(F.when(F.col("kind") == 1, n * F.log(n))).alias("style_sum"),
-        F.sum(F.when(F.col("kind") == 0, n)).alias("contents"),
-        F.sum(F.when(F.col("kind") == 0, n * F.log(n))).alias("content_sum"),
-    )
-    scale = F.log(F.col("pages").cast("double"))
-    style = F.when(F.col("styles") > 0, (F.log("styles") - F.col("style_sum") / F.col("styles")) / scale).otherwise(F.lit(0.0))
-    content = 1 - F.col("content_sum") / F.col("contents") / scale
-    return merged.where(f"pages >= {MIN_PAGES} AND contents > 0").select("host", "path", "pages", ((1 - GAMMA) * style + GAMMA * content).alias("importance"))
+    sums, importance = [], []
+    for of, name in (("n", "importance"), ("copies", "among_texts")):
+        n = F.col(of).cast("double")
+        sums += [
+            F.max(F.when(F.col("kind") == 2, n)).alias(f"{of}_pages"),
+            F.sum(F.when(F.col("kind") == 1, n)).alias(f"{of}_styles"),
+            F.sum(F.when(F.col("kind") == 1, n * F.log(n))).alias(f"{of}_style_sum"),
+            F.sum(F.when(F.col("kind") == 0, n)).alias(f"{of}_contents"),
+            F.sum(F.when(F.col("kind") == 0, n * F.log(n))).alias(f"{of}_content_sum"),
+        ]
+        pages, styles, style_sum, contents, content_sum = (F.col(f"{of}_{k}") for k in ("pages", "styles", "style_sum", "contents", "content_sum"))
+        scale = F.log(pages)
+        style = F.when(styles > 0, (F.log(styles) - style_sum / styles) / scale).otherwise(F.lit(0.0))
+        content = 1 - content_sum / contents / scale
+        importance.append(F.when((pages >= MIN_PAGES) & (contents > 0), (1 - GAMMA) * style + GAMMA * content).alias(name))
+    return counts.where("kind < 3").groupBy("host", "path").agg(*sums).select("host", "path", *importance)
 
 
 def _extract(names: list[str], html_at: int, low_at: int, repeated_at: int):
@@ -311,10 +325,10 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", pag
     plain = plain.withColumn("page", F.xxhash64("host", "html"))  # pages alike in both share their verdicts
     merged = plain.select("page", "host", "html").mapInArrow(_merge, "page long, host long, path long, kind long, feature long, copy long")
     rows = scratch.keep(merged, "rows")
-    counts = scratch.keep(site_counts(rows), "counts")
-    branches = scratch.keep(site_tree(counts).where(F.col("importance") < LOW).select("host", "path"), "branches")
-    inner = scratch.keep(site_tree(counts, "copies").where(F.col("importance") < LOW).select("host", "path"), "inner")
-    shared = scratch.keep(counts.where("kind = 3 AND copies > 1").join(inner, ["host", "path"]).select("host", "path", "feature"), "shared")
+    tree = scratch.keep(site_tree(site_counts(rows.where("kind < 3"))).where(f"importance < {LOW} OR among_texts < {LOW}"), "tree")
+    branches, inner = (tree.where(F.col(k) < LOW).select("host", "path") for k in ("importance", "among_texts"))
+    shared = site_counts(rows.where("kind = 3")).where("copies > 1").join(inner, ["host", "path"])
+    shared = scratch.keep(shared.select("host", "path", "feature"), "shared")
     none = F.lit(None).cast("long")
     low = rows.where("kind = 0").join(branches, ["host", "path"]).select("page", F.col("path").alias("low"), none.alias("repeated"))
     repeated = rows.where("kind = 3").join(shared, ["host", "path", "feature"]).select("page", none.alias("low"), F.col("feature").alias("repeated"))

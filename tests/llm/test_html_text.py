@@ -3,8 +3,11 @@ import math
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
-from parley.llm import html_text
+import pyarrow as pa
+
+from parley.llm import html_text, scratch
 
 
 def text(page):
@@ -184,3 +187,32 @@ def test_tree_against_brute_force(spark):
 
 def test_empty(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_counts_are_not_written(spark):
+    """Each written file costs an executor a few processes, so tables between stages hold what decides and no count of every block."""
+    pages = [(k, f"http://s{k % 40}.com/{k}", f"<div>Same words</div><div><p>Story {k}</p></div>") for k in range(160)]  # too few a host to tell
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.page_id: r.text for r in got} == {k: f"Same words\nStory {k}" for k in range(160)}
+    folder = Path(scratch._made[-1][1].removeprefix("file:"))
+    assert len(list(folder.rglob("part-*.parquet"))) < 32
+
+
+def test_batches_are_passed_on_in_pieces(monkeypatch):
+    pages = [f"<article><p>Story {k}</p><p>told in two parts</p></article>" for k in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([7] * 200), pa.array(pages)], ["page", "host", "html"])
+    whole = pa.Table.from_batches(html_text._merge(iter([batch])))
+    most = max(whole.column("page").to_pylist().count(k) for k in range(200))
+    monkeypatch.setattr(html_text, "PIECE", 50, raising=False)
+    pieces = list(html_text._merge(iter([batch])))
+    assert max(p.num_rows for p in pieces) < 50 + most
+    rows = lambda table: sorted(zip(*(c.to_pylist() for c in table.columns)))
+    assert rows(pa.Table.from_batches(pieces)) == rows(whole)
