@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import capital_share, jaccard, words_of
 from ..functions.vectors import mean_vectors
+from ..sources.stored import temporary
+from .blocks import TopMean, streamed
 
 SAMPLE, TOP = 10_240, 32
+#: Windows in a block at least, where there are more blocks than tasks to run at once, and at most.
+LEAST_ROWS, MOST_ROWS = 512, 32_768
 #: What credit cards and dedications say.
 CREDIT_TEXT = r"(?i)(?<![A-Za-z0-9_])(dedicated to|in (loving )?memory|subtitles? by|directed by|produced by|screenplay by|based (up)?on the)(?![A-Za-z0-9_])"
 ARC_MARGIN = 0.02
@@ -33,31 +37,29 @@ def vector_sample(windows: DataFrame, n: int = SAMPLE) -> pd.DataFrame:
 
 
 def genericness(windows: DataFrame, sample: pd.DataFrame | None = None, top: int = TOP) -> DataFrame:
-    """windows (movie_id, idx, vec) with raw (mean of the `top` nearest sampled windows of other films) and generic (scaled to 0-1).
+    """windows (movie_id, idx, vec) with raw (mean of the `top` nearest windows of other films) and generic (scaled to 0-1).
 
     Own-film cosines count as -1, so a window with fewer than `top` foreign
-    neighbours averages those in. The sample is a broadcast of bounded size and
-    each Arrow batch is one matrix product.
+    neighbours averages those in. All windows are compared with all others, or
+    with the rows of `sample` (movie_id, vec) where one is given: a block of
+    windows stays in its task and the others stream past it. The raw scores are
+    written once, as their bounds need a pass of their own.
     """
-    sample = vector_sample(windows) if sample is None else sample
-    if len(sample) < top:
-        raise ValueError(f"the sample has {len(sample)} rows, fewer than {top}")
-    bound = windows.sparkSession.sparkContext.broadcast((sample["movie_id"].to_numpy(), np.stack(sample["vec"]).astype(np.float64)))
-
-    def score(batches):
-        films, x = bound.value
-        for pdf in batches:
-            raw = np.empty(len(pdf))
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
-                near = np.stack(part["vec"]).astype(np.float64) @ x.T
-                near[part["movie_id"].to_numpy()[:, None] == films[None, :]] = -1.0
-                raw[at : at + 512] = np.partition(near, len(films) - top, axis=1)[:, -top:].mean(axis=1)
-            yield pdf[["movie_id", "idx"]].assign(raw=raw)
-
+    spark, own = windows.sparkSession, windows.select("movie_id", "idx", "vec")
+    other = own.select("movie_id", "vec") if sample is None else spark.createDataFrame(sample[["movie_id", "vec"]], own.select("movie_id", "vec").schema)
+    n, m = own.count(), other.count() if sample is None else len(sample)
+    if m < top:
+        raise ValueError(f"there are {m} rows to compare with, fewer than {top}")
+    groups = max(-(-n // MOST_ROWS), min(-(-n // LEAST_ROWS), 2 * spark.sparkContext.defaultParallelism), 1)
+    dealt = own.select(F.pmod(F.xxhash64("movie_id", "idx"), F.lit(groups)).cast("int").alias("block"), F.lit(0).alias("side"), "movie_id", "idx", "vec")
+    stream = other.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("block"), F.lit(1).alias("side"), "movie_id", F.lit(None).cast(own.schema["idx"].dataType).alias("idx"), "vec")
     types = {c: windows.schema[c].dataType.simpleString() for c in ("movie_id", "idx")}
-    scored = windows.select("movie_id", "idx", "vec").mapInPandas(score, f"movie_id {types['movie_id']}, idx {types['idx']}, raw double")
-    return min_max(scored, "raw", "generic")
+    scored = streamed(
+        dealt.unionByName(stream).repartitionById(groups, "block"), ["block"], lambda key, rows: TopMean(rows, top), f"movie_id {types['movie_id']}, idx {types['idx']}, raw double"
+    )
+    path = temporary(spark, "generic")
+    scored.write.parquet(path)
+    return min_max(spark.read.parquet(path), "raw", "generic")
 
 
 def best_matches(segments: DataFrame, block: int = 8192, slice_rows: int = 512) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions import vectors as V
 from ..functions import misquotes
 from ..operators import analytics, corpus, cues, film, genstore, ladder, quality, retrieval, titles
 from ..sources import pages
+from ..sources.stored import stored
 from .bindings import CUES, LINES, LOG, MOVIES, PAIRED, QUALITY, QUERY, WINDOWS, Corpus, normal_sql, sql
 
 PHRASE = "the"
@@ -454,9 +455,13 @@ RAW = [WINDOWS, """near AS (SELECT a.movie_id, a.idx, CASE WHEN a.movie_id = b.m
   """generic AS (SELECT *, (raw - min(raw) OVER ()) / greatest(max(raw) OVER () - min(raw) OVER (), 1e-9) AS generic FROM raw)"""]
 
 
+def _generic(c: Corpus) -> DataFrame:
+    return stored(c.spark, f"generic of {c.dir}", lambda: corpus.genericness(c.windows))
+
+
 @query(sql(RAW, "SELECT movie_id, idx, round(raw, 6) AS raw, round(generic, 6) AS generic FROM generic"))
 def genericness_topk_mean(c: Corpus) -> DataFrame:
-    return corpus.genericness(c.windows).select("movie_id", "idx", r("raw").alias("raw"), r("generic").alias("generic"))
+    return _generic(c).select("movie_id", "idx", r("raw").alias("raw"), r("generic").alias("generic"))
 
 
 @query(sql([MOVIES], "SELECT id, round((votes - min(votes) OVER ())::DOUBLE / greatest(max(votes) OVER () - min(votes) OVER (), 1e-9), 6) AS scaled FROM movies"))
@@ -501,7 +506,7 @@ RANKED = [*CUTS, *RAW[1:], SEGMENTS, """means AS (SELECT s.movie_id, s.idx, avg(
 
 
 def _ranked(c: Corpus) -> DataFrame:
-    return corpus.ranked_windows(ladder.segments(c.windows), corpus.genericness(c.windows))
+    return corpus.ranked_windows(ladder.segments(c.windows), _generic(c))
 
 
 @query(_recursive(RANKED, "SELECT movie_id, idx::INT AS idx, round(score, 6) AS score, rank::INT AS rank FROM ranked"))
@@ -587,7 +592,7 @@ CROSS = [*RAW, "g AS (SELECT w.movie_id, w.idx, vec, generic FROM windows w JOIN
 
 
 def _bridge_sides(c: Corpus) -> tuple[DataFrame, DataFrame]:
-    scored = c.windows.select("movie_id", "idx", "vec").join(corpus.genericness(c.windows).select("movie_id", "idx", "generic"), ["movie_id", "idx"])
+    scored = c.windows.select("movie_id", "idx", "vec").join(_generic(c).select("movie_id", "idx", "generic"), ["movie_id", "idx"])
     left = scored.select(F.col("movie_id").alias("a"), (F.col("movie_id") + 1).alias("b"), "idx", "vec", "generic")
     right = scored.select((F.col("movie_id") - 1).alias("a"), F.col("movie_id").alias("b"), "idx", "vec", "generic")
     return left, right
@@ -604,7 +609,12 @@ ALIKE = [*DRAWN, *CROSS[1:], """contrasted AS (SELECT *, score - (avg(score) OVE
 
 
 def _drawn(c: Corpus) -> DataFrame:
-    return c.paired.join(corpus.genericness(c.paired).select("movie_id", "idx", "generic"), ["movie_id", "idx"])
+    """The paired windows with their genericness, which is worked out once and stored."""
+
+    def made() -> DataFrame:
+        return c.paired.join(corpus.genericness(c.paired).select("movie_id", "idx", "generic"), ["movie_id", "idx"])
+
+    return stored(c.spark, f"drawn of {c.dir}", made)
 
 
 def _film_pairs(c: Corpus) -> DataFrame:
