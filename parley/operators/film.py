@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import clip, excerpt
+from ..functions.vectors import dot, mean_rows
 from . import titles
+from .blocks import Crossed, streamed
 from .retrieval import flagged, nearest
 
 LAMBDA, EXCESS, STRENGTH, CONSENSUS, PAIRS = 0.75, 0.05, 0.25, 0.28, 5
 ALIKE = 0.843
 SOURCE_LINES = 25
+#: Windows of the left film of a pair in one block.
+BLOCK = 16_384
 
 
 def headers(movies: DataFrame, lines: DataFrame) -> DataFrame:
@@ -100,62 +103,54 @@ def pair_similarity(pairs: DataFrame, a: int, b: int) -> DataFrame:
     return pairs.where(one).agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("score"))
 
 
-def _matrices(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray] | None:
-    """Both sides of one pair of films in order, and their adjusted scores."""
-    a, b = (pdf[pdf["side"] == k].sort_values("idx") for k in (0, 1))
-    if not len(a) or not len(b):
-        return None
-    near = np.stack(a["vec"]).astype(float) @ np.stack(b["vec"]).astype(float).T
-    return a, b, near - LAMBDA * (a["generic"].to_numpy()[:, None] + b["generic"].to_numpy()[None, :]) / 2
+def _kinds(left: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"{k} {left.schema[k].dataType.simpleString()}" for k in keys)
 
 
-def _sides(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    tag = lambda d, s: d.select(*keys, F.lit(s).alias("side"), "idx", "vec", "generic")
-    return tag(left, 0).unionByName(tag(right, 1))
+def _middles(rows: DataFrame, keys: list[str], side: str) -> DataFrame:
+    """How many windows a film of each pair has, and their mean vector and genericness."""
+    return mean_rows(rows, keys, "vec", "generic").select(*keys, *(F.col(c).alias(f"{side}_{c}") for c in ("n", "vec", "generic")))
 
 
-def _kinds(left: DataFrame, keys: list[str]) -> str:
-    return ", ".join(f"{k} {left.schema[k].dataType.simpleString()}" for k in keys)
+def _pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a pair of films with windows: the middles of both, the mean of all their scores, and in how many blocks the left one is dealt.
 
+    A score is linear in either window, so its means are scores of the middles.
+    """
+    both = _middles(left, keys, "a").join(_middles(right, keys, "b"), keys)
+    ambient = dot(F.col("a_vec"), F.col("b_vec")) - LAMBDA * (F.col("a_generic") + F.col("b_generic")) / 2
+    return both.withColumn("ambient", ambient).withColumn("blocks", F.ceil(F.col("a_n") / BLOCK).cast("int"))
 
-def cross_scores(left: DataFrame, right: DataFrame, keys: list[str], contrast: float | None = None, strength: float | None = None) -> DataFrame:
-    """Adjusted scores of each window of one film with each of another: (keys, ia, ib, score, mean_a, mean_b, ambient).
 
-    left and right: keys, idx, vec, generic. One pair of films is one group of
-    windows, bounded by the length of two films; a pair is one matrix product.
-    Only scores of that contrast to the windows' means and of that strength
-    leave the task, where these are given.
-    """
+def _crossed(left: DataFrame, right: DataFrame, keys: list[str], schema: str, **wanted) -> DataFrame:
+    """What Crossed yields for each pair of films, whose left windows are dealt into blocks; the right ones stream past every block."""
+    pairs = _pairs(left, right, keys)
+    mean = lambda p: dot(F.col("x"), F.col(f"{p}_vec")) - LAMBDA * (F.col("own") + F.col(f"{p}_generic")) / 2
+    own = lambda d: d.select(*keys, "idx", F.col("vec").cast("array<double>").alias("x"), F.col("generic").cast("double").alias("own")).join(pairs, keys)
+    row = lambda d, block, side, p: d.select(*keys, block.alias("block"), F.lit(side).alias("side"), F.col("idx").cast("long").alias("idx"), F.col("x").alias("vec"), F.col("own").alias("generic"), mean(p).alias("mean"), "ambient")
+    stay = row(own(left), F.pmod(F.xxhash64("idx"), F.col("blocks")).cast("int"), 0, "b")
+    pass_by = row(own(right), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), 1, "a")
+    tasks = 4 * left.sparkSession.sparkContext.defaultParallelism  # a stated number, since few bytes can be much work
+    kernel = lambda key, rows: Crossed(key, keys, rows, LAMBDA, **wanted)
+    return streamed(stay.unionByName(pass_by).repartition(tasks, *keys, "block"), [*keys, "block"], kernel, schema)
 
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = _matrices(pdf)
-        if made is None:
-            return pd.DataFrame({**{k: [] for k in keys}, **{c: [] for c in ("ia", "ib", "score", "mean_a", "mean_b", "ambient")}})
-        a, b, s = made
-        mean_a, mean_b, stored = s.mean(1), s.mean(0), s.astype(np.float32).astype(float)
-        wanted = np.ones(s.shape, bool) if strength is None else stored >= strength
-        if contrast is not None:
-            wanted &= stored - (mean_a[:, None] + mean_b[None, :]) / 2 >= contrast
-        i, j = np.nonzero(wanted)
-        own = {k: [pdf[k].iloc[0]] * len(i) for k in keys}
-        return pd.DataFrame({
-            **own, "ia": a["idx"].to_numpy()[i], "ib": b["idx"].to_numpy()[j], "score": stored[i, j], "mean_a": mean_a[i], "mean_b": mean_b[j], "ambient": s.mean(),
-        })
 
-    return _sides(left, right, keys).groupBy(*keys).applyInPandas(product, f"{_kinds(left, keys)}, ia long, ib long, score double, mean_a double, mean_b double, ambient double")
+def cross_scores(left: DataFrame, right: DataFrame, keys: list[str], contrast: float | None = None, strength: float | None = None, most: int | None = None) -> DataFrame:
+    """Adjusted scores of each window of one film with each of another: (keys, ia, ib, score, mean_a, mean_b, ambient).
+
+    left and right: keys, idx, vec, generic. Only scores of that contrast to the
+    windows' means and of that strength leave the task, where these are given,
+    and with `most` only so many of each left window, highest (rounded) first, ties by ib.
+    """
+    columns = f"{_kinds(left, keys)}, ia long, ib long, score double, mean_a double, mean_b double, ambient double"
+    return _crossed(left, right, keys, columns, contrast=contrast, strength=strength, most=most, summed=False)
 
 
 def ambience(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """One row a pair of films: how many scores there are, the best, and their mean (how alike the films sound overall)."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = _matrices(pdf)
-        if made is None:
-            return pd.DataFrame({**{k: [] for k in keys}, "n": [], "best": [], "ambient": []})
-        s = made[2]
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "n": [s.size], "best": [float(s.max())], "ambient": [float(s.mean())]})
-
-    return _sides(left, right, keys).groupBy(*keys).applyInPandas(one, f"{_kinds(left, keys)}, n long, best double, ambient double")
+    best = _crossed(left, right, keys, f"{_kinds(left, keys)}, best double", contrast=None, strength=None, most=None, summed=True)
+    known = _pairs(left, right, keys).select(*keys, (F.col("a_n") * F.col("b_n")).alias("n"), "ambient")
+    return known.join(best.groupBy(*keys).agg(F.max("best").alias("best")), keys).select(*keys, "n", "best", "ambient")
 
 
 def bridge_candidates(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -207,12 +202,13 @@ def bridge(windows: DataFrame, beats: DataFrame, pairs: DataFrame, quality: Data
     for side in ("a", "b"):
         english = english.join(quality.where("non_english").select(F.col("movie_id").alias(side)), side, "left_anti")
     of = lambda d, side: english.join(d, F.col(side) == d["movie_id"]).select("a", "b", *[c for c in d.columns if c != "movie_id"])
-    wide = cross_scores(of(windows, "a"), of(windows, "b"), ["a", "b"], EXCESS, None if stop_at_weak else STRENGTH).select("a", "b", "ia", "ib", "score")
+    # a walk in order of strength that ends at a weak candidate meets just those that are strong, so either rule lets the same ones in
+    wide = cross_scores(of(windows, "a"), of(windows, "b"), ["a", "b"], EXCESS, STRENGTH).select("a", "b", "ia", "ib", "score")
     starts = beats.select("movie_id", F.col("idx").alias("beat"), F.col("start_seq").cast("long").alias("held"))
     held = _held(windows.select("movie_id", "idx", "start_seq", "end_seq")).join(starts, ["movie_id", "held"])
     inside = lambda side: held.select(F.col("movie_id").alias(side), F.col("idx").alias(f"i{side}"), F.col("beat").alias(f"b{side}"))
     fine = cross_scores(of(beats, "a"), of(beats, "b"), ["a", "b"], None, CONSENSUS).select("a", "b", F.col("ia").alias("ba"), F.col("ib").alias("bb"), F.col("score").alias("agreement"))
-    tried = wide.join(inside("a"), ["a", "ia"]).join(inside("b"), ["b", "ib"]).join(fine, ["a", "b", "ba", "bb"])
+    tried = foremost(wide.join(inside("a"), ["a", "ia"]).join(inside("b"), ["b", "ib"]).join(fine, ["a", "b", "ba", "bb"]), held)
     picked = tried.select("a", "b", "ia", "ib", "score", "ba", "bb", "agreement").groupBy("a", "b").applyInPandas(_chooser(stop_at_weak), CHOICE)
     line = clip(F.array_join(F.slice(F.split("text", "\n"), 1, 3), " ")) if "text" in beats.columns else F.lit(None).cast("string")
     shown = lambda side: beats.select(F.col("movie_id").alias(side), F.col("idx").alias(f"beat_{side}"), F.col("arc").alias(f"arc_{side}"), F.col("start_seq").alias(f"start_{side}"), line.alias(f"excerpt_{side}"))
@@ -224,14 +220,39 @@ def bridge(windows: DataFrame, beats: DataFrame, pairs: DataFrame, quality: Data
     return out.select("a", "b", "n", "ia", "ib", "beat_a", "beat_b", "start_a", "start_b", "arc_a", "arc_b", "excerpt_a", "excerpt_b", "headline_a", "headline_b", "score")
 
 
+def foremost(tried: DataFrame, held: DataFrame) -> DataFrame:
+    """The candidates (a, b, ia, ib, ba, bb, score) that a greedy choice of PAIRS pairs can reach; held: movie_id, idx, beat.
+
+    Where a candidate is chosen with the beats ba and bb, each stronger one of
+    its ia that could have taken ba was barred by its own ib or bb. At most
+    PAIRS - 1 of each are taken, and `most` windows hold one beat, so it stands
+    among the first PAIRS + (PAIRS - 1) * most of its ia and ba; likewise of its
+    ib and bb. Of what that leaves, each earlier choice bars so many on either
+    side by its window or beat, which bounds the place of the last one.
+    """
+    per = lambda *keys: held.groupBy(*keys).count().agg(F.max("count").alias("n")).first()["n"] or 1
+    most, inside = per("movie_id", "beat"), per("movie_id", "idx")
+    first = PAIRS + (PAIRS - 1) * most
+    strongest = F.desc("score")
+    near = lambda d, own, other: d.withColumn("k", F.dense_rank().over(W.partitionBy("a", "b", *own).orderBy(strongest, other))).where(F.col("k") <= first).drop("k")
+    both = near(near(tried, ("ia", "ba"), "ib"), ("ib", "bb"), "ia")
+    place = F.dense_rank().over(W.partitionBy("a", "b").orderBy(strongest, "ia", "ib"))
+    return both.withColumn("k", place).where(F.col("k") <= PAIRS + (PAIRS - 1) * first * 2 * (inside + most)).drop("k")
+
+
 def generic_of(rows: DataFrame) -> DataFrame:
     """Rows with generic: 0 where the table was made without that column."""
     return rows if "generic" in rows.columns else rows.withColumn("generic", F.lit(0.0))
 
 
+def older_bridge(beats: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The bridge of titles.beat_bridge over pairs of films. Earlier choices take PAIRS - 1 partners of a window at most, so its first PAIRS are all that it can be chosen with."""
+    return titles.beat_bridge(cross_scores(*both_sides(beats, pairs), ["a", "b"], titles.CONTRAST, most=PAIRS), most=PAIRS)
+
+
 def compared_bridges(windows: DataFrame, beats: DataFrame, pairs: DataFrame, quality: DataFrame) -> DataFrame:
     """Both bridges side by side: (a, b, way, n, ia, ib, score), way beats or consensus."""
-    older = titles.beat_bridge(cross_scores(*both_sides(beats, pairs), ["a", "b"], 0.16))
+    older = older_bridge(beats, pairs)
     place = F.row_number().over(W.partitionBy("a", "b").orderBy(F.desc(F.round("score", 9)), "ia", "ib"))
     first = older.select("a", "b", F.lit("beats").alias("way"), place.alias("n"), "ia", "ib", "score")
     second = bridge(windows, beats, pairs, quality, stop_at_weak=True).select("a", "b", F.lit("consensus").alias("way"), "n", "ia", "ib", "score")

@@ -19,6 +19,8 @@ def year_tolerant(wanted: DataFrame, index: DataFrame) -> DataFrame:
 #: What the index puts before titles of one franchise.
 FRANCHISE = ("starwars", "starwarsthe")
 LONG_KEY = 10
+#: What a score must be above the means of both its windows, for the older bridge.
+CONTRAST = 0.16
 
 
 def resolve(wanted: DataFrame, index: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -114,7 +116,7 @@ def better_layer(old: DataFrame, new: DataFrame, always: list[str] | None = None
     return both.withColumn("replace", take)
 
 
-def beat_bridge(cross: DataFrame, least: float = 0.16, most: int = 5) -> DataFrame:
+def beat_bridge(cross: DataFrame, least: float = CONTRAST, most: int = 5) -> DataFrame:
     """The older bridge: cross scores (a, b, ia, ib, score, mean_a, mean_b) whose contrast is high enough, strongest first, each window once, `most` at most; one alone counts as none.
 
     The choice walks the candidates of one pair of films, as each depends on the

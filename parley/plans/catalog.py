@@ -674,7 +674,7 @@ OLDER = [*ALIKE, """strong AS (SELECT *, row_number() OVER (PARTITION BY a, b OR
 
 @query(_recursive(OLDER, "SELECT a, b, ia, ib, round(contrast, 3) AS contrast FROM ones JOIN strong USING (a, b, ia, ib)"))
 def beat_bridge(c: Corpus) -> DataFrame:
-    return titles.beat_bridge(film.cross_scores(*film.both_sides(_drawn(c), _film_pairs(c)), ["a", "b"], 0.16)).select("a", "b", "ia", "ib", r("contrast", 3).alias("contrast"))
+    return film.older_bridge(_drawn(c), _film_pairs(c)).select("a", "b", "ia", "ib", r("contrast", 3).alias("contrast"))
 
 
 @query(_recursive([*OLDER, *BRIDGED[len(ALIKE):]], """SELECT a, b, 'beats' AS way, count(*) AS n FROM ones GROUP BY 1, 2 UNION ALL SELECT a, b, 'consensus', count(*) FROM picked GROUP BY 1, 2"""))
