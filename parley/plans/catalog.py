@@ -618,7 +618,9 @@ def _drawn(c: Corpus) -> DataFrame:
 
 
 def _film_pairs(c: Corpus) -> DataFrame:
-    return c.windows.select(F.col("movie_id").alias("a")).distinct().where("a < 9").select("a", (F.col("a") + 1).alias("b"))
+    """Each film and the next one, where both have windows."""
+    films = c.windows.select(F.col("movie_id").alias("a")).distinct()
+    return films.join(films.select((F.col("a") - 1).alias("a")), "a", "left_semi").select("a", (F.col("a") + 1).alias("b"))
 
 
 @query(sql(ALIKE, """SELECT a, b, ia, ib, round(score, 5) AS score FROM contrasted WHERE contrast >= 0.05 AND score >= 0.25"""))

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 from parley.operators import blocks, corpus, film, titles
+from parley.plans import catalog
+from parley.plans.bindings import Corpus
 
 SCHEMA = "movie_id long, idx long, vec array<double>"
 
@@ -63,3 +65,14 @@ def test_foremost_keeps_the_choice(spark, monkeypatch):
         choose = lambda d: sorted(map(tuple, d.groupBy("a", "b").applyInPandas(film._chooser(False), film.CHOICE).collect()))
         kept = film.foremost(tried, spans)
         assert kept.count() < len(rows) and choose(kept) == choose(tried)
+
+
+def test_bridges_of_every_pair_of_neighbours(spark, tmp_path):
+    """Films beyond the tenth have bridges too, and a film without a next one has none."""
+    labels = [8, 9, 10, 11, 13]
+    x = unit(np.random.default_rng(9), 20 * len(labels), 8)
+    rows = [(k, labels[k % len(labels)], v.tolist()) for k, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    pairs = catalog._film_pairs(Corpus(spark, str(tmp_path)))
+    assert {tuple(r) for r in pairs.collect()} == {(8, 9), (9, 10), (10, 11)}
+    assert {(r.a, r.b) for r in catalog.QUERIES["beat_bridge"](spark, str(tmp_path)).collect()} == {(8, 9), (9, 10), (10, 11)}
