@@ -166,10 +166,14 @@ def page_key(url: Column) -> Column:
     return F.sha1(url.cast("binary"))
 
 
-def cached_pages(wanted: DataFrame, cache: DataFrame) -> DataFrame:
-    """wanted (url) with html from cache (key, status, html): null where the page is missing, answered 404, or isn't cached (no network is used)."""
-    stored = cache.where("status = 200").select(F.col("key").alias("__key"), "html")
-    return wanted.join(stored, page_key(F.col("url")) == F.col("__key"), "left").drop("__key")
+def cached_pages(wanted: DataFrame, cache: DataFrame, own: tuple[str, ...] = ()) -> DataFrame:
+    """wanted (url) with html from cache (key, status, html): null where the page is missing, answered 404, or isn't cached (no network is used).
+
+    Where one address was cached several times, own names the columns of both
+    tables that tell the captures apart.
+    """
+    stored = cache.where("status = 200").select(F.col("key").alias("__key"), "html", *own)
+    return wanted.withColumn("__key", page_key(F.col("url"))).join(stored, ["__key", *own], "left").select(*wanted.columns, "html")
 
 
 def backoff_ms(retry_after: Column, attempt: Column) -> Column:
