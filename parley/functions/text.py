@@ -51,13 +51,16 @@ FOLD_FROM, FOLD_TO, FOLD_SEVERAL = _folds("NFKD", lambda t: re.search("[A-Za-z0-
 MARKED_FROM, MARKED_TO, _ = _folds("NFD", lambda t: len(t) == 1)
 BEYOND_ASCII = r"[^\x00-\x7F]"
 COMBINING = r"[\x{300}-\x{36F}]"
+#: Two ranges that hold all characters of FOLD_SEVERAL, and hardly any letter of the languages written in Latin.
+MAYBE_SEVERAL = rf"[\x{{{min(map(ord, (c for c in FOLD_SEVERAL if c < 'À')), default=0x100):X}}}-\x{{BF}}\x{{100}}-\x{{10FFFF}}]"
 
 
 def fold(c: Column) -> Column:
     """Compatibility forms as ASCII letters and digits, without combining marks; text in plain ASCII is left as it is at once."""
     table = F.map_from_arrays(F.split(F.lit("\x01".join(FOLD_SEVERAL)), "\x01"), F.split(F.lit("\x01".join(FOLD_SEVERAL.values())), "\x01"))
     spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-    single = F.when(c.rlike(_class(FOLD_SEVERAL)), spelled).otherwise(c)
+    # the second class has many ranges, each tried on every character, so the first one spares most lines of it
+    single = F.when(c.rlike(MAYBE_SEVERAL) & c.rlike(_class(FOLD_SEVERAL)), spelled).otherwise(c)
     return F.when(c.rlike(BEYOND_ASCII), F.regexp_replace(F.translate(single, FOLD_FROM, FOLD_TO), COMBINING, "")).otherwise(c)
 
 
@@ -169,9 +172,22 @@ def has_terminal(c: Column) -> Column:
 
 
 def ocr_hits(c: Column) -> Column:
-    """Marks of misread letters, over four patterns."""
-    patterns = ("[a-z]I[a-z]", EDGE + "l" + EDGE, '[a-z]"[a-z]', EDGE + "l'(?:m|ll|ve|d|re|s)" + EDGE)
-    return sum((F.regexp_count(c, F.lit(p)) for p in patterns[1:]), F.regexp_count(c, F.lit(patterns[0])))
+    """Marks of misread letters, over four patterns; each is tried only where its rare letters stand, and those with an edge look for their letter first."""
+    alone = "l(?<![A-Za-z0-9_]l)"
+    patterns = (("I", "[a-z]I[a-z]"), ("l", alone + "(?![A-Za-z0-9_])"), ('"', '[a-z]"[a-z]'), ("l'", alone + "'(?:m|ll|ve|d|re|s)(?![A-Za-z0-9_])"))
+    found = [F.when(c.contains(rare), F.regexp_count(c, F.lit(p))).when(c.isNotNull(), 0) for rare, p in patterns]
+    return sum(found[1:], found[0])
+
+
+#: ASCII that separates words of small letters and apostrophes.
+NO_LETTERS = "".join(chr(k) for k in range(1, 128) if not re.match("[a-z']", chr(k)))
+
+
+def small_words(c: Column) -> Column:
+    """Runs of a-z and apostrophes in the lower-case text."""
+    plain = F.translate(F.lower(c), NO_LETTERS, " " * len(NO_LETTERS))
+    plain = F.when(plain.rlike(r"[^\x01-\x7F]"), F.regexp_replace(plain, r"[^\x01-\x7F]+", " ")).otherwise(plain)
+    return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
 def is_music(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import has_terminal, ocr_hits
+from ..functions.text import has_terminal, ocr_hits, small_words
 
 
 def half_up(c, digits: int = 0):
@@ -16,22 +16,22 @@ def half_up(c, digits: int = 0):
 
 def common_words(lines: DataFrame, n: int = 1000, text: str = "text") -> DataFrame:
     """The n words found in most lines; ties by word. A stand-in for a fixed dictionary."""
-    words = F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z']+"), lambda w: w != ""))
+    words = F.array_distinct(small_words(F.col(text)))
     return lines.select(F.explode(words).alias("word")).groupBy("word").count().orderBy(F.desc("count"), "word").limit(n).select("word")
 
 
 def score_films(cues: DataFrame, dictionary: DataFrame, film: str = "movie_id", text: str = "text") -> DataFrame:
     """One row per film: score 0-100, its four parts, cues, and whether it is likely not English.
 
-    dictionary (word): Spark broadcasts it if it turns out small.
+    dictionary (word): Spark broadcasts it if it turns out small; then words are counted where their lines are read.
     """
     c = F.col(text)
     parts = cues.groupBy(film).agg(
         F.count("*").alias("cues"), F.avg(has_terminal(c).cast("double")).alias("p"), F.sum(ocr_hits(c)).alias("ocr"), F.avg(F.length(c).cast("double")).alias("mean")
     )
-    words = cues.select(film, F.explode(F.filter(F.split(F.lower(c), "[^a-z']+"), lambda w: w != "")).alias("word")).groupBy(film, "word").count()
-    known = words.join(dictionary.withColumn("known", F.lit(1)), "word", "left")
-    rate = known.groupBy(film).agg(F.sum("count").alias("tokens"), F.sum(F.when(F.col("known") == 1, F.col("count")).otherwise(0)).alias("hits"))
+    words = cues.select(film, F.explode(small_words(c)).alias("word"))
+    known = words.join(dictionary.distinct().withColumn("known", F.lit(1)), "word", "left")
+    rate = known.groupBy(film).agg(F.count("*").alias("tokens"), F.count("known").alias("hits"))
     both = parts.join(rate, film, "left").na.fill(0, ["tokens", "hits"])
     d = F.when(F.col("tokens") > 0, F.col("hits") / F.col("tokens")).otherwise(F.lit(0.0))
     per = F.col("ocr") / F.col("cues") * 1000

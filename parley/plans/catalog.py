@@ -734,7 +734,7 @@ SCORED = [LINES, """words AS (SELECT movie_id, seq, list_filter(regexp_split_to_
 
 
 def _scored(c: Corpus) -> DataFrame:
-    return quality.score_films(c.lines, quality.common_words(c.lines))
+    return quality.score_films(c.spoken, quality.common_words(c.spoken))
 
 
 @query(sql(SCORED, "SELECT movie_id, score, punctuation_density, dictionary_rate, ocr_per_thousand, mean_cue_length, cues, non_english FROM scored"))
