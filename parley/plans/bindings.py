@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize, tokens_of_normal
+from ..functions.text import normalize
 from ..sources.stored import stored
 
 
@@ -28,18 +28,21 @@ class Corpus:
 
     @property
     def lines(self) -> DataFrame:
-        """Lines with their normal form and tokens, which are worked out once and stored, in order of films."""
+        """Lines with their normal form, which is worked out once and stored. Each is made where its text is read; nothing is shuffled."""
 
         def made() -> DataFrame:
-            rows = self._split_lines().repartitionByRange("movie_id", "seq").sortWithinPartitions("movie_id", "seq")
-            return rows.withColumn("text_norm", normalize(F.col("text"))).withColumn("tokens", tokens_of_normal(F.col("text_norm")))
+            return self.spoken.withColumn("text_norm", normalize(F.col("text")))
 
         return stored(self.spark, f"lines of {self.dir}", made)
 
-    def _split_lines(self) -> DataFrame:
+    @property
+    def spoken(self) -> DataFrame:
+        """Lines as they stand, read from the texts; for what needs no normal form."""
+        docs, tasks = self.table("documents").select("doc_id", "text"), self.spark.sparkContext.defaultParallelism
+        if docs.rdd.getNumPartitions() < tasks:  # few splits, so few bytes
+            docs = docs.repartition(tasks)
         texts = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-        n = F.size("t")
-        rows = self.table("documents").select(F.col("doc_id").alias("movie_id"), texts.alias("t")).select("movie_id", n.alias("n"), F.posexplode("t").alias("seq", "text"))
+        rows = docs.select(F.col("doc_id").alias("movie_id"), texts.alias("t")).select("movie_id", F.size("t").alias("n"), F.posexplode("t").alias("seq", "text"))
         arc = F.when(F.col("n") > 1, F.col("seq") / (F.col("n") - 1)).otherwise(F.lit(0.0))
         return rows.select("movie_id", F.col("seq").cast("long").alias("seq"), arc.alias("arc"), "text")
 
@@ -57,10 +60,14 @@ class Corpus:
         n = F.count("*").over(W.partitionBy("movie_id"))
         return rows.select("movie_id", "idx", "vec_id", (6 * F.col("idx")).alias("start_seq"), (6 * F.col("idx") + 11).alias("end_seq"), (F.col("idx") / n).alias("arc"), "vec")
 
+    @property
+    def texts(self) -> DataFrame:
+        return self.table("documents").select(F.col("doc_id").alias("movie_id"), "text")
+
     @property
     def beats(self) -> DataFrame:
         """The windows with the text of their film."""
-        return self.windows.join(self.table("documents").select(F.col("doc_id").alias("movie_id"), "text"), "movie_id")
+        return self.windows.join(self.texts, "movie_id")
 
     @property
     def paired(self) -> DataFrame:

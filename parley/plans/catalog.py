@@ -139,7 +139,7 @@ def page_ad_blocks(c: Corpus) -> DataFrame:
 
 @query(sql([LINES], "SELECT movie_id, count(*) AS n_lines, max(seq) AS last_seq, round(max(arc), 6) AS last_arc FROM lines GROUP BY movie_id"))
 def line_positions(c: Corpus) -> DataFrame:
-    return c.lines.groupBy("movie_id").agg(F.count("*").alias("n_lines"), F.max("seq").alias("last_seq"), r(F.max("arc")).alias("last_arc"))
+    return c.spoken.groupBy("movie_id").agg(F.count("*").alias("n_lines"), F.max("seq").alias("last_seq"), r(F.max("arc")).alias("last_arc"))
 
 
 # --- retrieval --------------------------------------------------------------
@@ -366,13 +366,13 @@ def near_miss_diff(c: Corpus) -> DataFrame:
 
 @query(sql([MOVIES, LINES], "SELECT id, title, year, votes, (SELECT count(*) FROM lines WHERE movie_id = id) AS line_count FROM movies"))
 def film_header(c: Corpus) -> DataFrame:
-    return film.headers(c.movies, c.lines).select("id", "title", "year", "votes", "line_count")
+    return film.headers(c.movies, c.spoken).select("id", "title", "year", "votes", "line_count")
 
 
 @query(sql([LINES], """SELECT movie_id, seq, round(arc, 6) AS arc, text FROM lines WHERE (movie_id, seq) IN (SELECT movie_id, unnest([0, 2, 4]) FROM lines)"""))
 def five_lines_lookup(c: Corpus) -> DataFrame:
     picks = c.table("documents").select(F.col("doc_id").alias("movie_id"), F.array(F.lit(0), F.lit(2), F.lit(4)).alias("seqs"))
-    return film.five_lines(picks, c.lines).select("movie_id", "seq", r("arc").alias("arc"), "text")
+    return film.five_lines(picks, c.spoken).select("movie_id", "seq", r("arc").alias("arc"), "text")
 
 
 @query(sql([WINDOWS], """SELECT movie_id, seq, idx, start_seq, end_seq FROM (
@@ -401,7 +401,7 @@ BEATS = ["""counted AS (SELECT movie_id, count(*) AS n FROM lines GROUP BY 1)"""
   round(CASE WHEN n <= 12 THEN 0.5 ELSE (start_seq + end_seq)::DOUBLE / 2 / (n - 1) END, 6) AS arc, string_agg(l.text, chr(10) ORDER BY l.seq) AS text
   FROM spans s JOIN lines l ON l.movie_id = s.movie_id AND l.seq BETWEEN start_seq AND end_seq GROUP BY ALL"""))
 def beat_windows(c: Corpus) -> DataFrame:
-    return ladder.beats(c.lines).withColumn("arc", r("arc"))
+    return ladder.beats(c.spoken).withColumn("arc", r("arc"))
 
 
 @query(sql([WINDOWS], """SELECT movie_id, idx, round(list_dot_product(vec, lead(vec) OVER (PARTITION BY movie_id ORDER BY idx)), 6) AS sim FROM windows"""))
@@ -719,7 +719,7 @@ def lyric_islands(c: Corpus) -> DataFrame:
     seq, bare = F.col("seq"), F.translate("text", '"“”', "")
     wrapped = F.concat(F.lit('"'), bare, F.lit('"'))
     sung = F.when(seq % 17 == 3, F.concat(F.lit("♪ "), "text")).when((seq % 11).isin(5, 6), wrapped).when(seq % 13 == 7, wrapped).otherwise(F.col("text"))
-    return cues.lyric_islands(c.lines.select("movie_id", seq.alias("idx"), sung.alias("text"))).select("movie_id", "idx", "lyric")
+    return cues.lyric_islands(c.spoken.select("movie_id", seq.alias("idx"), sung.alias("text"))).select("movie_id", "idx", "lyric")
 
 
 SCORED = [LINES, """words AS (SELECT movie_id, seq, list_filter(regexp_split_to_array(lower(text), '[^a-z'']+'), lambda w: w <> '') AS w FROM lines)""",
@@ -755,14 +755,14 @@ def decile_downrank(c: Corpus) -> DataFrame:
 @query(sql([LINES], """SELECT movie_id, length(text) AS n FROM (SELECT *, row_number() OVER (PARTITION BY movie_id ORDER BY length(text)) - 1 AS k, count(*) OVER (PARTITION BY movie_id) AS m FROM lines)
   WHERE k = floor((m - 1) * 0.9)"""))
 def length_percentiles(c: Corpus) -> DataFrame:
-    return quality.nearest_rank(c.lines.select("movie_id", F.length("text").cast("long").alias("n")), ["movie_id"], "n", 0.9)
+    return quality.nearest_rank(c.spoken.select("movie_id", F.length("text").cast("long").alias("n")), ["movie_id"], "n", 0.9)
 
 
 @query(sql([LINES], """SELECT count(DISTINCT movie_id) AS films, count(*) AS utterances, count(*) FILTER (WHERE length(text) < 20) AS under_20, count(*) FILTER (WHERE length(text) BETWEEN 20 AND 59) AS under_60,
   count(*) FILTER (WHERE length(text) BETWEEN 60 AND 119) AS under_120, count(*) FILTER (WHERE length(text) BETWEEN 120 AND 199) AS under_200, count(*) FILTER (WHERE length(text) >= 200) AS longer,
   floor(count(*)::DOUBLE / count(DISTINCT movie_id) + 0.5)::BIGINT AS mean_per_film FROM lines"""))
 def length_report(c: Corpus) -> DataFrame:
-    return quality.length_report(c.lines)
+    return quality.length_report(c.spoken)
 
 
 # --- generation store -------------------------------------------------------
@@ -817,8 +817,8 @@ def tfidf_match(c: Corpus) -> DataFrame:
     """Quotes of the films whose id is divisible by 50 against all their lines: whole lines with and without a hint, lines without their first word, and one unknown word."""
     k = F.col("seq") % 4
     text = F.when(k.isin(0, 1), F.col("text")).when(k == 2, F.regexp_replace("text", r"^\S*\s", "")).otherwise("zzyx")
-    quotes = c.lines.where("movie_id % 50 = 0").select("movie_id", F.col("seq").alias("quote_id"), F.when(k == 0, F.col("seq")).alias("hint"), text.alias("text"))
-    return genstore.match_quotes(quotes, c.lines).select("movie_id", "quote_id", "seq", "verbatim", r("score").alias("score"))
+    quotes = c.spoken.where("movie_id % 50 = 0").select("movie_id", F.col("seq").alias("quote_id"), F.when(k == 0, F.col("seq")).alias("hint"), text.alias("text"))
+    return genstore.match_quotes(quotes, c.spoken).select("movie_id", "quote_id", "seq", "verbatim", r("score").alias("score"))
 
 
 @query(sql([LINES, f"""shaped AS (SELECT movie_id, seq, floor(arc * 12)::INT AS bin FROM lines WHERE length(text) BETWEEN 15 AND 160 AND len({QUOTED.format(t='text_norm')}) >= 4
@@ -927,20 +927,20 @@ def repair_set(c: Corpus) -> DataFrame:
 @query(sql([WINDOWS, LINES], """SELECT movie_id, start_seq, end_seq, left(sha256(string_agg(text, chr(10) ORDER BY seq) || chr(10)), 16) AS input_hash, count(*)::INT AS n
   FROM windows JOIN lines USING (movie_id) WHERE seq BETWEEN start_seq AND end_seq GROUP BY ALL"""))
 def window_inputs(c: Corpus) -> DataFrame:
-    made = genstore.window_inputs(c.lines, c.windows.select("movie_id", "start_seq", "end_seq"))
+    made = genstore.window_inputs(c.spoken, c.windows.select("movie_id", "start_seq", "end_seq"))
     return made.select("movie_id", "start_seq", "end_seq", "input_hash", F.size("texts").alias("n"))
 
 
 @query(sql([WINDOWS, LINES], """SELECT movie_id, start_seq, end_seq, string_agg(text, chr(10) ORDER BY seq) AS shown, end_seq - start_seq + 1 AS total_lines
   FROM windows JOIN lines USING (movie_id) WHERE seq BETWEEN start_seq AND least(end_seq, start_seq + 24) GROUP BY ALL"""))
 def source_lines(c: Corpus) -> DataFrame:
-    return film.source_lines(c.lines, c.windows).select("movie_id", "start_seq", "end_seq", F.array_join("lines", "\n").alias("shown"), "total_lines")
+    return film.source_lines(c.spoken, c.windows).select("movie_id", "start_seq", "end_seq", F.array_join("lines", "\n").alias("shown"), "total_lines")
 
 
 @query(sql([LINES], r"""SELECT movie_id, sum(len(regexp_extract_all(text, '[a-z]I[a-z]')) + len(regexp_extract_all(text, '\bl\b')) + len(regexp_extract_all(text, '[a-z]"[a-z]')) + len(regexp_extract_all(text, '\bl''(?:m|ll|ve|d|re|s)\b')))::BIGINT AS marks,
   count(*) FILTER (WHERE regexp_matches(text, '[.?!…]["\'\'”’]?\s*$')) AS terminal FROM lines GROUP BY 1""".replace("\\'", "'")))
 def damage_counters(c: Corpus) -> DataFrame:
-    return c.lines.groupBy("movie_id").agg(F.sum(T.ocr_hits(F.col("text"))).alias("marks"), F.count_if(T.has_terminal(F.col("text"))).alias("terminal"))
+    return c.spoken.groupBy("movie_id").agg(F.sum(T.ocr_hits(F.col("text"))).alias("marks"), F.count_if(T.has_terminal(F.col("text"))).alias("terminal"))
 
 
 @query(sql([MOVIES, LINES, f"asked AS (SELECT item_id, {normal_sql('text')} AS q FROM benchmark)"],
