@@ -950,7 +950,7 @@ def benchmark_lookup(c: Corpus) -> DataFrame:
     asked = c.table("benchmark").select("item_id", T.normalize(F.col("text")).alias("q"))
     if asked.count() > 10_000:  # checked; the set is broadcast
         raise ValueError("state at most 10,000 queries at once")
-    hits = c.lines.join(F.broadcast(asked), F.col("text_norm").contains(F.col("q")) & (F.col("q") != "")).groupBy("item_id").agg(F.min("movie_id").alias("f"), F.count("*").alias("k"))
+    hits = retrieval.lines_saying(c.lines.select("movie_id", "text_norm"), asked).groupBy("item_id").agg(F.min("movie_id").alias("f"), F.count("*").alias("k"))
     return asked.join(hits, "item_id", "left").select("item_id", F.coalesce("f", F.lit(-1)).alias("first_film"), F.coalesce("k", F.lit(0)).alias("n"))
 
 
