@@ -572,7 +572,8 @@ PICKS = [*DISTINCT, WINDOWS, """middle AS (SELECT movie_id, list(s ORDER BY d) A
 @query(_recursive(PICKS, "SELECT movie_id, array_to_string(arg_max(seqs, k), ',') AS seqs FROM walk2 GROUP BY 1 HAVING max(k) > 0"))
 def quintile_picks(c: Corpus) -> DataFrame:
     """Five lines of each film that has vectors; a window's vector stands for its first line's."""
-    d = corpus.distinctiveness(c.lines, _idf(c)).where("distinct >= 0")
+    keys = c.windows.select("movie_id", F.col("start_seq").alias("seq"))
+    d = corpus.distinctiveness(c.lines.join(keys, ["movie_id", "seq"], "left_semi"), _idf(c)).where("distinct >= 0")
     own = c.windows.select("movie_id", F.col("start_seq").alias("seq"), "vec").join(corpus.film_vectors(c.windows).withColumnRenamed("vec", "mid"), "movie_id")
     central = F.round(V.dot(F.col("vec"), F.col("mid")), 9)
     rows = d.join(own, ["movie_id", "seq"]).select("movie_id", "seq", "arc", central.alias("central"), F.round("distinct", 9).alias("distinct"), corpus.names_in(F.col("text")).alias("names"))
