@@ -66,16 +66,19 @@ def source_lines(lines: DataFrame, spans: DataFrame, most: int = SOURCE_LINES) -
     return inside.groupBy("movie_id", "start_seq", "end_seq").agg(ordered.alias("lines")).withColumn("total_lines", F.col("end_seq") - F.col("start_seq") + 1)
 
 
-def nearest_beats(beats: DataFrame, quality: DataFrame, movies: DataFrame, film: int, vec: Column, keep: int = 8) -> DataFrame:
+def nearest_beats(beats: DataFrame, quality: DataFrame, movies: DataFrame, film: int, vec: Column, keep: int = 8, texts: DataFrame | None = None) -> DataFrame:
     """The nearest moments of other films that aren't flagged: 16 by distance, one per film, `keep` at most.
 
-    The join with films comes after the limit. Texts are clipped before they are
-    split, so expanded lines never exceed the clip.
+    The joins with films and with texts (movie_id and, where films have several,
+    idx; by default the beats' own) come after the limit. Texts are clipped
+    before they are split, so expanded lines never exceed the clip.
     """
-    near = nearest(beats.where(F.col("movie_id") != film).join(flagged(quality), "movie_id", "left_anti"), vec, 16, "movie_id", "idx")
+    said = beats.select("movie_id", "idx", "text") if texts is None else texts
+    near = nearest(beats.drop("text").where(F.col("movie_id") != film).join(flagged(quality), "movie_id", "left_anti"), vec, 16, "movie_id", "idx")
     one = near.withColumn("n", F.row_number().over(W.partitionBy("movie_id").orderBy("dist", "idx"))).where("n = 1").orderBy("dist", "movie_id").limit(keep)
     clipped = clip(F.col("text"))
-    return one.join(movies.select(F.col("id").alias("movie_id"), "title", "year"), "movie_id").select(
+    told = said.join(F.broadcast(one), [k for k in ("movie_id", "idx") if k in said.columns])  # `keep` rows
+    return told.join(movies.select(F.col("id").alias("movie_id"), "title", "year"), "movie_id").select(
         "movie_id", "title", "year", "arc", "start_seq", (1 - F.col("dist")).alias("score"), excerpt(clipped).alias("excerpt"),
         F.slice(F.filter(F.split(clipped, "\n"), lambda x: x != ""), 1, SOURCE_LINES).alias("expanded_lines"),
     )

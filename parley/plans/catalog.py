@@ -251,7 +251,7 @@ CLIPPED = """CASE WHEN length({t}) <= 220 THEN {t} WHEN instr(left({t}, 220), '
   f"""SELECT movie_id, title, year, round(arc, 6) AS arc, start_seq, round(1 - dist, 6) AS score, {CLIPPED.format(t="array_to_string(string_split(clipped, chr(10))[1:3], chr(10))")} AS excerpt,
     array_to_string(list_filter(string_split(clipped, chr(10)), lambda x: x <> '')[1:25], chr(10)) AS expanded FROM cut"""))
 def nearest_per_film(c: Corpus) -> DataFrame:
-    near = film.nearest_beats(c.beats, c.quality, c.movies, 0, V.literal(c.query_vector))
+    near = film.nearest_beats(c.beats, c.quality, c.movies, 0, V.literal(c.query_vector), texts=c.texts)
     return near.select("movie_id", "title", "year", r("arc").alias("arc"), "start_seq", r("score").alias("score"), "excerpt", F.array_join("expanded_lines", "\n").alias("expanded"))
 
 
@@ -269,14 +269,14 @@ MOMENTS = [WINDOWS, QUERY, QUALITY, MOVIES, f"""far AS (SELECT w.*, d.text, {KNN
 
 @query(sql(MOMENTS, "SELECT movie_id, title, seq, text, round(score, 6) AS score FROM moments"))
 def moment_hits(c: Corpus) -> DataFrame:
-    return retrieval.moments(c.beats, c.windows, c.quality, c.movies, V.literal(c.query_vector)).select("movie_id", "title", "seq", "text", r("score").alias("score"))
+    return retrieval.moments(c.beats, c.windows, c.quality, c.movies, V.literal(c.query_vector), texts=c.texts).select("movie_id", "title", "seq", "text", r("score").alias("score"))
 
 
 def _search(c: Corpus, asked: str) -> DataFrame:
     """All arms and the moments over the bound vectors; a window's vector stands for its first line's."""
-    vectors = c.lines.join(c.windows.select("movie_id", F.col("start_seq").alias("seq"), "vec"), ["movie_id", "seq"])
+    vectors = c.windows.select("movie_id", F.col("start_seq").alias("seq"), "vec").join(c.lines.select("movie_id", "seq"), ["movie_id", "seq"], "left_semi")
     found = retrieval.search(
-        c.lines, c.movies, asked, V.literal(c.query_vector), vectors=vectors, beats=c.beats, summaries=c.windows, quality=c.quality, misquotes=misquotes.table(c.spark)
+        c.lines, c.movies, asked, V.literal(c.query_vector), vectors=vectors, beats=c.beats, summaries=c.windows, quality=c.quality, misquotes=misquotes.table(c.spark), texts=c.texts
     )
     return found.withColumn("score", r("score", 9)).withColumn("arc", r("arc"))
 
